@@ -30,7 +30,7 @@ def document_panel(spark, sf):
         "doc_id", "source", "lang", F.struct("doc_id").alias("card_order"))
     # a text may be long: compare its words by a 256-bit digest, not by shuffling them
     df = df.withColumn("quote", F.when(text.excerpt_key(F.col("quote")) != "", F.sha2(text.excerpt_key(F.col("quote")), 256)).otherwise(""))
-    return dedup.merge_duplicates(df).where("is_primary").select("doc_id", "source", "lang", "also").orderBy("doc_id")
+    return dedup.merge_cards(df, ["doc_id", "source", "lang"]).select("doc_id", "source", "lang", "also").orderBy("doc_id")
 
 
 @query("excerpt_copies", r"""
@@ -54,7 +54,7 @@ SELECT person, route, source_id, CAST(also AS BIGINT) AS also, label, date_y IS
   CAST(coalesce(date_y, hint_y, 0) AS BIGINT) AS order_y, CAST(coalesce(date_m, 0) AS BIGINT) AS order_m, CAST(coalesce(date_d, 0) AS BIGINT) AS order_d FROM cards""")
 def person_panel_cards(spark, sf):
     """Merged cards of every person in reading order."""
-    return panels.person_cards(panel(spark, sf)).select(
+    return panels.person_cards(panel(spark, sf), ["route", "source_id", "label"]).select(
         "person", "route", "source_id", "also", "label", "undated", "order_y", "order_m", "order_d",
     ).orderBy("person", *ordering.SOURCE_ORDER, "source_id")
 
@@ -95,7 +95,7 @@ def pair_panel(spark, sf):
     rels = corpus.relationships(spark, sf)
     edge = corpus.sources(spark, sf).join(rels.select(F.col("id").alias("owner_id"), F.col("pos").alias("owner_pos")), "owner_id")
     own = corpus.engagement_sources(spark, sf).join(people.select(F.col("id").alias("owner_id"), F.col("pos").alias("owner_pos")), "owner_id")
-    cards = dedup.merge_duplicates(joins.all_pair_panels(edge, own, people)).where("is_primary")
+    cards = dedup.merge_cards(joins.all_pair_panels(edge, own, people), ["route", "source_id"])
     return cards.join(rels.select(F.col("id").alias("person"), "certainty"), "person", "left").select(
         F.col("person").alias("pair"), "route", "source_id", "also",
         F.coalesce("certainty", F.lit("no connection recorded")).alias("connection"))
@@ -113,7 +113,7 @@ def person_timeline(spark, sf):
     """Dated life of every person: births, edges, engagements, undated rows, deaths."""
     eng = corpus.engagement_sources(spark, sf).select(
         "owner_id", "engagement_pos", "subject",
-        F.struct(F.when(prj.effective_date().isNotNull(), corpus._date(y=prj.effective_date()["y"])).alias("date")).alias("start"),
+        F.struct(corpus.year_only(prj.effective_date()["y"]).alias("date")).alias("start"),
         F.struct(F.lit(None).cast(prj.schemas.PARTIAL_DATE).alias("date")).alias("end"))
     t = panels.person_timeline(corpus.people(spark, sf), corpus.relationships(spark, sf), eng)
     return t.select("person", "is_death", F.round("timeline_key", 6).alias("timeline_key"), "kind", "pos").orderBy(
@@ -207,7 +207,7 @@ _FACETS = ["document", "location", "country", "region", "city", "street", "venue
 def _with_repository(spark, sf):
     m = F.when(F.col("repository").isNotNull(), F.struct(
         F.col("repository"), *[F.lit(None).cast("string").alias(x) for x in ("archived_as", "as_of", "recorded_by", "owner")]))
-    return panels.person_cards(panel(spark, sf)).withColumn("manuscript", m)
+    return panels.person_cards(panel(spark, sf), [*panels.CARD_COLUMNS, "repository"]).withColumn("manuscript", m)
 
 
 def _rows(spark, sf):

@@ -144,7 +144,7 @@ def letter_dating(acts: dict[str, Column]) -> Column:
 
 
 def relationship_label(date_label_text: Column, start: Column, end: Column) -> Column:
-    ends = F.struct(date_label(start).alias("a"), date_label(end).alias("b"))
+    ends = F.named_struct(F.lit("a"), date_label(start), F.lit("b"), date_label(end))
     made = let(ends, lambda e: F.when(end["y"].isNull() | (e["a"] == e["b"]), e["a"]).otherwise(F.concat(e["a"], F.lit(" – "), e["b"])))
     return F.when(F.coalesce(date_label_text, F.lit("")) != "", date_label_text).otherwise(made)
 

@@ -240,13 +240,13 @@ def split_transcript(quote: Column, speaker: Column, addressee: Column) -> Colum
             .otherwise(F.array(mk(F.lit(""), x)))
         )
 
-    who = F.struct(
-        let(short_surname(addressee), lambda s: F.when(s != "", s).otherwise("Q.")).alias("asks"),
-        let(short_surname(speaker), lambda s: F.when(s != "", s).otherwise("A.")).alias("says"),
+    who = F.named_struct(
+        F.lit("asks"), let(short_surname(addressee), lambda s: F.when(s != "", s).otherwise("Q.")),
+        F.lit("says"), let(short_surname(speaker), lambda s: F.when(s != "", s).otherwise("A.")),
     )
 
     def by_dash(raw: Column) -> Column:
-        answers = F.transform(F.split(raw, r"(?<=\?)\s*[—–]\s*"), F.trim)
+        answers = F.transform(F.split(raw, r"(?<=\?)\s*[—–]\s*"), lambda x: F.trim(x))
         rows = let(who, lambda w: let(answers, lambda a: F.when(
             F.size(a) >= 2, F.flatten(F.transform(a, lambda x, i: exchange(x, i == F.size(a) - 1, w))))))
         return rows

@@ -30,22 +30,40 @@ def repeated_on_panels(panel: DataFrame) -> DataFrame:
     )
 
 
+def _card_keys(panel: DataFrame, order: str) -> tuple[DataFrame, list[str]]:
+    """Excerpt keys; a source without words gets its own position as key, so it stays alone."""
+    df = with_excerpt(panel).withColumn("solo", F.when(F.col("excerpt") == "", F.col(order)))
+    return df, ["person", "work", "locator", "excerpt", "solo"]
+
+
+def merge_cards(panel: DataFrame, columns: list[str], order: str = "card_order") -> DataFrame:
+    """The primary row of each excerpt with ``also``, the number of rows folded into it.
+
+    A single aggregation that combines before the shuffle: no self-join, and a
+    popular excerpt reaches its reducer as one row per map task.
+    """
+    df, keys = _card_keys(panel, order)
+    extra = [c for c in columns if c not in ("person", "work", "locator")]
+    return (
+        df.groupBy(*keys)
+        .agg(F.min_by(F.struct(*extra), F.col(order)).alias("__p"), (F.count(F.lit(1)) - 1).alias("also"))
+        .select("person", "work", "locator", *[F.col(f"__p.{c}").alias(c) for c in extra], "also")
+    )
+
+
 def merge_duplicates(panel: DataFrame, order: str = "card_order") -> DataFrame:
-    """One card per excerpt: the first met is primary, the others point to it.
+    """All rows, each pointing to the first row of its excerpt.
 
-    Adds ``primary`` (the order struct of the card's first row), ``is_primary``
-    and ``also`` (how many rows were folded in). Sources without words stay
-    separate. The folded rows remain rows: a popular excerpt cannot grow an array.
+    Adds ``primary`` (that row's order struct), ``is_primary`` and ``also``. The
+    folded rows remain rows: a popular excerpt cannot grow an array.
     """
-    df = with_excerpt(panel)
-    keys = ["person", "work", "locator", "excerpt"]
-    worded = df.where(F.col("excerpt") != "")
-    firsts = worded.groupBy(*keys).agg(F.min(order).alias("primary"), (F.count(F.lit(1)) - 1).alias("also"))
-    safe = [F.col(f"w.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
-    cond = safe[0] & safe[1] & safe[2] & safe[3]
-    merged = worded.alias("w").join(firsts.alias("f"), cond).select("w.*", "f.primary", "f.also")
-    single = df.where(F.col("excerpt") == "").withColumn("primary", F.col(order)).withColumn("also", F.lit(0).cast("bigint"))
-    return merged.unionByName(single).withColumn("is_primary", F.col(order) == F.col("primary"))
+    df, keys = _card_keys(panel, order)
+    firsts = df.groupBy(*keys).agg(F.min(order).alias("primary"), (F.count(F.lit(1)) - 1).alias("also"))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"w.{k}").eqNullSafe(F.col(f"f.{k}"))
+    return df.alias("w").join(firsts.alias("f"), cond).select("w.*", "f.primary", "f.also").withColumn(
+        "is_primary", F.col(order) == F.col("primary"))
 
 
 def card_names(cards: DataFrame, order: str = "card_order") -> DataFrame:

@@ -78,7 +78,7 @@ def resolve_names(df: DataFrame, column: str, index: DataFrame, out: str) -> Dat
     subject that fills a third of the rows is folded once."""
     names = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("__key", text.name_key(F.col(column)))
     found = names.join(index.select(F.col("key").alias("__key"), F.col("id").alias(out)), "__key").select(column, out)
-    return df.join(small_side(found), column, "left")
+    return df.join(found, column, "left")
 
 
 def surname_candidates(people: DataFrame) -> DataFrame:
@@ -131,23 +131,21 @@ def person_panel(edge_sources: DataFrame, own_sources: DataFrame, people: DataFr
     ids = people.select("id", "name")
     by_edge = edge_sources.select(
         F.explode("people").alias("person"), "*").withColumn("counterpart", prj.counterpart(F.col("people"), F.col("person")))
-    by_edge = by_edge.join(small_side(ids.select(F.col("id").alias("counterpart"), F.col("name").alias("label"))), "counterpart", "left")
-    by_edge = by_edge.withColumn("route", F.lit(ROUTE_EDGE)).withColumn("label_id", F.col("counterpart"))
-
-    own = resolve_names(own_sources, "subject", index, "__subject_id")
-    mine = (
-        own.withColumn("person", F.col("owner_id")).withColumn("route", F.lit(ROUTE_OWN))
-        .withColumn("label", F.col("subject"))
-        .withColumn("label_id", F.when(F.col("__subject_id") != F.col("owner_id"), F.col("__subject_id")))
-        .withColumn("counterpart", F.lit(None).cast("string")).drop("__subject_id")
-    )
-    theirs = (
-        own.where(F.col("__subject_id") != F.col("owner_id"))
-        .join(small_side(ids.select(F.col("id").alias("owner_id"), F.col("name").alias("label"))), "owner_id", "left")
-        .withColumn("person", F.col("__subject_id")).withColumn("route", F.lit(ROUTE_NAMED))
-        .withColumn("label_id", F.col("owner_id")).withColumn("counterpart", F.lit(None).cast("string")).drop("__subject_id")
-    )
-    flat = by_edge.unionByName(mine).unionByName(theirs)
+    by_edge = by_edge.join(ids.select(F.col("id").alias("counterpart"), F.col("name").alias("label")), "counterpart", "left").drop(
+        "counterpart").withColumns({"route": F.lit(ROUTE_EDGE), "label_id": prj.counterpart(F.col("people"), F.col("person"))})
+
+    # one pass over the engagements gives both their rows: the owner's and the named person's
+    own = resolve_names(own_sources, "subject", index, "__subject").join(
+        ids.select(F.col("id").alias("owner_id"), F.col("name").alias("__owner_name")), "owner_id", "left")
+    owner, subject = F.col("owner_id"), F.col("__subject")
+    other = F.when(subject != owner, subject)
+    row = lambda person, route, label, label_id: F.struct(
+        person.alias("person"), F.lit(route).alias("route"), label.alias("label"), label_id.alias("label_id"))
+    rows = F.array_compact(F.array(
+        row(owner, ROUTE_OWN, F.col("subject"), other),
+        F.when(other.isNotNull(), row(other, ROUTE_NAMED, F.col("__owner_name"), owner))))
+    by_engagement = own.select("*", F.inline(rows)).drop("__subject", "__owner_name")
+    flat = by_edge.unionByName(by_engagement)
     order = F.struct("route", "owner_pos", F.coalesce("engagement_pos", F.lit(0)).alias("engagement_pos"), "source_pos", "source_id")
     return flat.withColumn("card_order", order)
 
@@ -181,7 +179,7 @@ def endpoint_attributes(edges: DataFrame, people: DataFrame, columns: list[str])
     out = edges
     for i, p in enumerate(("a", "b")):
         dim = people.select(F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in columns])
-        out = out.join(small_side(dim), F.col("people")[i] == F.col(f"{p}_id"), "left")
+        out = out.join(dim, F.col("people")[i] == F.col(f"{p}_id"), "left")
     return out
 
 

@@ -13,9 +13,18 @@ from sourceweave.physical import small_side
 _DATE = "struct<y:bigint,m:bigint,d:bigint>"
 
 
-def person_cards(panel: DataFrame) -> DataFrame:
+# what a card keeps when nobody names the columns
+CARD_COLUMNS = [
+    "source_id", "route", "label", "label_id", "owner_id", "quote", "translation", "translation_note", "context", "speaker",
+    "addressee", "voice", "supports", "verified", "verified_with", "document", "citation_provenance", "order_hint",
+    "occurred", "written", "sent", "postmarked", "received",
+]
+
+
+def person_cards(panel: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One card per excerpt on a person's panel, in reading order columns."""
-    return ordering.with_source_order(dedup.merge_duplicates(panel).where("is_primary"))
+    df = ordering.with_source_order(panel)
+    return dedup.merge_cards(df, [*(columns or CARD_COLUMNS), *ordering.SOURCE_ORDER])
 
 
 def person_timeline(people: DataFrame, relationships: DataFrame, engagements: DataFrame) -> DataFrame:
