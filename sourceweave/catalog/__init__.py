@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["panel_queries"]
+_MODULES = ["panel_queries", "reference_queries"]
 
 
 def load():
