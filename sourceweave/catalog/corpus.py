@@ -351,7 +351,7 @@ eng AS (
   FROM src0 WHERE pr IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
 held AS (
   SELECT 'lett/' || p_partkey || '#1' AS letter_id, 'facsimile' AS transcribed_from,
-    'fac/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS at, p_name || ' ' || p_type AS quote FROM part WHERE p_size % 2 = 0
+    'fac/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS "at", p_name || ' ' || p_type AS quote FROM part WHERE p_size % 2 = 0
   UNION ALL
   SELECT 'lett/' || p_partkey || '#' || (1 + p_size % 4), 'printed',
     'pri/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0'), p_type || ' ' || p_name FROM part WHERE p_size % 3 = 0)

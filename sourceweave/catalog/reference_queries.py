@@ -22,9 +22,10 @@ def unknown_people(spark, sf):
     return joins.unknown_people(corpus.relationships(spark, sf), corpus.people(spark, sf).where("born IS NOT NULL"))
 
 
-@query("people_without_relationship", PRELUDE + "SELECT id FROM people WHERE id NOT IN (SELECT unnest([a, b]) FROM rels)")
+@query("people_without_relationship", PRELUDE + "SELECT id FROM people WHERE id NOT IN (SELECT unnest([a, b]) FROM rels WHERE certainty <> 'platonic')")
 def people_without_relationship(spark, sf):
-    return joins.people_without_relationship(corpus.relationships(spark, sf), corpus.people(spark, sf))
+    """People with no relationship but platonic ones."""
+    return joins.people_without_relationship(filters.map_edges(corpus.relationships(spark, sf)), corpus.people(spark, sf))
 
 
 @query("unknown_works", PRELUDE + "SELECT work, source_id FROM src WHERE work NOT IN (SELECT work FROM works)")
@@ -171,7 +172,7 @@ def repeated_ids(spark, sf):
     return dedup.repeated_ids(table(spark, sf, "part").select(F.col("p_name").alias("id")))
 
 
-@query("repeated_readings", PRELUDE + "SELECT at, letter_id, transcribed_from, first_at FROM (SELECT *, min(at) OVER (PARTITION BY letter_id, transcribed_from) AS first_at FROM (SELECT * FROM held UNION ALL SELECT letter_id, transcribed_from, 'z/' || at, quote FROM held WHERE quote LIKE '%ring%')) WHERE at <> first_at")
+@query("repeated_readings", PRELUDE + """SELECT "at", letter_id, transcribed_from, first_at FROM (SELECT *, min("at") OVER (PARTITION BY letter_id, transcribed_from) AS first_at FROM (SELECT * FROM held UNION ALL SELECT letter_id, transcribed_from, 'z/' || "at", quote FROM held WHERE quote LIKE '%ring%')) WHERE "at" <> first_at""")
 def repeated_readings(spark, sf):
     """Second transcriptions of one letter from one kind of source; the first path wins."""
     held = corpus.transcriptions(spark, sf)
@@ -180,7 +181,7 @@ def repeated_readings(spark, sf):
     return later.select("at", "letter_id", "transcribed_from", "first_at")
 
 
-@query("preferred_readings", PRELUDE + "SELECT letter_id, transcribed_from, at FROM (SELECT *, row_number() OVER (PARTITION BY letter_id ORDER BY CASE transcribed_from WHEN 'facsimile' THEN 0 ELSE 1 END, at) AS rn FROM held) WHERE rn = 1")
+@query("preferred_readings", PRELUDE + """SELECT letter_id, transcribed_from, "at" FROM (SELECT *, row_number() OVER (PARTITION BY letter_id ORDER BY CASE transcribed_from WHEN 'facsimile' THEN 0 ELSE 1 END, "at") AS rn FROM held) WHERE rn = 1""")
 def preferred_readings(spark, sf):
     return dedup.preferred_reading(corpus.transcriptions(spark, sf), ["letter_id", "transcribed_from", "at"])
 
@@ -353,7 +354,7 @@ def backlog_skipped_rollup(spark, sf):
 
 
 @query("published_transcriptions", _CITED + """
-SELECT letter_id, transcribed_from FROM (SELECT *, row_number() OVER (PARTITION BY letter_id ORDER BY CASE transcribed_from WHEN 'facsimile' THEN 0 ELSE 1 END, at) AS rn FROM held)
+SELECT letter_id, transcribed_from FROM (SELECT *, row_number() OVER (PARTITION BY letter_id ORDER BY CASE transcribed_from WHEN 'facsimile' THEN 0 ELSE 1 END, "at") AS rn FROM held)
 WHERE rn = 1 AND letter_id IN (SELECT letter_id FROM cit)""")
 def published_transcriptions(spark, sf):
     """Only cited letters cross the gate, without the internal path column."""
@@ -362,7 +363,7 @@ def published_transcriptions(spark, sf):
     return publish.publishable(held, cited).select("letter_id", "transcribed_from")
 
 
-@query("leaked_transcriptions", _CITED + "SELECT letter_id, at FROM held WHERE transcribed_from = 'printed' AND letter_id NOT IN (SELECT letter_id FROM cit)")
+@query("leaked_transcriptions", _CITED + """SELECT letter_id, "at" FROM held WHERE transcribed_from = 'printed' AND letter_id NOT IN (SELECT letter_id FROM cit)""")
 def leaked_transcriptions(spark, sf):
     """What publishing everything held would leak."""
     return publish.leaks(corpus.transcriptions(spark, sf), cited_letters(spark, sf)).select("letter_id", "at")
@@ -498,7 +499,7 @@ def _doc_citations(spark, sf):
 
 @query("citation_check_exact", r"""
 WITH d AS (SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS t,
-  array_to_string(list_slice(list_filter(string_split(regexp_replace(lower(strip_accents(text[1:200])), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> ''), 1, 3), ' ') AS opening FROM documents),
+  array_to_string(list_slice(list_filter(string_split(regexp_replace(lower(strip_accents(text[1:200])), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''), 1, 3), ' ') AS opening FROM documents),
 f AS (SELECT opening, min(doc_id) AS first_doc FROM d GROUP BY 1)
 SELECT d.doc_id, 'd/' || f.first_doc AS letter_id, contains(l.t, array_to_string(list_slice(string_split(d.t, ' '), 1, 14), ' ')) AS found
 FROM d JOIN f USING (opening) JOIN d l ON l.doc_id = f.first_doc WHERE d.doc_id <> f.first_doc AND len(string_split(d.t, ' ')) >= 6""")

@@ -38,17 +38,18 @@ def _folded(ch: str, form: str) -> str:
 @lru_cache(maxsize=2)
 def _fold_tables(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Derived from the Unicode data: one-to-one folds for translate(), and the few
-    characters that fold to several ASCII letters or digits."""
+    characters that fold to several letters or digits. Folds without an ASCII
+    letter or digit are left out: every caller turns such characters into spaces."""
     src, dst, many = [], [], []
     for cp in [*range(0x80, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
         ch = chr(cp)
-        to = _folded(ch, form)
-        if to == ch or not to.isascii():
+        to = "".join(x if x.isascii() else " " for x in _folded(ch, form))
+        if not any(x.isalnum() for x in to):
             continue
         if len(to) == 1:
             src.append(ch)
             dst.append(to)
-        elif len(to) > 1 and cp < 0x2190 or 0xFB00 <= cp < 0xFB07:
+        else:
             many.append((ch, to))
     return "".join(src), "".join(dst), tuple(many)
 

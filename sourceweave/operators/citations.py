@@ -80,11 +80,11 @@ def contained_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """
     runs = passages.select("item_id", F.explode(text.unelided_runs(F.col("text"), MIN_RUN)).alias("run")).select(
         "item_id", text.run_text(F.col("run"), RUN).alias("run_text"), F.array_join(F.slice("run", 2, 4), " ").alias("gram"))
-    body = documents.select("doc_id", text.words(F.col("text")).alias("w")).where(F.size("w") >= MIN_RUN)
+    body = documents.select("doc_id", text.words(F.col("text")).alias("w"))
     # position p is a whole-word anchor; the window starts one word before it
     grams = F.transform(
         F.sequence(F.lit(2), F.size("w") - 3),
         lambda p: F.struct(F.array_join(F.slice(F.col("w"), p, F.lit(4)), " ").alias("gram"),
                            F.array_join(F.slice(F.col("w"), p - 1, F.lit(RUN)), " ").alias("window")))
-    windows = body.where(F.size("w") >= 5).select("doc_id", F.inline(grams))
+    windows = body.select("doc_id", F.inline(F.when(F.size("w") >= MIN_RUN, grams)))
     return windows.join(runs, "gram").where(F.contains("window", F.col("run_text"))).select("item_id", "doc_id").distinct()
