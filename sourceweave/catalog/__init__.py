@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["panel_queries", "reference_queries", "graph_queries"]
+_MODULES = ["panel_queries", "reference_queries", "graph_queries", "text_queries", "dq_queries", "io_queries"]
 
 
 def load():

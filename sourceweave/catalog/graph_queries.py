@@ -140,7 +140,7 @@ cr AS (SELECT l.edge_id AS e1, r.edge_id AS e2 FROM s l JOIN s r ON l.edge_id <
 ol AS (SELECT node_id, r, edge_id, sqrt(pow(x - (x1 + t * (x2 - x1)), 2) + pow(y - (y1 + t * (y2 - y1)), 2)) AS dist FROM (
   SELECT n.*, s.*, greatest(0.0, least(1.0, ((n.x - x1) * (x2 - x1) + (n.y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t
   FROM n JOIN s ON n.node_id <> s.a AND n.node_id <> s.b)),
-onl AS (SELECT node_id, arg_min(edge_id, dist) AS edge_id, CAST(round((any_value(r) - min(dist)) / any_value(r) * 100) AS BIGINT) AS into_ FROM ol WHERE dist < r GROUP BY 1),
+onl AS (SELECT node_id, (list(edge_id ORDER BY dist, edge_id))[1] AS edge_id, CAST(round((any_value(r) - min(dist)) / any_value(r) * 100) AS BIGINT) AS into_ FROM ol WHERE dist < r GROUP BY 1),
 ov AS (SELECT a.node_id AS n1, b.node_id AS n2 FROM n a JOIN n b ON a.node_id < b.node_id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < a.r + b.r)
 """
 

@@ -59,10 +59,12 @@ def fold_accents(c: Column, compatibility: bool = False) -> Column:
     src, dst, many = _fold_tables("NFKD" if compatibility else "NFD")
     out = F.translate(F.regexp_replace(c, r"\p{Mn}", ""), src, dst)
     if many:
-        cls = "[" + "".join(k for k, _ in many) + "]"
+        rare = "".join(k for k, _ in many)
         pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in many])
-        # reduce over no pairs is the text itself, so the text is only evaluated once
-        out = let(out, lambda x: F.when(x.rlike(cls), F.reduce(pairs, x, lambda acc, p: F.replace(acc, p["k"], p["v"]))).otherwise(x))
+        # translate() spots the rare characters far faster than a large character class
+        out = let(out, lambda x: F.when(
+            F.length(F.translate(x, rare, "")) != F.length(x),
+            F.reduce(pairs, x, lambda acc, p: F.replace(acc, p["k"], p["v"]))).otherwise(x))
     return out
 
 
@@ -102,33 +104,35 @@ def any_run_contained(runs: Column, body_text: Column) -> Column:
 def marked_spans(full: Column, quote: Column, min_chars: int = 12) -> Column:
     """Offsets (0-based start, exclusive end) of each quoted run in the full text, left to right.
 
-    A run is turned into a pattern that lets anything but ASCII letters and
-    digits stand between its words, so offsets come straight from the original.
+    Runs are sought among the bare words. A position there is turned back into
+    one of the original by the separators passed on the way, each of which the
+    bare words replaced by a single space.
     """
     low = F.lower(full)
+    bare = lambda c: F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
     probes = F.filter(
-        F.transform(
-            F.split(F.coalesce(quote, F.lit("")), rf"\s*(?:{ELISION})\s*"),
-            lambda p: F.trim(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " ")),
-        ),
+        F.transform(F.split(F.coalesce(quote, F.lit("")), rf"\s*(?:{ELISION})\s*"), lambda p: bare(F.lower(p))),
         lambda p: F.length(p) >= min_chars,
     )
     span = "array<struct<start:int,end:int>>"
 
-    def step(acc: Column, probe: Column) -> Column:
-        rx = F.replace(probe, F.lit(" "), F.lit("[^a-z0-9]+"))
-        tail = F.substring(low, acc["next"] + 1, F.length(low))
-        at = F.regexp_instr(tail, rx)
-        start = (acc["next"] + at - 1).cast("int")
-        end = (start + F.length(F.regexp_substr(tail, rx))).cast("int")
-        return F.when(
-            at > 0,
-            F.struct(end.alias("next"),
-                     F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans")),
-        ).otherwise(acc)
-
-    zero = F.struct(F.lit(0).alias("next"), F.array().cast(span).alias("spans"))
-    return F.reduce(probes, zero, step, lambda acc: acc["spans"])
+    def original(page: Column, at: Column) -> Column:
+        spaces = F.regexp_count(F.substring(page["flat"], F.lit(1), at), F.lit(" "))
+        passed = F.length(F.array_join(F.slice(page["seps"], F.lit(1), spaces + 1), ""))
+        return (passed + at - spaces).cast("int")
+
+    def spans(page: Column) -> Column:
+        def step(acc: Column, probe: Column) -> Column:
+            at = F.position(probe, page["flat"], acc["next"] + 1)
+            found = F.struct(original(page, at - 1).alias("start"), (original(page, at + F.length(probe) - 2) + 1).alias("end"))
+            return F.when(at > 0, F.struct(
+                (at + F.length(probe) - 1).cast("int").alias("next"), F.concat(acc["spans"], F.array(found)).alias("spans"))).otherwise(acc)
+
+        zero = F.struct(F.lit(0).alias("next"), F.array().cast(span).alias("spans"))
+        return F.reduce(probes, zero, step, lambda acc: acc["spans"])
+
+    page = F.named_struct(F.lit("flat"), bare(low), F.lit("seps"), F.split(low, "[a-z0-9]+", -1))
+    return let(page, spans)
 
 
 # ---------------------------------------------------------------- language

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from sourceweave.functions import text
 from sourceweave.operators.projections import source_letter_ids
+from sourceweave.physical import estimated_bytes
 
 RUN = 14
 MIN_RUN = 6
@@ -69,18 +70,32 @@ def check_citations(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
     return settled.unionByName(rest).drop("runs")
 
 
-def contained_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
+def _passage_runs(passages: DataFrame) -> DataFrame:
+    runs = passages.select("item_id", F.explode(text.unelided_runs(F.col("text"), MIN_RUN)).alias("run")).withColumn(
+        "run", F.slice("run", 1, RUN))
+    # the words between a run's first and last are whole words wherever the run occurs
+    inner = F.slice("run", F.lit(2), F.size("run") - 2)
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    return runs.select("item_id", F.array_join("run", " ").alias("run_text"), F.array_join(F.slice("run", 2, 4), " ").alias("gram"),
+                       longest.alias("anchor"))
+
+
+def contained_passages(passages: DataFrame, documents: DataFrame, small: int = 1 << 20) -> DataFrame:
     """(item_id, doc_id) where the first 14 words of a passage's run stand in a document, no id linking them.
 
-    The four words after a run's first are whole words wherever the run occurs
-    (the first and the last may be parts of longer words), so both sides meet in
-    an equi-join on them and the rest of the run is compared there. The passage
-    side is small in practice and then broadcast by Spark; otherwise both sides
-    shuffle on four words.
+    A passage table within ``small`` bytes (its size estimate is checked) gives
+    one anchor word per run; a document is searched only for the runs whose
+    anchor it holds, in the scan itself, without a shuffle. A larger table meets
+    the documents in an equi-join on four whole words of each run.
     """
-    runs = passages.select("item_id", F.explode(text.unelided_runs(F.col("text"), MIN_RUN)).alias("run")).select(
-        "item_id", text.run_text(F.col("run"), RUN).alias("run_text"), F.array_join(F.slice("run", 2, 4), " ").alias("gram"))
+    runs = _passage_runs(passages)
     body = documents.select("doc_id", text.words(F.col("text")).alias("w"))
+    if estimated_bytes(passages) <= small:
+        anchors = runs.agg(F.collect_set("anchor")).scalar()
+        held = body.select("doc_id", F.array_join("w", " ").alias("body"), F.array_intersect("w", anchors).alias("held"))
+        hits = held.select("doc_id", "body", F.explode("held").alias("anchor")).join(
+            F.broadcast(runs.select("item_id", "run_text", "anchor")), "anchor").where(F.contains("body", F.col("run_text")))
+        return hits.select("item_id", "doc_id").distinct()
     # position p is a whole-word anchor; the window starts one word before it
     grams = F.transform(
         F.sequence(F.lit(2), F.size("w") - 3),

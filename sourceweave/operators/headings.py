@@ -336,7 +336,8 @@ def extract(headings: DataFrame, aliases: DataFrame, overrides: DataFrame | None
     if overrides is not None:
         todo = apply_overrides(todo, overrides)
     acts = heading_acts(split_heading(todo), aliases)
-    # the place texts of a heading ride along with its acts: one pass, one grouping by file
+    # the place texts of a heading ride along with its acts: one pass, one grouping by file;
+    # a heading already flagged is left alone
     tagged = F.concat(
         F.transform("place_texts", lambda x, i: F.struct(F.lit("written").alias("act"), i.alias("pos"), x.alias("place_text"))),
         F.when(F.col("postmark_place_text") != "", F.array(F.struct(
@@ -344,7 +345,7 @@ def extract(headings: DataFrame, aliases: DataFrame, overrides: DataFrame | None
         .otherwise(F.array().cast("array<struct<act:string,pos:int,place_text:string>>")))
     keep = [c for c in headings.columns if c != "quote"]
     carried = F.struct(*[c for c in keep if c != "file"], "written", "postmarked", "received", "body", "flag")
-    texts = acts.select("file", carried.alias("__c"), F.inline_outer(tagged))
+    texts = acts.select("file", carried.alias("__c"), F.inline_outer(F.when(F.col("flag").isNull(), tagged)))
     mapped = resolve_addresses(texts, "place_text", aliases, "place_id")
     of = lambda act: F.min_by("place_id", F.when(F.col("act") == act, F.col("pos")))
     done = mapped.groupBy("file").agg(
