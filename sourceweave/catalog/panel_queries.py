@@ -11,7 +11,7 @@ from sourceweave.catalog.shared import PANEL, panel
 from sourceweave.functions import dates, text
 from sourceweave.operators import aggregates, dedup, filters, joins, ordering, sets
 from sourceweave.operators import projections as prj
-from sourceweave.physical import with_group_count
+from sourceweave.physical import spread, with_group_count
 from sourceweave.plans import panels
 
 _TIMEKEY = "{y} + (coalesce({m}, 6.5) - 1) / 12.0 + coalesce({d}, 15) / 372.0"
@@ -25,7 +25,7 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, source, lang, CAST(also AS BIGINT) AS a
 UNION ALL SELECT doc_id, source, lang, 0 FROM k WHERE key = ''""")
 def document_panel(spark, sf):
     """Documents merged by their words: the first is kept, later copies are counted."""
-    df = corpus.table(spark, sf, "documents").select(
+    df = spread(corpus.table(spark, sf, "documents")).select(
         F.lit("all").alias("person"), F.lit("").alias("work"), F.lit("").alias("locator"), F.col("text").alias("quote"),
         "doc_id", "source", "lang", F.struct("doc_id").alias("card_order"))
     # a text may be long: compare its words by a 256-bit digest, not by shuffling them

@@ -10,6 +10,7 @@ from sourceweave.catalog.corpus import PRELUDE, table
 from sourceweave.catalog.registry import query
 from sourceweave.functions import dates, text
 from sourceweave.operators import aggregates, citations, headings
+from sourceweave.physical import spread
 from sourceweave.streaming import resumable
 
 _FOLD = "trim(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'))"
@@ -29,7 +30,7 @@ def name_keys(spark, sf):
 @query("word_bags", f"SELECT doc_id, CAST(len(list_filter(string_split({_FOLD.format(c='text')}, ' '), lambda x: x <> '')) AS BIGINT) AS words, md5({_FOLD.format(c='text')}) AS key FROM documents")
 def word_bags(spark, sf):
     w = text.words(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", w.alias("w")).select(
+    return spread(table(spark, sf, "documents")).select("doc_id", w.alias("w")).select(
         "doc_id", F.size("w").cast("bigint").alias("words"), F.md5(F.array_join("w", " ")).alias("key"))
 
 
@@ -51,7 +52,7 @@ SELECT doc_id, CASE WHEN length(probe) >= 12 THEN CAST(length(line) - length(reg
   CASE WHEN length(probe) >= 12 THEN CAST(length(regexp_replace(lower(line), '[^a-z0-9]+$', '')) AS INT) END AS "end" FROM k""")
 def marked_spans(spark, sf):
     """Where a document's first line stands in the document."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     spans = text.marked_spans(F.col("text"), F.substring_index("text", "\n", 1))
     return d.select("doc_id", F.try_element_at(spans, F.lit(1)).alias("s")).select("doc_id", "s.start", "s.end")
 
@@ -77,7 +78,7 @@ SELECT doc_id, said, CASE WHEN hits >= 4 AND hits / words >= 0.14 THEN name END
 @query("foreign_guess", _lang_sql())
 def foreign_guess(spark, sf):
     """Documents that read as clearly not English, by function words."""
-    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("said"), text.foreign_guess(F.col("text")).alias("g"))
+    d = spread(table(spark, sf, "documents")).select("doc_id", F.col("lang").alias("said"), text.foreign_guess(F.col("text")).alias("g"))
     return d.select("doc_id", "said", "g.language", "g.hits", "g.words")
 
 
@@ -85,7 +86,7 @@ def foreign_guess(spark, sf):
 SELECT doc_id FROM documents WHERE regexp_matches(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\*\*[^*\n]+\*\*', 'x', 'g'), '\*[^*\n]+\*', 'x', 'g'),
   '__[^_\n]+__', 'x', 'g'), '_[^_\n]+_', 'x', 'g'), '~~[^~\n]+~~', 'x', 'g'), '[*_~]')""")
 def unbalanced_emphasis(spark, sf):
-    return table(spark, sf, "documents").where(text.unbalanced_emphasis(F.col("text"))).select("doc_id")
+    return spread(table(spark, sf, "documents")).where(text.unbalanced_emphasis(F.col("text"))).select("doc_id")
 
 
 @query("control_characters", r"""

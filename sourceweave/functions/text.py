@@ -74,18 +74,17 @@ def name_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, "[.'’]", ""), "[^a-z0-9]+", " "))
 
 
-def words(c: Column) -> Column:
-    """Accent-folded ASCII words, in order."""
-    s = F.lower(fold_accents(F.coalesce(c, F.lit("")), compatibility=True))
-    return F.filter(F.split(F.regexp_replace(s, "[^a-z0-9 ]+", " "), " "), lambda w: w != "")
-
-
 def word_text(c: Column) -> Column:
-    """The same words joined by single spaces: the form containment is tested on."""
+    """Accent-folded ASCII words joined by single spaces: the form containment is tested on."""
     s = F.lower(fold_accents(F.coalesce(c, F.lit("")), compatibility=True))
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
+def words(c: Column) -> Column:
+    """The same words as an array, in order."""
+    return F.array_remove(F.split(word_text(c), " "), "")
+
+
 def unelided_runs(quote: Column, min_words: int = 6) -> Column:
     """The stretches of a quotation between its ellipses, as word arrays, short ones dropped."""
     parts = F.transform(F.split(F.coalesce(quote, F.lit("")), ELISION), words)
@@ -153,16 +152,21 @@ def foreign_guess(c: Column, min_hits: int = 4, min_density: float = 0.14) -> Co
 
     Ties go to the language listed first.
     """
-    hits = language_hits(c)
-    best = F.greatest(*hits.values())
-    n = F.greatest(F.lit(1), F.regexp_count(c, F.lit(r"(?U)\S+")))
-    name = F.coalesce(*[F.when(h == best, F.lit(k)) for k, h in hits.items()])
-    clear = (best >= min_hits) & (best / n >= min_density)
-    return F.struct(
-        F.when(clear, name).alias("language"),
-        F.when(clear, best).otherwise(0).cast("bigint").alias("hits"),
-        n.cast("bigint").alias("words"),
-    )
+    hits = F.array(*language_hits(c).values())
+    counted = F.named_struct(
+        F.lit("hits"), hits, F.lit("words"), F.greatest(F.lit(1), F.regexp_count(c, F.lit(r"(?U)\S+"))))
+    names = F.array(*[F.lit(k) for k in vocab.FUNCTION_WORDS])
+
+    def judge(x: Column) -> Column:
+        best = F.array_max(x["hits"])
+        clear = (best >= min_hits) & (best / x["words"] >= min_density)
+        return F.struct(
+            F.when(clear, F.element_at(names, F.array_position(x["hits"], best).cast("int"))).alias("language"),
+            F.when(clear, best).otherwise(0).cast("bigint").alias("hits"),
+            x["words"].cast("bigint").alias("words"),
+        )
+
+    return let(counted, judge)
 
 
 # ---------------------------------------------------------------- emphasis

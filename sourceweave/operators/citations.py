@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from sourceweave.functions import text
 from sourceweave.operators.projections import source_letter_ids
-from sourceweave.physical import estimated_bytes
+from sourceweave.physical import estimated_bytes, spread
 
 RUN = 14
 MIN_RUN = 6
@@ -51,23 +51,26 @@ def run_is_close(run: list[str], body: np.ndarray) -> bool:
 def any_run_close(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for runs, bodies in batches:
         yield pd.Series([
-            any(run_is_close(list(r), np.asarray(b, dtype=object)) for r in rs) for rs, b in zip(runs, bodies)
-        ])
+            rs is not None and any(run_is_close(list(r), np.asarray(b, dtype=object)) for r in rs) for rs, b in zip(runs, bodies)
+        ], dtype=bool)
 
 
 def check_citations(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Adds ``exact`` and ``found``; pairs whose quotation has no run long enough are dropped.
 
-    The JVM test settles the exact ones; only the rest reach Python, in Arrow batches.
+    The JVM test settles the exact ones; only the rest send their words to
+    Python, in Arrow batches. The runs pass through a generator so that no
+    filter on them is evaluated a second time below it.
     """
-    df = pairs.withColumn("runs", text.unelided_runs(F.col("quote"), MIN_RUN)).where(F.size("runs") > 0)
-    df = df.withColumn("exact", text.any_run_contained(F.col("runs"), text.word_text(F.col("body"))))
+    runs = F.array(F.struct(text.unelided_runs(F.col("quote"), MIN_RUN).alias("runs")))
+    tested = F.transform(F.filter(runs, lambda r: F.size(r["runs"]) > 0), lambda r: F.struct(
+        r["runs"].alias("runs"), text.any_run_contained(r["runs"], text.word_text(F.col("body"))).alias("exact")))
+    df = spread(pairs).select("*", F.inline_outer(tested)).where(F.col("runs").isNotNull())
     if not fuzzy:
         return df.withColumn("found", F.col("exact")).drop("runs")
-    settled = df.where("exact").withColumn("found", F.lit(True))
-    rest = df.where("NOT exact").withColumn("words", text.words(F.col("body"))).withColumn(
-        "found", any_run_close(F.col("runs"), F.col("words"))).drop("words")
-    return settled.unionByName(rest).drop("runs")
+    left = ~F.col("exact")
+    close = any_run_close(F.when(left, F.col("runs")), F.when(left, text.words(F.col("body"))))
+    return df.withColumn("found", F.col("exact") | close).drop("runs")
 
 
 def _passage_runs(passages: DataFrame) -> DataFrame:
@@ -89,12 +92,14 @@ def contained_passages(passages: DataFrame, documents: DataFrame, small: int = 1
     the documents in an equi-join on four whole words of each run.
     """
     runs = _passage_runs(passages)
-    body = documents.select("doc_id", text.words(F.col("text")).alias("w"))
+    # coalesce() around a test keeps "is not null" from being checked, and the text from being folded, twice
+    body = spread(documents.select("doc_id", "text")).select("doc_id", text.words(F.col("text")).alias("w"))
     if estimated_bytes(passages) <= small:
         anchors = runs.agg(F.collect_set("anchor")).scalar()
         held = body.select("doc_id", F.array_join("w", " ").alias("body"), F.array_intersect("w", anchors).alias("held"))
-        hits = held.select("doc_id", "body", F.explode("held").alias("anchor")).join(
-            F.broadcast(runs.select("item_id", "run_text", "anchor")), "anchor").where(F.contains("body", F.col("run_text")))
+        hits = held.select("doc_id", "body", F.explode_outer("held").alias("anchor")).join(
+            F.broadcast(runs.select("item_id", "run_text", "anchor")), "anchor").where(
+            F.coalesce(F.contains("body", F.col("run_text")), F.lit(False)))
         return hits.select("item_id", "doc_id").distinct()
     # position p is a whole-word anchor; the window starts one word before it
     grams = F.transform(

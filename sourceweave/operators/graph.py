@@ -108,7 +108,7 @@ def breadth_first(start: DataFrame, edges: DataFrame, max_depth: int = 1000) ->
     queue would place it; ``edges`` carries ``pos``, the order edges are tried in.
     A level is ranked by a range-partitioned sort, not by one window.
     """
-    adj = adjacency(edges, "pos").select("src", "dst", "pos")
+    adj = cut_lineage(adjacency(edges, "pos").select("src", "dst", "pos"))
     level = cut_lineage(start.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("bigint").alias("rank")))
     levels = [level]
     for depth in range(1, max_depth + 1):
@@ -129,6 +129,7 @@ def breadth_first(start: DataFrame, edges: DataFrame, max_depth: int = 1000) ->
 
 def subtree_leaves(tree: DataFrame) -> DataFrame:
     """(id, leaves): leaves under each node of a search tree, one bottom-up round per level."""
+    tree = cut_lineage(tree)
     kids = tree.where(F.col("parent").isNotNull()).select(F.col("parent").alias("id")).distinct()
     depth = tree.agg(F.max("depth")).first()[0] or 0
     weight = tree.join(kids, "id", "left_anti").select("id", F.lit(1).cast("bigint").alias("leaves"))

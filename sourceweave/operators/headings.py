@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sourceweave import schemas, vocab
 from sourceweave.functions import dates
 from sourceweave.operators.joins import longest_prefix
+from sourceweave.physical import spread
 
 _I = "(?iu)"
 
@@ -332,7 +333,7 @@ def extract(headings: DataFrame, aliases: DataFrame, overrides: DataFrame | None
     A record that already has a date, or ``already_dated``, is skipped.
     """
     dated = F.col("already_dated") if "already_dated" in headings.columns else F.lit(False)
-    todo = headings.where(~dated)
+    todo = spread(headings.where(~dated))
     if overrides is not None:
         todo = apply_overrides(todo, overrides)
     acts = heading_acts(split_heading(todo), aliases)

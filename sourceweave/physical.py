@@ -25,6 +25,17 @@ def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def spread(df: DataFrame, per_task: int = 128 * 1024 * 1024) -> DataFrame:
+    """Deal rows out to all tasks when the data is too small for its own splits to do so.
+
+    One small file is one task, however heavy the work per row. Above the size
+    where the scan fills the cluster by itself the frame is returned as it is,
+    so large data is never shuffled for this.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if estimated_bytes(df) < tasks * per_task else df
+
+
 def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """One row per key, the least by ``order``.
 
