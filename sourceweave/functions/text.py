@@ -60,7 +60,7 @@ def fold_accents(c: Column, compatibility: bool = False) -> Column:
     out = F.translate(F.regexp_replace(c, r"\p{Mn}", ""), src, dst)
     if many:
         rare = "".join(k for k, _ in many)
-        pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in many])
+        pairs = F.expr("array(" + ", ".join(f"named_struct('k', '{k}', 'v', '{v}')" for k, v in many) + ")")
         # translate() spots the rare characters far faster than a large character class
         out = let(out, lambda x: F.when(
             F.length(F.translate(x, rare, "")) != F.length(x),
