@@ -127,9 +127,9 @@ WITH ppl AS (SELECT p_name AS name, p_type || ' ' || p_brand AS aka FROM part),
 sp AS (SELECT name, unnest([name, aka]) AS s FROM ppl),
 cand AS (SELECT DISTINCT lower(regexp_extract(s, '(\\S+)$', 1)) AS surname, name FROM sp),
 letters AS (SELECT p_partkey AS letter_id, CASE WHEN p_size % 3 = 0 THEN split_part(p_name, ' ', 2) WHEN p_size % 3 = 1 THEN p_name ELSE p_brand END AS value FROM part)
-SELECT DISTINCT letter_id, value, name FROM letters JOIN cand ON lower(value) = surname WHERE lower(value) NOT IN (SELECT lower(s) FROM sp)""")
+SELECT letter_id, value, CAST(count(*) AS BIGINT) AS candidates FROM letters JOIN cand ON lower(value) = surname WHERE lower(value) NOT IN (SELECT lower(s) FROM sp) GROUP BY 1, 2""")
 def bare_surnames(spark, sf):
-    """Correspondents named by a surname, with everybody who bears it."""
+    """Correspondents named by a surname, with the number of people who bear it."""
     p, size = table(spark, sf, "part"), F.col("p_size")
     people = p.select(F.col("p_name").alias("name"), F.array(F.concat("p_type", F.lit(" "), "p_brand")).alias("aka"))
     letters = p.select(F.col("p_partkey").alias("letter_id"), F.when(size % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(2)))
@@ -316,8 +316,8 @@ def linked_documents(spark, sf):
 
 
 @query("same_folio_other_letter", _CITED + """, h AS (SELECT DISTINCT letter_id FROM matches WHERE letter_id IS NOT NULL)
-SELECT c.letter_id, h.letter_id AS held_id FROM (SELECT DISTINCT letter_id FROM cit) c JOIN h ON split_part(c.letter_id, '#', 1) = split_part(h.letter_id, '#', 1)
-WHERE c.letter_id NOT IN (SELECT letter_id FROM h)""")
+, mi AS (SELECT DISTINCT letter_id, split_part(letter_id, '#', 1) AS stem FROM cit WHERE letter_id NOT IN (SELECT letter_id FROM h)), ne AS (SELECT letter_id, split_part(letter_id, '#', 1) AS stem FROM h)
+SELECT stem, letter_id, 'cited' AS role FROM mi WHERE stem IN (SELECT stem FROM ne) UNION ALL SELECT stem, letter_id, 'held' FROM ne WHERE stem IN (SELECT stem FROM mi)""")
 def same_folio_other_letter(spark, sf):
     held = _matches(spark, sf).where("letter_id IS NOT NULL")
     return coverage.same_folio_other_letter(_citing(spark, sf), held)

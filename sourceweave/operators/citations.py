@@ -22,9 +22,12 @@ SHARE = 0.7
 
 
 def citations_with_letters(sources: DataFrame, letters: DataFrame, keys: list[str]) -> DataFrame:
-    """Equi-join of citations and letter texts on the letter id, singular or plural."""
+    """Equi-join of citations and letter texts on the letter id, singular or plural.
+
+    A letter's text is reduced to its words before the join, once, however often it is cited.
+    """
     cited = sources.select(*keys, "locator", "quote", F.explode(source_letter_ids()).alias("letter_id"))
-    return cited.join(letters.select("letter_id", F.col("quote").alias("body")), "letter_id")
+    return cited.join(spread(letters.select("letter_id", "quote")).select("letter_id", text.word_text(F.col("quote")).alias("body")), "letter_id")
 
 
 def run_is_close(run: list[str], body: np.ndarray) -> bool:
@@ -56,7 +59,7 @@ def any_run_close(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 
 def check_citations(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Adds ``exact`` and ``found``; pairs whose quotation has no run long enough are dropped.
+    """Adds ``exact`` and ``found`` to pairs of ``citations_with_letters``; those without a run long enough are dropped.
 
     The JVM test settles the exact ones; only the rest send their words to
     Python, in Arrow batches. The runs pass through a generator so that no
@@ -64,12 +67,12 @@ def check_citations(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
     """
     runs = F.array(F.struct(text.unelided_runs(F.col("quote"), MIN_RUN).alias("runs")))
     tested = F.transform(F.filter(runs, lambda r: F.size(r["runs"]) > 0), lambda r: F.struct(
-        r["runs"].alias("runs"), text.any_run_contained(r["runs"], text.word_text(F.col("body"))).alias("exact")))
+        r["runs"].alias("runs"), text.any_run_contained(r["runs"], F.col("body")).alias("exact")))
     df = spread(pairs).select("*", F.inline_outer(tested)).where(F.col("runs").isNotNull())
     if not fuzzy:
         return df.withColumn("found", F.col("exact")).drop("runs")
     left = ~F.col("exact")
-    close = any_run_close(F.when(left, F.col("runs")), F.when(left, text.words(F.col("body"))))
+    close = any_run_close(F.when(left, F.col("runs")), F.when(left, F.split("body", " ")))
     return df.withColumn("found", F.col("exact") | close).drop("runs")
 
 

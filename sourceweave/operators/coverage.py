@@ -38,11 +38,17 @@ def linked_counts(covered: DataFrame) -> DataFrame:
 
 
 def same_folio_other_letter(citing: DataFrame, held: DataFrame) -> DataFrame:
-    """Cited letters we do not hold, with each letter we do hold on the same folio."""
+    """Folios where a letter is cited that we do not hold while we hold another: (stem, letter_id, role).
+
+    Cited and held letters are listed once each under their folio, not paired,
+    so a folio with very many letters stays linear.
+    """
     have = held.select("letter_id").distinct()
     missing = citing.select("letter_id").distinct().join(have, "letter_id", "left_anti").withColumn("stem", text.stem(F.col("letter_id")))
-    near = have.select(F.col("letter_id").alias("held_id"), text.stem(F.col("letter_id")).alias("stem"))
-    return missing.join(near, "stem").select("letter_id", "held_id")
+    near = have.withColumn("stem", text.stem(F.col("letter_id")))
+    cited = missing.join(near.select("stem").distinct(), "stem", "left_semi").select("stem", "letter_id", F.lit("cited").alias("role"))
+    ours = near.join(missing.select("stem").distinct(), "stem", "left_semi").select("stem", "letter_id", F.lit("held").alias("role"))
+    return cited.unionByName(ours)
 
 
 def tier(

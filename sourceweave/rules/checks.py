@@ -390,9 +390,9 @@ def letters_hold_quotations(pairs: DataFrame, record: Column, fuzzy: bool = True
 def manifest_matches(matches: DataFrame, citing: DataFrame) -> DataFrame:
     lid = F.col("letter_id")
     bad = matches.where(_has(lid) & ~text.is_letter_id(lid))
-    near = coverage.same_folio_other_letter(citing, matches.where(lid.isNotNull()))
+    near = coverage.same_folio_other_letter(citing, matches.where(lid.isNotNull())).where("role = 'cited'")
     return as_findings(bad, "L3", "match", lid, "malformed letter id").unionByName(
-        as_findings(near, "L4", "match", lid, "another letter of the same folio is held", "warning", F.col("held_id")))
+        as_findings(near, "L4", "match", lid, "another letter of the same folio is held", "warning", F.col("stem")))
 
 
 # ------------------------------------------------------------------ transcriptions
