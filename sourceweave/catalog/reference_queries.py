@@ -12,6 +12,7 @@ from sourceweave.catalog.shared import PANEL
 from sourceweave.functions import text
 from sourceweave.operators import aggregates, citations, coverage, dedup, filters, joins, ordering, sets
 from sourceweave.operators import projections as prj
+from sourceweave.physical import spread
 from sourceweave.plans import publish
 
 
@@ -488,7 +489,7 @@ def passages_in_documents(spark, sf):
 
 def _doc_citations(spark, sf):
     """Each document cites the first document opening with the same three words."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.array_join(F.slice(text.words(F.substring("text", 1, 200)), 1, 3), " ").alias("opening"))
+    d = spread(table(spark, sf, "documents")).select("doc_id", "text", F.array_join(F.slice(text.words(F.col("text")), 1, 3), " ").alias("opening"))
     first = d.groupBy("opening").agg(F.min("doc_id").alias("first_doc"))
     src = d.join(first, "opening").where("doc_id <> first_doc").select(
         "doc_id", F.lit("").alias("locator"), F.col("text").alias("quote"), F.concat(F.lit("d/"), F.col("first_doc").cast("string")).alias("letter_id"),
@@ -499,7 +500,7 @@ def _doc_citations(spark, sf):
 
 @query("citation_check_exact", r"""
 WITH d AS (SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS t,
-  array_to_string(list_slice(list_filter(string_split(regexp_replace(lower(strip_accents(text[1:200])), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''), 1, 3), ' ') AS opening FROM documents),
+  array_to_string(list_slice(list_filter(string_split(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''), 1, 3), ' ') AS opening FROM documents),
 f AS (SELECT opening, min(doc_id) AS first_doc FROM d GROUP BY 1)
 SELECT d.doc_id, 'd/' || f.first_doc AS letter_id, contains(l.t, array_to_string(list_slice(string_split(d.t, ' '), 1, 14), ' ')) AS found
 FROM d JOIN f USING (opening) JOIN d l ON l.doc_id = f.first_doc WHERE d.doc_id <> f.first_doc AND len(string_split(d.t, ' ')) >= 6""")

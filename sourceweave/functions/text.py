@@ -229,7 +229,7 @@ def split_transcript(quote: Column, speaker: Column, addressee: Column) -> Colum
 
     def labelled(x: Column) -> Column:
         who = F.substring_index(x, mid, 1)
-        name = F.concat(F.substring(who, 1, 1), F.lower(F.substring(who, 2, 10_000)))
+        name = F.concat(F.substring(who, 1, 1), F.lower(F.substring(who, F.lit(2), F.length(who))))
         return F.when(F.contains(x, F.lit(mid)), mk(name, F.trim(F.substring_index(x, mid, -1)))).otherwise(mk(F.lit(""), x))
 
     def by_label(raw: Column) -> Column:

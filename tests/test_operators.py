@@ -315,8 +315,9 @@ def test_stream_resumes_without_repeating(spark, tmp_path):
     src_dir.mkdir()
     put = lambda n, q: (src_dir / f"{n}.json").write_text(json.dumps({"file": n, "addressee": "x", "quote": q}))
     aliases = spark.createDataFrame([("Paris", "paris")], "address string, place_id string")
-    put("a", "3 May 1897 Paris\n\nDear A, b")
     run = lambda: resumable.run_headings(resumable.heading_files(spark, str(src_dir)), aliases, out, state)
+    assert run().count() == 0
+    put("a", "3 May 1897 Paris\n\nDear A, b")
     assert run().count() == 1
     put("b", "nothing dated")
     res = {r["file"]: r["status"] for r in run().collect()}

@@ -190,3 +190,33 @@ def test_location_order_and_statement(spark):
     assert [r["location"]["short"] for r in out] == ["Published", "Online", "Unknown", "Bodleian", "Ransom Center"]
     assert out[0]["recorded_by"] == "Hart-Davis, in Hart 2000"
     assert out[3]["held_statement"] == "Last known at Bodleian Library, Oxford, 1927" and out[4]["held_statement"].startswith("Held at Harry")
+
+
+def test_repeated_records_and_places(spark):
+    act = schemas.ACT
+    none = F.lit(None).cast(act)
+    p = spark.createDataFrame([("a", "A", "core", "f"), ("a", "A", "core", None)], "id string, name string, group string, gender string").select("*", none.alias("born"), none.alias("died"))
+    assert counts(checks.people(p)) == {"P2": 1}
+    r = spark.createDataFrame(
+        [("a--b", ["a", "b"], "married", "confirmed"), ("a--b", ["a", "b"], "married", "confirmed"), ("x", ["a", "b"], "friends", "maybe")],
+        "id string, people array<string>, certainty string, certainty_status string")
+    r = r.select("*", none.alias("start"), none.alias("end"), *[F.lit(None).cast("string").alias(c) for c in ("direction", "outcome", "date_label")])
+    roster = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    assert counts(checks.relationships(r, roster)) == {"R2": 1, "R4": 1, "R6": 2, "R14": 1}
+    g = spark.createDataFrame([("p", None, "Nice"), ("q", None, "Nice"), ("r", "Hotel A", "Nice"), ("s", "A Hotel", "Nice")], "place_id string, venue string, city string")
+    g = g.select("*", *[F.lit(None).cast("string").alias(c) for c in ("street", "region", "country")])
+    used = spark.createDataFrame([("p",), ("q",), ("r",)], "place string")
+    assert counts(checks.places(g, used)) == {"G4": 1, "G5": 1, "G6": 1}
+
+
+def test_transcription_fields(spark):
+    t = spark.createDataFrame(
+        [("w/1", "copied", "a/1.json", "text", "A", "B"), ("w/2", "printed", "a/2.json", " ", "A", " "), ("w/2", "printed", "a/3.json", "text", "A", "B")],
+        "letter_id string, transcribed_from string, at string, quote string, sender string, addressee string")
+    assert counts(checks.transcriptions(t)) == {"N2": 1, "N4": 1, "N8": 1, "N10": 1}
+
+
+def test_raw_place_references(spark):
+    from sourceweave.operators import joins
+    raw = spark.createDataFrame([('{"born":{"place":"rome"},"places":["paris", "nice"],"x":{"place": "bonn"}}',)], "raw string")
+    assert {r["place"] for r in joins.raw_place_references(raw).collect()} == {"rome", "paris", "nice", "bonn"}
