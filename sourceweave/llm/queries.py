@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourceweave.llm import fertility, hash_tree, wu_manber
+from sourceweave.llm import fertility, hash_tree, ppm, superminhash, wu_manber
 from sourceweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,31 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and shard after growth of every document."""
     return hash_tree.shards(read(spark, sf_dir, "documents"))
+
+
+SQL_NEAR = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+e AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r AS (SELECT a AS id, a AS m FROM (SELECT DISTINCT a FROM e) UNION SELECT r.id, e.b FROM r JOIN e ON r.m = e.a),
+c AS (SELECT id, min(m) AS m FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.m, d.doc_id) AS component_id, coalesce(c.m, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
+"""
+
+
+@query("op2_superminhash_near_duplicates", SQL_NEAR)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of similarity 0.85."""
+    return superminhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op10_ppm_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and PPM score of every document."""
+    return ppm.scores(read(spark, sf_dir, "documents"))
