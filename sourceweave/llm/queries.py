@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourceweave.llm import fertility, hash_tree, ppm, superminhash, wu_manber
+from sourceweave.llm import feistel, fertility, hash_tree, ppm, superminhash, wu_manber
 from sourceweave.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base and PPM score of every document."""
     return ppm.scores(read(spark, sf_dir, "documents"))
+
+
+@query("op7_feistel_pseudonyms")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and the number of values by kind."""
+    return feistel.pseudonyms(read(spark, sf_dir, "documents"))
