@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sourceweave.llm import feistel, fertility, hash_tree, ppm, superminhash, wu_manber
-from sourceweave.llm.common import read
+from sourceweave.llm import feistel, fertility, hash_tree, license_scan, ppm, reply_trees, superminhash, wu_manber
+from sourceweave.llm.common import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,3 +99,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and the number of values by kind."""
     return feistel.pseudonyms(read(spark, sf_dir, "documents"))
+
+
+_ESC = r"([<\[])(\\*)(" + "|".join(reply_trees.CONTROL) + ")"
+SQL_CHAT = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    sum(24 + length(role) + length(regexp_replace(text, '{_ESC}', '\1\\\2\3', 'g'))) AS formatted_chars
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g
+"""
+
+
+@query("op4_reply_tree_chat", SQL_CHAT)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted by its path, read back from the output."""
+    told = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hostile = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], told.schema)
+    rows = stored(reply_trees.linear(told.unionByName(extra)), "messages")
+    done = reply_trees.format_paths(reply_trees.paths(rows), rows)
+    return reply_trees.digests(done.withColumn("conv_id", F.col("tree.conv_id")), ("conv_id",))
+
+
+@query("op1_license_blocks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return license_scan.report(read(spark, sf_dir, "documents"))
