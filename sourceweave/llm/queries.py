@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm import feistel, fertility, hash_tree, license_scan, ppm, reply_trees, superminhash, wu_manber
+from sourceweave.llm import feistel, fertility, hash_tree, license_scan, piece_lattice, ppm, reply_trees, superminhash, wu_manber
 from sourceweave.llm.common import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in every document."""
     return license_scan.report(read(spark, sf_dir, "documents"))
+
+
+@query("op5_piece_lattice")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document and whether they decode to its text."""
+    return piece_lattice.measured(read(spark, sf_dir, "documents"))
