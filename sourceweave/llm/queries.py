@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm import feistel, fertility, hash_tree, license_scan, piece_lattice, ppm, reply_trees, superminhash, wu_manber
+from sourceweave.llm import feistel, fertility, hash_tree, license_scan, piece_lattice, ppm, reply_trees, suffix_repeats, superminhash, wu_manber
 from sourceweave.llm.common import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document and whether they decode to its text."""
     return piece_lattice.measured(read(spark, sf_dir, "documents"))
+
+
+@query("op9_suffix_repeats")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without bytes under 200-byte strings that stand elsewhere."""
+    return suffix_repeats.digests(suffix_repeats.without_repeats(read(spark, sf_dir, "documents")))
