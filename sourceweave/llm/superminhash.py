@@ -8,10 +8,11 @@ cannot improve any place. Signatures are cut into bands; documents that agree in
 a band are candidates, and a link counts only when the full sets agree.
 
 No bucket is expanded into pairs. Equal sets collapse to one node first. Then
-every member of a bucket is compared with the bucket's least node; components of
-these links close nearly all buckets. In buckets that still hold several
-components, members outside the largest one are compared with all members of
-other components, which is the exact rest: no candidate of the banding is left.
+every node is compared with the most central node it shares a bucket with;
+components of these links close nearly all buckets. The nodes of buckets that
+still hold several components go through an exact set-similarity join (rarest
+elements first; prefix, length and positional filters), which leaves out pairs
+within one component and finds every other link there is among them.
 
 With 36 bands of 7, a pair of similarity 0.85 shares no band with probability
 9e-7; one of similarity 0.3 is a candidate with probability 0.008.
@@ -41,6 +42,8 @@ _GOLD = _U(0x9E3779B97F4A7C15)
 _MASK = 2**64 - 1
 #: elements whose permutations are in memory at once; one takes a byte per place
 _BLOCK = 40_000
+#: slots on which elements are counted for the order of prefixes, and the step of set size classes
+SLOTS, CLASS_STEP = 1 << 20, 1.03
 
 
 def _level(elements: np.ndarray, j: int, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,21 +135,23 @@ def _sketch(size: int, bands: int, rows: int):
     return work
 
 
-def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: every row but a bucket's first, with that first row's node; state is one row."""
-    head = None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key: those of keys that occur twice or more; state is one row."""
+    held = None  # last row and whether it is out
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node, n = (batch.column(c).to_numpy() for c in ("key", "node", "n"))
-        if head is not None:
-            key, node, n = (np.concatenate([[h], x]) for h, x in zip(head, (key, node, n)))
-        start = np.ones(len(key), bool)
-        start[1:] = key[1:] != key[:-1]
-        at = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
-        head = key[-1], node[at[-1]], n[at[-1]]
-        rest = ~start
-        yield pa.RecordBatch.from_arrays([pa.array(x[rest]) for x in (key, node, n, node[at], n[at])], names=["key", "node", "n", "pivot", "pivot_n"])
+        cols = [batch.column(c).to_numpy() for c in ("key", "node", "n")]
+        out = np.zeros(len(cols[0]), bool)
+        if held is not None:
+            cols = [np.concatenate([[h], x]) for h, x in zip(held[0], cols)]
+            out = np.concatenate([[held[1]], out])
+        like = np.zeros(len(out) + 1, bool)
+        like[1:-1] = cols[0][1:] == cols[0][:-1]
+        many = like[1:] | like[:-1]
+        give = many & ~out
+        held = [x[-1] for x in cols], bool(many[-1] or out[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in cols], names=["key", "node", "n"])
 
 
 def _sets(size: int):
@@ -183,36 +188,109 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_agree(percent), "a long, b long")
 
 
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many elements of the task's sets fall on each of a fixed number of slots."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for x in batch.column("elements"):
+            np.add.at(total, (np.frombuffer(x.as_buffer(), _U) % _U(SLOTS)).astype(np.int64), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "c"])
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(CLASS_STEP) + 1e-9).astype(np.int64)
+
+
+def prefix_rows(elements: np.ndarray, rank: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """((size class, prefix length) of the smaller sets a set looks for, its elements in order, rarest first)."""
+    n = len(elements)
+    t = percent / 100
+    ordered = elements[np.lexsort((elements, rank))]
+    classes = []
+    for c in range(int(size_class(np.array([max(np.ceil(t * n), 1)]))[0]), int(size_class(np.array([n]))[0]) + 1):
+        least = max(int(np.ceil(CLASS_STEP**c - 1e-6)), int(np.ceil(t * n - 1e-9)), 1)
+        if least <= n:
+            classes.append((c, n - int(np.ceil(t / (1 + t) * (n + least) - 1e-9)) + 1))
+    return classes, ordered
+
+
+def _prefixes(percent: int, sent):
+    """Rows (key, probe, node, comp, n, at): a set under the classes of smaller sets it looks for, and under its own to be found."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, t = sent.value, percent / 100
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for x, node, comp in zip(batch.column("elements"), batch.column("node").to_pylist(), batch.column("comp").to_pylist()):
+                el = np.frombuffer(x.as_buffer(), _U)
+                n = len(el)
+                classes, ordered = prefix_rows(el, counts[(el % _U(SLOTS)).astype(np.int64)], percent)
+                own = int(size_class(np.array([n]))[0])
+                for probe, c, length in [*((True, c, k) for c, k in classes), (False, own, n - int(np.ceil(2 * t / (1 + t) * n - 1e-9)) + 1)]:
+                    k = min(length, n)
+                    key = signed(mix(ordered[:k] ^ mix(np.array([c], _U))))
+                    for col, v in zip(out, (key, np.full(k, probe), np.full(k, node), np.full(k, comp), np.full(k, n), np.arange(k))):
+                        col.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "probe", "node", "comp", "n", "at"])
+
+    return work
+
+
+def _rest(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components among ``held`` (node, comp) sets: an exact set-similarity join.
+
+    Elements are ordered by how many sets hold them (counted on a fixed number of slots, so the table of counts has a
+    fixed size; any order gives the same links). Sets similar enough share an element of their prefixes.
+    """
+    mine = sets.join(held, "node").select("node", "comp", "elements")
+    got = mine.mapInArrow(_slots, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[got["slot"].to_numpy()] = got["c"].to_numpy()
+    sent = held.sparkSession.sparkContext.broadcast(counts)
+    rows = stored(mine.mapInArrow(_prefixes(percent, sent), "key long, probe boolean, node long, comp long, n long, at long"), "prefixes")
+    # a key whose sets are all of one component joins nothing; of the others, the largest component is met by the rest only
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mains = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1")
+    live = rows.withColumn("__k", F.struct("key")).join(mains.select(F.struct("key").alias("__k"), "main"), "__k").drop("__k")
+    small = live.where("NOT probe").select("key", F.col("node").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), F.col("at").alias("bt"), (F.col("comp") == F.col("main")).alias("bm"))
+    large = live.where("probe").select("key", F.col("node").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("at").alias("at"), (F.col("comp") == F.col("main")).alias("am"))
+    able = F.expr(f"ac <> bc AND an >= bn AND 100 * bn >= {percent} * an AND {100 + percent} * least(an - at, bn - bt) >= {percent} * (an + bn)")
+    one = large.where("NOT am").join(small, "key").where(able)
+    two = large.where("am").join(small.where("NOT bm"), "key").where(able)
+    return one.unionByName(two).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def links(scan: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(verified links (a, b) between nodes, nodes (node, row, doc_id)) of a sketch table."""
-    fits = f"100 * least(n, {{0}}) >= {percent} * greatest(n, {{0}})"
     nodes = scan.where("node IS NOT NULL").groupBy("node").agg(
         F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = stored(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(
-        _pivots, "key long, node long, n long, pivot long, pivot_n long"), "buckets")
-    members = shared.select("key", "node", "n").unionByName(shared.select("key", F.col("pivot").alias("node"), F.col("pivot_n").alias("n")).distinct())
+    shared = stored(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, n long"), "buckets")
+    # a bucket's pivot is its most central node: the one with the most company in all its buckets
+    company = shared.groupBy("key").agg(F.count(F.lit(1)).alias("c")).select(F.struct("key").alias("__k"), "c")
+    weight = shared.withColumn("__k", F.struct("key")).join(company, "__k").groupBy("node").agg(F.sum("c").alias("w"), F.first("n").alias("n"))
+    weight = stored(weight, "weights")
+    met = shared.select("key", "node").join(weight, "node").select("key", "node", "n", "w")
+    pivots = met.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("p")).select(F.struct("key").alias("__k"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.w").alias("pw"))
+    led = stored(shared.withColumn("__k", F.struct("key")).join(pivots, "__k").select("key", "node", "n", "pivot", "pn", "pw"), "led")
     # full sets of the nodes that share a bucket: one row of the table stands for each
-    touched = members.select("node").distinct()
-    wanted = scan.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row")).join(touched, "node", "left_semi")
-    found = docs.join(wanted.select(F.col("row").alias("__row"), "node"), F.col("row") == F.col("__row")).select("node", "__text")
+    wanted = nodes.select("node", F.col("row").alias("__row")).join(weight.select("node"), "node", "left_semi")
+    found = docs.join(wanted, F.col("row") == F.col("__row")).select("node", "__text")
     sets = stored(found.mapInArrow(_sets(size), "node long, elements binary").where("elements IS NOT NULL").groupBy("node").agg(
         F.first("elements").alias("elements")), "sets")
-    # first round: each node with the pivot it shares most buckets with
-    first = shared.where(fits.format("pivot_n")).groupBy("node", "pivot").count().groupBy("node").agg(
-        F.max_by("pivot", F.struct("count", "pivot")).alias("b")).select(F.col("node").alias("a"), "b")
+    # first round: each node with the most central pivot of its buckets that its size allows
+    fits = F.expr(f"node <> pivot AND 100 * least(n, pn) >= {percent} * greatest(n, pn)")
+    first = led.where(fits).groupBy("node").agg(F.max(F.struct("pw", "pivot")).alias("p")).select(F.col("node").alias("a"), F.col("p.pivot").alias("b"))
     one = stored(_verified(first, sets, percent), "links")
     label = components(one)
-    # second round: what is left between different components of a bucket
-    held = stored(members.join(label, members.node == label.id, "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp")), "members")
-    mains = held.groupBy("key", "comp").count().groupBy("key").agg(
-        F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("count", "comp")).alias("main")).where("comps > 1")
-    open_ = held.withColumn("__k", F.struct("key")).join(mains.select(F.struct("key").alias("__k"), "main"), "__k").drop("__k")
-    other = open_.where("comp <> main").select("key", F.col("node").alias("o"), F.col("n").alias("on"), F.col("comp").alias("oc"))
-    rest = other.join(open_, "key").where((F.col("oc") != F.col("comp")) & ((F.col("comp") == F.col("main")) | (F.col("o") < F.col("node")))
-                                          & F.expr(fits.format("on")))
-    pairs = rest.select(F.greatest("o", "node").alias("a"), F.least("o", "node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    two = stored(_verified(pairs, sets, percent), "links")
+    # second round: nodes of buckets in which several components are left
+    named = led.select("key", "node").join(label.select(F.col("id").alias("node"), "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    named = stored(named, "members")
+    open_ = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select(F.struct("key").alias("__k"))
+    held = stored(named.withColumn("__k", F.struct("key")).join(open_, "__k").select("node", "comp").distinct(), "open")
+    two = stored(_verified(_rest(held, sets, percent), sets, percent), "links")
     return one.unionByName(two), nodes.select("node", "row", "doc_id")
 
 
