@@ -86,7 +86,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
 @query("op2_superminhash_near_duplicates", SQL_NEAR)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of similarity 0.85."""
-    return superminhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return superminhash.near_duplicates(read(spark, sf_dir, "documents")).drop("row")
 
 
 @query("op10_ppm_scores")

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceweave.llm.common import LOWER, SPACE, Roller, chunks, mix, runs, signed, stored
@@ -296,7 +296,7 @@ def links(scan: DataFrame, docs: DataFrame, percent: int = PERCENT, size: int =
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT, size: int = SHINGLE,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every row."""
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id) and row (a hash of id and text) of every row."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
     id_type = src.schema["doc_id"].dataType.simpleString()
     scan = stored(src.mapInArrow(_sketch(size, bands, rows), f"doc_id {id_type}, row long, n_shingles long, node long, bands array<long>"), "sketch")
@@ -306,6 +306,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     whole = named.withColumn("__k", F.struct("root")).join(least.select(F.struct("root").alias("__k"), "component_id"), "__k").select(
         F.struct("node").alias("__n"), "component_id")
-    return (scan.select("doc_id", "n_shingles", F.struct("node").alias("__n")).join(whole, "__n", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    out = scan.select("doc_id", "row", "n_shingles", F.struct("node").alias("__n")).join(whole, "__n", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "row")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` that stand for their group: those whose id is the component's least, equal rows once.
+
+    Rows without an id are never dropped for another row's sake.
+    """
+    named = near_duplicates(docs, text, doc_id, **how)
+    stay = named.where("kept").select(F.struct("row").alias("__k")).distinct()
+    mine = docs.withColumn("__k", F.struct(F.xxhash64(doc_id, text))).join(stay, "__k", "left_semi")
+    first = F.row_number().over(Window.partitionBy("__k").orderBy("__k"))  # follows the join's order: no further sort or shuffle
+    return mine.withColumn("__first", first).where(F.col(doc_id).isNull() | (F.col("__first") == 1)).select(*docs.columns)
