@@ -220,8 +220,10 @@ def _prefixes(percent: int, sent):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, t = sent.value, percent / 100
+        names = ["key", "probe", "node", "comp", "n", "at"]
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            held = 0
             for x, node, comp in zip(batch.column("elements"), batch.column("node").to_pylist(), batch.column("comp").to_pylist()):
                 el = np.frombuffer(x.as_buffer(), _U)
                 n = len(el)
@@ -230,10 +232,14 @@ def _prefixes(percent: int, sent):
                 for probe, c, length in [*((True, c, k) for c, k in classes), (False, own, n - int(np.ceil(2 * t / (1 + t) * n - 1e-9)) + 1)]:
                     k = min(length, n)
                     key = signed(mix(ordered[:k] ^ mix(np.array([c], _U))))
+                    held += k
                     for col, v in zip(out, (key, np.full(k, probe), np.full(k, node), np.full(k, comp), np.full(k, n), np.arange(k))):
                         col.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["key", "probe", "node", "comp", "n", "at"])
+                if held > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
+                    out, held = [[] for _ in names], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
 
     return work
 
