@@ -87,7 +87,7 @@ def paths(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     found = chosen.select("tree", F.col("id").alias("leaf"), "rank", "length", "id", F.lit(0).cast("long").alias("back"))
     for k in reversed(range(len(tables))):
         up = found.join(tables[k], ["tree", "id"]).select("tree", "leaf", "rank", "length", F.col("up").alias("id"), (F.col("back") + 2**k).alias("back"))
-        found = found.unionByName(up)
+        found = stored(found.unionByName(up), "paths")  # a plan that doubles at each step would not be analysed
     return found.select("tree", "leaf", "rank", (F.col("length") - 1 - F.col("back")).alias("step"), "id")
 
 
