@@ -6,15 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def turns_left(ax, ay, bx, by, cx, cy) -> Column:
-    return (cy - ay) * (bx - ax) > (by - ay) * (cx - ax)
+def doubled_area(p, q, r) -> Column:
+    """Twice the signed area of the triangle p, q, r: positive when r lies to the left of the way from p to q."""
+    (px, py), (qx, qy), (rx, ry) = p, q, r
+    return (qx - px) * (ry - py) - (rx - px) * (qy - py)
 
 
-def segments_cross(a, b, c, d, p, q, r, s) -> Column:
-    """Does (a,b)-(c,d) cross (p,q)-(r,s)? Each segment must part the other's ends."""
-    return (turns_left(a, b, p, q, r, s) != turns_left(c, d, p, q, r, s)) & (
-        turns_left(a, b, c, d, p, q) != turns_left(a, b, c, d, r, s)
-    )
+def parts(p, q, r, s) -> Column:
+    """Does the line through p and q part r from s? A point on the line counts as lying to its right."""
+    return (doubled_area(p, q, r) > 0) != (doubled_area(p, q, s) > 0)
+
+
+def segments_cross(p, q, r, s) -> Column:
+    """Do the segments p-q and r-s cross, each parting the other's ends? Points are (x, y) pairs of columns.
+
+    An end that touches the other segment crosses it from the left side only; of two
+    segments on one line neither parts the other.
+    """
+    return parts(p, q, r, s) & parts(r, s, p, q)
 
 
 def distance(x1, y1, x2, y2) -> Column:

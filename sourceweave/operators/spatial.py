@@ -89,7 +89,8 @@ def crossings(seg: DataFrame) -> DataFrame:
     box = _boxed_segments(seg)
     l, r = F.col("l"), F.col("r")
     apart = (l["a"] != r["a"]) & (l["a"] != r["b"]) & (l["b"] != r["a"]) & (l["b"] != r["b"])
-    cross = geometry.segments_cross(l["x1"], l["y1"], l["x2"], l["y2"], r["x1"], r["y1"], r["x2"], r["y2"])
+    ends = lambda e: ((e["x1"], e["y1"]), (e["x2"], e["y2"]))
+    cross = geometry.segments_cross(*ends(l), *ends(r))
     return box_pairs(box, box, same=True).where(apart & cross).select(l["edge_id"].alias("e1"), r["edge_id"].alias("e2"))
 
 

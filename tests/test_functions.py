@@ -128,8 +128,8 @@ def test_raw_json_tells_null_from_absent(spark):
 
 def test_geometry(spark):
     n = lambda *xs: [F.lit(float(x)) for x in xs]
-    assert one(spark, geometry.segments_cross(*n(0, 0, 2, 2, 0, 2, 2, 0)))
-    assert not one(spark, geometry.segments_cross(*n(0, 0, 1, 0, 0, 1, 1, 1)))
+    assert one(spark, geometry.segments_cross(n(0, 0), n(2, 2), n(0, 2), n(2, 0)))
+    assert not one(spark, geometry.segments_cross(n(0, 0), n(1, 0), n(0, 1), n(1, 1)))
     assert one(spark, geometry.point_segment_distance(*n(3, 1, 0, 0, 2, 0))) == pytest.approx(2 ** 0.5)
     assert one(spark, geometry.point_segment_distance(*n(3, 4, 0, 0, 0, 0))) == 5
 
@@ -181,3 +181,31 @@ def test_heading_postmarks_and_overrides(spark):
     assert r["c"]["postmarked_place"] == "paris" and r["c"]["written"]["date"]["weekday"] == "monday"
     assert r["d"]["written"]["date"]["y"] == 1895 and r["d"]["addressee"] == "Robert"
     assert r["e"]["written"]["date"]["m"] == 4
+
+
+def test_headings_lose_nothing(spark):
+    """Whatever the form, the body is the end of the input; what cannot be read is quarantined."""
+    forms = {
+        "junk": "3 May 1897\n\nDear Bob, I came\n\nPrivate\n\nMore words\n\nyours\n\nBob",
+        "long": "Friday\n\n[15 October 1897]\n\n[Postmark 16 October 1897]\n\n16 Tite Street\n\nI came to the house.",
+        "acts": "[15 October 1897] [Postmark 16 October 1897] [Received 18 October 1897]\n\nDear Bob, I",
+        "twice": "[15 October 1897] [Postmark 16 October 1897] [Postmark 17 October 1897]\n\nDear Bob, I",
+        "dates": "[15 October 1897] [16 October 1897]\n\nDear Bob, I",
+        "aside": "3 May 1897 (Postcard No. 2) Paris\n\nDear Bob, I",
+        "number": "LETTER NO. 4\n\nPrivate\n\n3 May 1897 Paris\n\nDear Bob, I",
+        "french": "Lundi 3 mai 1897 Paris\n\nCher Bob, je",
+        "place then body": "3 May 1897\n\n16 Tite Street\n\nShort words\n\nmore",
+        "roman": "III May 1897 Paris\n\nDear Bob, I",
+    }
+    df = spark.createDataFrame([(k, "x", q) for k, q in forms.items()], "file string, addressee string, quote string")
+    aliases = spark.createDataFrame([("16 Tite Street", "tite"), ("Paris", "paris")], "address string, place_id string")
+    r = {x["file"]: x for x in headings.extract(df, aliases)[0].collect()}
+    for k, q in forms.items():
+        assert q.endswith(r[k]["body"]) and r[k]["body"], k
+    assert r["junk"]["body"] == "Dear Bob, I came\n\nPrivate\n\nMore words\n\nyours\n\nBob"
+    assert (r["long"]["status"], r["long"]["written_place"], r["long"]["postmarked"]["date"]["d"], r["long"]["body"]) == ("parsed", "tite", 16, "I came to the house.")
+    assert (r["acts"]["status"], r["acts"]["postmarked"]["date"]["d"], r["acts"]["received"]["date"]["d"], r["acts"]["written"]["date"]["d"]) == ("parsed", 16, 18, 15)
+    assert (r["twice"]["reason"], r["dates"]["reason"]) == ("several brackets of one act", "several date brackets")
+    for k in ("aside", "number", "french", "roman"):
+        assert (r[k]["status"], r[k]["written_place"], r[k]["written"]["date"]["d"], r[k]["written"]["date"]["m"]) == ("parsed", "paris", 3, 5), k
+    assert (r["place then body"]["written_place"], r["place then body"]["body"]) == ("tite", "Short words\n\nmore")
