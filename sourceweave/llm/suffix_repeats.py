@@ -13,8 +13,8 @@ of an increasing run are sorted by recursion on their names, and two passes over
 the symbols' queues induce the order of all others from them. The queues are
 first-in first-out per symbol, which is the priority order; they move to an
 unlinked file of the task when they outgrow memory, and hold (position, name of
-what follows) tuples only. Neighbours in the order get their common-prefix value,
-cut at ``length``; a value of ``length`` marks both as repeated.
+what follows) tuples only. Neighbours in the order whose common-prefix value
+reaches ``length`` are both repeated.
 
 Copies met in the same chunk of a scan are folded before the shuffle, so a
 passage that a third of all texts share reaches its shard a few times per task.
@@ -56,7 +56,7 @@ class SymbolQueues:
     def push(self, keys: np.ndarray, values: np.ndarray) -> None:
         if not len(values):
             return
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys.astype(np.uint16), kind="stable")  # small symbols sort by radix
         keys, values = keys[order], values[order]
         cut = np.flatnonzero(np.diff(keys)) + 1
         for part, at in zip(np.split(values, cut), [0, *cut.tolist()]):
@@ -191,7 +191,8 @@ class _SymbolRoller(Roller):
 
         self._powers(len(text) + 1)
         out = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(mix(text.astype(np.uint64) + np.uint64(77)) * self.up[: len(text)], out=out[1:])
+        symbols = mix(np.arange(int(text.max(initial=0)) + 1, dtype=np.uint64) + np.uint64(77))
+        np.cumsum(symbols[text] * self.up[: len(text)], out=out[1:])
         return out
 
 
@@ -221,18 +222,29 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarr
         high = np.where(same, high, mid - 1)
 
 
+def agree(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Whether the common-prefix value of each suffix with the one before it in order reaches ``depth``."""
+    roll, n = _roller(), len(text)
+    a, b = order[1:], order[:-1]
+    out = np.zeros(n, bool)
+    at = np.flatnonzero(np.maximum(a, b) + depth <= n)
+    sums = roll.sums_of(text)
+    whole = roll.spans(sums, np.arange(max(n - depth + 1, 0)), np.arange(max(n - depth + 1, 0)) + depth)
+    out[at + 1] = whole[a[at]] == whole[b[at]]
+    return out
+
+
 def repeated_starts(segments: list[bytes], length: int = LENGTH, limit: int = QUEUE_ENTRIES) -> list[np.ndarray]:
     """Per segment the starts of its ``length``-byte strings that also start elsewhere in the segments."""
     # 0 ends a segment, bytes are 1 to 256; a string never reaches over an end, as it is shorter than what it would need
     size = np.array([len(s) + 1 for s in segments])
     first = np.concatenate([[0], np.cumsum(size)])
-    text = np.zeros(int(first[-1]), np.int64)
+    text = np.zeros(int(first[-1]), np.uint16)
     inside = np.ones(len(text), bool)
     inside[first[1:] - 1] = False
-    text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + 1
+    text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + 1
     order = suffix_order(text, 257, length, limit)
-    prefix = common_prefixes(text, order, length)
-    full = prefix >= length
+    full = agree(text, order, length)
     found = np.zeros(len(text), bool)
     found[order[full]] = True
     found[order[np.flatnonzero(full) - 1]] = True
