@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import Roller, binary_parts, chunks, ragged, stored
+from sourceweave.llm.common import Roller, binary_parts, chunks, ragged, settings, stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST = 32
 #: units whose ids are sent to the scan: about 20 bytes each
 TABLE_UNITS = 1 << 22
+#: units whose edges one task holds: about 2 KB each
+PART_UNITS = 1 << 14
 _SEED = 9
 _HOLD = 1 << 21
 #: 0 space, 1 letter (and all of non-ASCII), 2 digit, 3 other
@@ -157,7 +159,10 @@ def unit_table(docs: DataFrame, text: str = "text", model: str = MODEL) -> tuple
     pieces, _, byte, low = vocabulary(model)
     found = docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(_distinct, "unit string").groupBy("unit").agg(F.count(F.lit(1)).alias("spread"))
     found = stored(found, "units")
-    return found, stored(lattice(found.select("unit").repartition("unit"), pieces, byte, low), "unit-ids")
+    # a partition's units are grouped in memory: no sort, no spill
+    parts = max(1, -(-found.count() // PART_UNITS))
+    with settings(docs.sparkSession, spark__sql__objectHashAggregate__sortBased__fallbackThreshold=str(16 * PART_UNITS)):
+        return found, stored(lattice(found.select("unit").repartition(parts, "unit"), pieces, byte, low), "unit-ids")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +189,22 @@ def _table(known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return h[order], first[order].astype(np.int64), n[order], flat.astype(small)
 
 
-def _encode(sent, keep: list[str], open_ids: bool):
+def _bytes_table(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, bytes, all bytes) of every id."""
+    size = np.array([len(x) for x in raw], np.int64)
+    return np.concatenate([[0], np.cumsum(size)])[:-1], size, np.frombuffer(b"".join(raw), np.uint8)
+
+
+def _restored(ids: np.ndarray, begin: np.ndarray, raw: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(spaced texts of all ids, offsets) of documents whose ids start at ``begin``."""
+    first, size, flat = raw
+    ends = np.concatenate([[0], np.cumsum(size[ids])])
+    return flat[ragged(first[ids], size[ids])], ends[begin]
+
+
+def _encode(sent, keep: list[str], open_ids: bool, raw: tuple | None = None):
+    """Adds ids; with ``raw`` also whether decoding them gives the text back."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first_id, count, flat = sent.value
         roll = Roller(_SEED)
@@ -210,19 +230,28 @@ def _encode(sent, keep: list[str], open_ids: bool):
                 if void.true_count:
                     lists = pa.array([None if v else x for v, x in zip(void.to_pylist(), lists.to_pylist())], pa.list_(pa.int32()))
                 cols = [*[batch.column(c).slice(lo, hi - lo) for c in keep], lists]
+                if raw is not None:
+                    back, at = _restored(ids, begin[first], raw)
+                    good = np.diff(at) == np.diff(offs)
+                    if len(back) == len(data) and good.all():
+                        good[np.searchsorted(offs, np.flatnonzero(back != data), "right") - 1] = False
+                    else:
+                        good = np.array([bytes(back[a:b]) == bytes(data[c:d]) for a, b, c, d in zip(at, at[1:], offs, offs[1:])], bool)
+                    cols.append(pa.array(good))
                 if open_ids:
-                    raw, gaps = data.tobytes(), [[] for _ in range(hi - lo)]
+                    whole, gaps = data.tobytes(), [[] for _ in range(hi - lo)]
                     gone = np.flatnonzero(~there)
                     for d, i in zip((np.searchsorted(first, gone, "right") - 1).tolist(), gone.tolist()):
-                        gaps[d].append({"at": int(i - first[d]), "unit": raw[s[i] : e[i]].decode("utf-8", "replace")})
+                        gaps[d].append({"at": int(i - first[d]), "unit": whole[s[i] : e[i]].decode("utf-8", "replace")})
                     cols.append(pa.array(gaps, pa.list_(pa.struct([("at", pa.int32()), ("unit", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", *["gaps"] * open_ids])
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", *["round_trip"] * (raw is not None), *["gaps"] * open_ids])
 
     return work
 
 
-def encode(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", model: str = MODEL, table_units: int = TABLE_UNITS) -> DataFrame:
-    """``carry`` columns and ids (array<int>) of every row."""
+def encode(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", model: str = MODEL, table_units: int = TABLE_UNITS,
+           verify: bool = False) -> DataFrame:
+    """``carry`` columns and ids (array<int>) of every row; with ``verify`` also round_trip: do they decode to the text?"""
     found, known = unit_table(docs, text, model)
     classes = sorted(((r["c"], r["k"]) for r in found.groupBy(F.least("spread", F.lit(1 << 16)).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
     floor, fit = 1 << 62, 0
@@ -237,9 +266,12 @@ def encode(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "t
     src = docs.select(*carry, F.col(text).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     if whole:
-        return src.mapInArrow(_encode(sent, keep, False), schema + ", ids array<int>")
+        raw = _bytes_table(vocabulary(model)[1]) if verify else None
+        return src.mapInArrow(_encode(sent, keep, False, raw), schema + ", ids array<int>" + ", round_trip boolean" * verify)
     # units beyond the table: rows (text, place, unit), once per different text
     src = src.withColumn("__row", F.xxhash64("__text"))
+    keep += ["__text"] * verify
+    schema += ", __text string" * verify
     part = src.mapInArrow(_encode(sent, [*keep, "__row"], True), schema + ", __row long, ids array<int>, gaps array<struct<at:int,unit:string>>")
     part = stored(part, "encoded")
     gaps = part.select("__row", F.explode("gaps").alias("g")).groupBy("__row", "g.at").agg(F.first("g.unit").alias("unit"))
@@ -248,14 +280,15 @@ def encode(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "t
     joined = part.withColumn("__k", F.struct("__row")).join(filled.select(F.struct("__row").alias("__k"), "new"), "__k", "left")
     whole_ids = F.when(F.col("new").isNull(), F.col("ids")).otherwise(
         F.flatten(F.transform("ids", lambda x: F.when(x >= 0, F.array(x)).otherwise(F.col("new")[-x - 1]))))
-    return joined.select(*carry, whole_ids.alias("ids"))
+    out = joined.select(*keep, whole_ids.alias("ids"))
+    if verify:
+        out = decode(out, (*keep, "ids"), "ids", "__back", model).withColumn("round_trip", F.col("__text").eqNullSafe(F.col("__back")))
+    return out.select(*carry, "ids", *["round_trip"] * verify)
 
 
 def decode(coded: DataFrame, carry: tuple[str, ...] = ("doc_id",), ids: str = "ids", name: str = "decoded", model: str = MODEL) -> DataFrame:
     """``carry`` columns and the text of the ids of every row."""
-    raw = vocabulary(model)[1]
-    size = np.array([len(x) for x in raw], np.int64)
-    first, flat = np.concatenate([[0], np.cumsum(size)])[:-1], np.frombuffer(b"".join(raw), np.uint8)
+    raw = _bytes_table(vocabulary(model)[1])
     keep = list(carry)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +297,8 @@ def decode(coded: DataFrame, carry: tuple[str, ...] = ("doc_id",), ids: str = "i
             offs = lists.offsets.to_numpy().astype(np.int64)
             for lo in range(0, len(lists), 256):
                 hi = min(lo + 256, len(lists))
-                got = lists.values.to_numpy()[offs[lo] : offs[hi]]
-                text = flat[ragged(first[got], size[got])].tobytes()
-                ends = np.concatenate([[0], np.cumsum(size[got])])[offs[lo : hi + 1] - offs[lo]].tolist()
+                got, at = _restored(lists.values.to_numpy()[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], raw)
+                text, ends = got.tobytes(), at.tolist()
                 out = [text[a + 1 : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(ends, ends[1:])]
                 void = lists.slice(lo, hi - lo).is_null()
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in keep], pa.array(out, pa.string(), mask=void.to_numpy(zero_copy_only=False))],
@@ -279,7 +311,6 @@ def decode(coded: DataFrame, carry: tuple[str, ...] = ("doc_id",), ids: str = "i
 def measured(docs: DataFrame, text: str = "text", model: str = MODEL, **how) -> DataFrame:
     """doc_id, ids, n_tokens, n_byte_tokens and whether decoding gives the text back."""
     byte = vocabulary(model)[2]
-    coded = encode(docs, ("doc_id", text), text, model, **how)
-    back = decode(coded, ("doc_id", text, "ids"), "ids", "__back", model)
-    return back.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
-                       F.size(F.filter("ids", lambda x: x.between(min(byte), max(byte)))).cast("long").alias("n_byte_tokens"), F.col(text).eqNullSafe(F.col("__back")).alias("round_trip"))
+    return encode(docs, ("doc_id",), text, model, verify=True, **how).select(
+        "doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.size(F.filter("ids", lambda x: x.between(min(byte), max(byte)))).cast("long").alias("n_byte_tokens"), "round_trip")
