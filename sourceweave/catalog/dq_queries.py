@@ -44,8 +44,8 @@ def rules_works(spark, sf):
 @query("rules_places", _sql(
     ("G2", E, "p_name", "FROM part"),
     ("G3", E, "p_name", "FROM part WHERE p_size % 10 = 0"), ("G3", E, "p_name", "FROM part WHERE p_size % 10 = 1"),
-    ("G4", E, "last_id", "FROM (SELECT max(p_name) AS last_id FROM part GROUP BY p_size % 10, p_brand, p_type HAVING count(*) > 1)"),
-    ("G5", "warning", "last_id", "FROM (SELECT max(p_name) AS last_id FROM part WHERE p_size % 10 <> 0 GROUP BY p_type, p_brand HAVING count(*) > 1)"),
+    ("G4", E, "p_name", "FROM (SELECT p_name, min(p_name) OVER (PARTITION BY p_size % 10, p_brand, p_type) AS f FROM part) WHERE p_name <> f"),
+    ("G5", "warning", "p_name", "FROM (SELECT p_name, min(p_name) OVER (PARTITION BY p_type, p_brand) AS f FROM part WHERE p_size % 10 <> 0) WHERE p_name <> f"),
     ("G6", "warning", "p_name", "FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size = 50)")).replace(
         "FROM part WHERE p_size % 10 = 0", "FROM part WHERE p_size % 10 = 0 AND FALSE"))
 def rules_places(spark, sf):
@@ -96,7 +96,7 @@ ke AS (SELECT owner_id, 0 AS ep, work, locator, lower(trim(regexp_replace(quote,
 oe AS (SELECT owner_id AS person, source_id, work, locator, lower(trim(regexp_replace(quote, '[^\p{L}\p{N}_]+', ' ', 'g'))) AS e FROM eng),
 ee AS (SELECT DISTINCT unnest([cid, sid]) AS person, work, locator, lower(trim(regexp_replace(quote, '[^\p{L}\p{N}_]+', ' ', 'g'))) AS e FROM src)
 """ + _sql(
-    ("X1", E, "owner_id", "FROM (SELECT owner_id FROM ke WHERE e <> '' GROUP BY owner_id, ep, work, locator, e HAVING count(*) > 1)"),
+    ("X1", E, "owner_id", "FROM (SELECT owner_id, unnest(range(1, n)) FROM (SELECT owner_id, count(*) AS n FROM ke WHERE e <> '' GROUP BY owner_id, ep, work, locator, e))"),
     ("X2", E, "person", "FROM (SELECT o.person FROM oe o JOIN ee USING (person, work, locator, e) WHERE e <> '')"),
     ("X3", "warning", "person", "FROM (SELECT person FROM kpanel WHERE excerpt <> '' GROUP BY person, work, locator, excerpt HAVING count(*) > 1)")))
 def rules_excerpts(spark, sf):

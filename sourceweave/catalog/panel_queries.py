@@ -207,7 +207,7 @@ _FACETS = ["document", "location", "country", "region", "city", "street", "venue
 def _with_repository(spark, sf):
     m = F.when(F.col("repository").isNotNull(), F.struct(
         F.col("repository"), *[F.lit(None).cast("string").alias(x) for x in ("archived_as", "as_of", "recorded_by", "owner")]))
-    return panels.person_cards(panel(spark, sf), [*panels.CARD_COLUMNS, "repository"]).withColumn("manuscript", m)
+    return panels.person_cards(panel(spark, sf), [*panels.CARD_COLUMNS, "repository", "card_order"]).withColumn("manuscript", m)
 
 
 def _rows(spark, sf):
@@ -246,9 +246,13 @@ def source_filter(spark, sf):
 
 
 @query("source_filter_names", _ROWS + """
-SELECT CAST(count(*) FILTER (contains(hay_names, '#0000000')) AS BIGINT) AS shown, CAST(count(*) AS BIGINT) AS total, CAST(0 AS BIGINT) AS undated_hidden FROM hay""")
+SELECT person, CAST(count(*) FILTER (contains(hay_names, '#00000000') OR coalesce(hit, FALSE)) AS BIGINT) AS shown, CAST(count(*) AS BIGINT) AS total, CAST(0 AS BIGINT) AS undated_hidden
+FROM hay LEFT JOIN (SELECT person, work, locator, excerpt, bool_or(contains(lower(label), '#00000000')) AS hit FROM kpanel WHERE excerpt <> '' GROUP BY ALL) USING (person, work, locator, excerpt)
+GROUP BY person""")
 def source_filter_names(spark, sf):
-    return aggregates.filter_counts(filters.filter_sources(_rows(spark, sf), term="#0000000", scope="names"))
+    """A search among names, per panel: also by names that only folded rows of a card carry."""
+    rows = filters.filter_sources(_rows(spark, sf), term="#00000000", scope="names", names=panels.folded_names(panel(spark, sf)))
+    return aggregates.filter_counts(rows, ["person"])
 
 
 @query("source_filter_quotes", _ROWS + """

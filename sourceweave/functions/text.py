@@ -41,8 +41,10 @@ def _fold_tables(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     characters that fold to several letters or digits. Folds without an ASCII
     letter or digit are left out: every caller turns such characters into spaces."""
     src, dst, many = [], [], []
-    for cp in [*range(0x80, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+    for cp in range(0x80, 0x110000):
         ch = chr(cp)
+        if 0xD800 <= cp < 0xE000 or not unicodedata.decomposition(ch):
+            continue  # surrogates, and characters that fold to themselves
         to = "".join(x if x.isascii() else " " for x in _folded(ch, form))
         if not any(x.isalnum() for x in to):
             continue

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave import vocab
@@ -105,11 +105,15 @@ def display_labels(people: DataFrame) -> DataFrame:
     return c.select("id", text.display_label(F.col("name"), F.col("label"), F.col("clash"), F.col("descriptor")).alias("label"))
 
 
+def venue_words() -> Column:
+    """The words of a venue, sorted."""
+    return F.array_join(F.array_sort(F.filter(F.split(F.replace(F.lower("venue"), F.lit("."), F.lit("")), r"\s+"), lambda w: w != "")), " ")
+
+
 def same_word_venues(places: DataFrame) -> DataFrame:
     """Venues of one city made of the same words in another order."""
-    ws = F.array_join(F.array_sort(F.filter(F.split(F.replace(F.lower("venue"), F.lit("."), F.lit("")), r"\s+"), lambda w: w != "")), " ")
     return (
-        places.where(F.coalesce("venue", F.lit("")) != "").groupBy("city", ws.alias("words"))
+        places.where(F.coalesce("venue", F.lit("")) != "").groupBy("city", venue_words().alias("words"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("place_id").alias("first_id"), F.max("place_id").alias("last_id"))
         .where(F.col("n") > 1))
 

@@ -78,6 +78,25 @@ def repeated_ids(df: DataFrame, id_column: str = "id") -> DataFrame:
     return df.groupBy(id_column).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
 
 
+def later_repeats(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per repeat of a key beyond the first: three equal keys give two rows. Keys compare null-safe."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    return n.select(*keys, F.explode(F.sequence(F.lit(2), F.col("__n").cast("int"))).alias("nth"))
+
+
+def later_members(df: DataFrame, keys: list[Column], id_column: str) -> DataFrame:
+    """The rows of every group but those of its least id, each with that id as ``first_id``.
+
+    The short list of repeated groups is joined back on a key of its own, so a
+    group that holds a third of all rows is split.
+    """
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    keyed = df.withColumn("__key", key)
+    groups = keyed.groupBy("__key").agg(F.min(id_column).alias("first_id"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+    groups = groups.select(F.struct("__key").alias("__g"), "first_id")
+    return keyed.withColumn("__g", F.struct("__key")).join(groups, "__g").where(F.col(id_column) != F.col("first_id")).drop("__g", "__key")
+
+
 def one_reading_each(transcriptions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First transcription per (letter, kind) in path order, and the later ones, which are errors."""
     keys = ["letter_id", "transcribed_from"]

@@ -81,15 +81,22 @@ def filter_sources(
     scope: str = "all",
     off: dict[str, Sequence[str]] | None = None,
     years: tuple[int | None, int | None] = (None, None),
+    names: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``shown`` and ``undated_hidden``.
 
     ``rows`` carries ``hay_names, hay_quotes, hay_all``, a ``year`` and the facet
     columns. Years given backwards are read as the range they span. An undated
     row is hidden, and counted as such, only when a year is asked for and it
-    passes everything else.
+    passes everything else. ``names`` (person, card_order, name) holds all names of
+    a card, one per row; a search among names also finds a card by any of them.
     """
     ok = F.contains(F.col(f"hay_{scope}"), F.lit(term.strip().lower())) if term.strip() else F.lit(True)
+    named = names is not None and scope == "names" and bool(term.strip())
+    if named:
+        found = names.where(F.contains(F.lower("name"), F.lit(term.strip().lower()))).select(F.struct("person", "card_order").alias("__card")).distinct().withColumn("__named", F.lit(True))
+        rows = rows.withColumn("__card", F.struct("person", "card_order")).join(found, "__card", "left").drop("__card")
+        ok = ok | F.col("__named").isNotNull()
     for facet, members in (off or {}).items():
         if members:
             ok = ok & ~excluded(F.col(facet), members)
@@ -107,7 +114,7 @@ def filter_sources(
         if hi is not None:
             in_range = in_range & (y <= hi)
         in_range = F.coalesce(in_range, F.lit(False))
-    return rows.withColumn("shown", ok & in_range).withColumn("undated_hidden", ok & undated)
+    return rows.withColumn("shown", ok & in_range).withColumn("undated_hidden", ok & undated).drop("__named")
 
 
 def served_archives(archives: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def surname_candidates(people: DataFrame) -> DataFrame:
         F.lower(F.element_at(F.split(F.trim("s"), r"\s+"), -1)).alias("surname"), "name").distinct()
 
 
-def bare_surnames(letters: DataFrame, people: DataFrame, column: str) -> DataFrame:
+def bare_surnames(letters: DataFrame, people: DataFrame, column: str, record: str = "letter_id") -> DataFrame:
     """Correspondents given as a surname only, with how many people it could be.
 
     Who they are is one row per person in ``surname_candidates``; a common
@@ -97,8 +97,8 @@ def bare_surnames(letters: DataFrame, people: DataFrame, column: str) -> DataFra
     known = people.select(F.explode(F.concat(F.array("name"), F.coalesce(F.col("aka"), F.array().cast("array<string>")))).alias("n")).select(
         F.lower("n").alias("__v")).distinct()
     bearers = surname_candidates(people).groupBy(F.col("surname").alias("__v")).agg(F.count(F.lit(1)).alias("candidates"))
-    who = letters.select("letter_id", F.trim(F.col(column)).alias("value")).withColumn("__v", F.lower("value")).where(F.col("__v") != "")
-    return who.join(known, "__v", "left_anti").join(bearers, "__v").select("letter_id", "value", "candidates")
+    who = letters.select(record, F.trim(F.col(column)).alias("value")).withColumn("__v", F.lower("value")).where(F.col("__v") != "")
+    return who.join(known, "__v", "left_anti").join(bearers, "__v").select(record, "value", "candidates")
 
 
 # ------------------------------------------------------------------ excerpts

@@ -77,18 +77,24 @@ def source_rows(cards: DataFrame, works: DataFrame, places: DataFrame) -> DataFr
     located = prj.with_location(cards, works)
     df = prj.with_effective_place(located, places).join(dim, F.col("work") == F.col("__w"), "left")
     col = F.col
-    names = text.haystack(col("speaker"), col("addressee"), col("w_author"), col("w_editors"), col("label"))
-    quotes = text.haystack(col("quote"), col("translation"), col("translation_note"))
+    said = [F.array_join(F.transform("turns", lambda t, k=k: t[k]), "  ") for k in ("who", "text")] if "turns" in df.columns else [F.lit(None).cast("string")] * 2
+    names = text.haystack(col("speaker"), col("addressee"), col("w_author"), col("w_editors"), col("label"), said[0])
+    quotes = text.haystack(col("quote"), col("translation"), col("translation_note"), said[1])
     everything = text.haystack(
         col("quote"), col("translation"), col("translation_note"), col("context"), col("speaker"), col("addressee"),
         col("supports"), col("locator"), col("citation_provenance"), col("verified_with"), col("w_title"), col("w_author"),
-        col("w_editors"), col("w_year"), F.when(col("route") == 0, col("label")), col("order_hint")["why"])
+        col("w_editors"), col("w_year"), F.when(col("route") == 0, col("label")), col("order_hint")["why"], *said)
     return df.select(
-        "person", "source_id", "route", names.alias("hay_names"), quotes.alias("hay_quotes"), everything.alias("hay_all"),
+        "person", "source_id", "route", *[c for c in ("card_order",) if c in df.columns], names.alias("hay_names"), quotes.alias("hay_quotes"), everything.alias("hay_all"),
         prj.source_year().alias("year"), col("document"), col("location")["short"].alias("location"),
         *[col("place")[p].alias(p) for p in ("country", "region", "city", "street", "venue")])
 
 
+def folded_names(panel: DataFrame) -> DataFrame:
+    """(person, card_order, name): every name a card's header can show, those of the rows folded into it included."""
+    return dedup.card_names(dedup.merge_duplicates(panel)).select("person", F.col("primary").alias("card_order"), F.col("label").alias("name"))
+
+
 FACETS = ["document", "location", "country", "region", "city", "street", "venue"]
 
 

@@ -109,7 +109,7 @@ def people(df: DataFrame) -> DataFrame:
         parts.append(as_findings(df.where("load_error IS NOT NULL"), "P1", "person", F.col("file"), "unreadable file"))
         ok = df.where("load_error IS NULL")
     parts.append(evaluate(ok, "person", F.col("id"), findings(rules), act_findings(["born", "died"], raw)))
-    parts.append(as_findings(dedup.repeated_ids(ok), "P2", "person", F.col("id"), "duplicate person id"))
+    parts.append(as_findings(dedup.later_repeats(ok, ["id"]), "P2", "person", F.col("id"), "duplicate person id"))
     if "sexuality_sources" in df.columns:
         eng = ok.select("id", F.posexplode("sexuality_sources").alias("pos", "e"))
         e = F.col("e")
@@ -137,8 +137,9 @@ def places(df: DataFrame, used: DataFrame | None = None) -> DataFrame:
                   Rule("G3", F.size(records.unknown_keys(raw, fields)) > 0, "unknown place field")]
     parts = [
         evaluate(df, "place", F.col("place_id"), findings(rules)),
-        as_findings(agg.identical_places(df), "G4", "place", F.col("last_id"), "the same place written twice"),
-        as_findings(agg.same_word_venues(df), "G5", "place", F.col("last_id"), "the same words in another order", "warning"),
+        as_findings(dedup.later_members(df, [F.col(f) for f in fields], "place_id"), "G4", "place", F.col("place_id"), "the same place written twice", path=F.col("first_id")),
+        as_findings(dedup.later_members(df.where(F.coalesce("venue", F.lit("")) != ""), [F.col("city"), agg.venue_words()], "place_id"), "G5", "place", F.col("place_id"),
+                    "the same words in another order", "warning", F.col("first_id")),
     ]
     if used is not None:
         parts.append(as_findings(joins.unused_places(used, df), "G6", "place", F.col("place_id"), "nothing refers to this place", "warning"))
@@ -199,7 +200,7 @@ def relationships(df: DataFrame, roster: DataFrame, gazetteer: DataFrame | None
     if "sources" in df.columns:
         groups.append(findings([Rule("R13", F.coalesce(F.size("sources"), F.lit(0)) <= 0, "no sources at all", "warning")]))
     parts.append(evaluate(ok, "relationship", F.col("id"), *groups))
-    parts.append(as_findings(dedup.repeated_ids(ok), "R2", "relationship", F.col("id"), "duplicate relationship id"))
+    parts.append(as_findings(dedup.later_repeats(ok, ["id"]), "R2", "relationship", F.col("id"), "duplicate relationship id"))
     parts.append(as_findings(joins.unknown_people(ok, roster), "R5", "relationship", F.col("id"), "unknown person", path=F.col("person")))
     parts.append(as_findings(joins.people_without_relationship(ok, roster), "R14", "person", F.col("id"), "in no relationship", "warning"))
     return union(parts)
@@ -370,10 +371,10 @@ def excerpts(edge_sources: DataFrame, own_sources: DataFrame, panel: DataFrame |
     """Excerpts repeated in one holder, on both an engagement and an edge, or on one panel."""
     both = edge_sources.select("owner_id", "engagement_pos", "work", "locator", "quote").unionByName(
         own_sources.select("owner_id", "engagement_pos", "work", "locator", "quote"))
-    twice = dedup.with_excerpt(both).where("excerpt <> ''").groupBy("owner_id", "engagement_pos", "work", "locator", "excerpt").agg(
-        F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = dedup.later_repeats(dedup.with_excerpt(both).where("excerpt <> ''"), ["owner_id", "engagement_pos", "work", "locator", "excerpt"])
+    at = F.concat_ws(" ", F.concat(F.lit("context["), F.col("engagement_pos").cast("string"), F.lit("]")), "locator")
     parts = [
-        as_findings(twice, "X1", "source", F.col("owner_id"), "the same excerpt twice in one record", path=F.col("locator")),
+        as_findings(twice, "X1", "source", F.col("owner_id"), "the same excerpt twice in one record", path=at),
         as_findings(joins.excerpt_on_engagement_and_edge(edge_sources, own_sources), "X2", "person", F.col("person"),
                     "an excerpt on an engagement and on an edge", path=F.col("edge")),
     ]
@@ -438,8 +439,8 @@ def transcriptions(df: DataFrame, roster: DataFrame | None = None) -> DataFrame:
     if roster is not None:
         for who in ("sender", "addressee"):
             if who in cols:
-                found = joins.bare_surnames(ok, roster, who).select("letter_id", "value").distinct()
-                parts.append(as_findings(found, "N6", "transcription", F.col("letter_id"), f"{who} is a bare surname", path=F.col("value")))
+                found = joins.bare_surnames(ok, roster, who, "at")
+                parts.append(as_findings(found, "N6", "transcription", F.col("at"), f"{who} is a bare surname", path=F.col("value")))
     return union(parts)
 
 
