@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sourceweave import schemas, vocab
 from sourceweave.functions import dates
+from sourceweave.functions.binding import let
 from sourceweave.operators.joins import longest_prefix
 from sourceweave.physical import spread
 
@@ -191,8 +192,8 @@ def split_heading(headings: DataFrame) -> DataFrame:
     """
     paras = F.split(F.coalesce("quote", F.lit("")), "\n\n")
     idle = lambda p: (F.trim(p) == "") | is_junk(p)
-    lead = F.aggregate("paras", F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda acc, p: F.struct(
-        (acc["n"] + F.when(acc["go"] & idle(p), 1).otherwise(0)).alias("n"), (acc["go"] & idle(p)).alias("go")), lambda acc: acc["n"])
+    lead = F.aggregate("paras", F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda acc, p: let(
+        acc["go"] & idle(p), lambda g: F.struct((acc["n"] + g.cast("int")).alias("n"), g.alias("go"))), lambda acc: acc["n"])
     df = headings.withColumn("paras", paras).withColumn("__lead", lead).withColumn("p0", F.coalesce(F.try_element_at("paras", F.col("__lead") + 1), F.lit("")))
     df = df.withColumn("__sal", F.coalesce(salutation_at(F.col("p0")), F.lit(0))).withColumn("__plain", F.regexp_replace("p0", ASIDE, " "))
     bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, PREFIX, ""), r"\[[^\]]*\]", ""), PREFIX, ""))
@@ -202,11 +203,10 @@ def split_heading(headings: DataFrame) -> DataFrame:
     more = F.slice("paras", F.col("__lead") + 2, F.greatest(F.size("paras") - F.col("__lead") - 1, F.lit(0)))
 
     def step(acc: Column, p: Column) -> Column:
-        plain = F.regexp_replace(p, ASIDE, " ")
-        bracket, dated = F.startswith(F.trim(p), F.lit("[")), (F.trim(plain) != "") & (bare(plain) == "")
-        address = looks_like_address(p) & ~acc["placed"]
-        goes = acc["go"] & salutation_at(p).isNull() & (idle(p) | bracket | dated | address)
-        return F.struct((acc["n"] + goes.cast("int")).alias("n"), goes.alias("go"), (acc["placed"] | (goes & ~idle(p) & ~bracket & ~dated)).alias("placed"))
+        # 0 the body begins, 1 the heading goes on, 2 it goes on with its address; nothing is tested once the body has begun
+        kind = (F.when(~acc["go"], 0).when(idle(p), 1).when(salutation_at(p).isNotNull(), 0).when(F.startswith(F.trim(p), F.lit("[")), 1)
+                .when(bare(F.regexp_replace(p, ASIDE, " ")) == "", 1).when(~acc["placed"] & looks_like_address(p), 2).otherwise(0))
+        return let(kind, lambda k: F.struct((acc["n"] + (k > 0).cast("int")).alias("n"), (k > 0).alias("go"), (acc["placed"] | (k == 2)).alias("placed")))
 
     begin = F.struct(F.lit(0).alias("n"), open_head.alias("go"), (rest0 != "").alias("placed"))
     df = df.withColumn("__more", more).withColumn("__n", F.aggregate("__more", begin, step, lambda acc: acc["n"]))
