@@ -1,7 +1,7 @@
 """An evidence corpus derived from the star-schema tables.
 
 Customers and suppliers become people, the pairs that trade become
-relationships, each order with lines becomes one source, parts become works,
+relationships, each order line becomes one source, parts become works,
 nations become places. Everything is a join or an aggregation over whole
 tables, so the corpus grows with them. ``PRELUDE`` states the same derivation
 as SQL for the result checks.
@@ -9,9 +9,7 @@ as SQL for the result checks.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sourceweave import schemas
@@ -48,7 +46,6 @@ def sid(c: Column) -> Column:
     return F.concat(F.lit("s"), F.lpad(c.cast("string"), 9, "0"))
 
 
-@lru_cache(maxsize=8)  # the plan, not the data
 def places(spark: SparkSession, sf: str) -> DataFrame:
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
     k = F.col("n_nationkey")
@@ -62,7 +59,6 @@ def places(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)  # the plan, not the data
 def people(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     seg = F.col("c_mktsegment")
@@ -96,7 +92,6 @@ def people(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)  # the plan, not the data
 def works(spark: SparkSession, sf: str) -> DataFrame:
     t, size = F.col("p_type"), F.col("p_size")
     return table(spark, sf, "part").select(
@@ -113,18 +108,26 @@ def works(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)  # the plan, not the data
-def order_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per order with lines: the lines are combined before the join."""
-    lines = (
-        table(spark, sf, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(
-            F.min("l_suppkey").alias("sk"), F.min("l_partkey").alias("pk"), F.count(F.lit(1)).alias("n"),
-            F.max(F.when(F.col("l_discount") > 0.095, F.col("l_quantity"))).alias("hq"),
-            F.max("l_shipdate").alias("ship"),
-        )
-    )
+# order key and line number repeat in the given tables, so a line is numbered by all its columns
+LINE_ORDER = [
+    "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
+    "l_linestatus", "l_shipdate",
+]
+#: lines of one order stay below this, so order key times it plus the line's number is a source's id
+LINES = 1000
+
+
+def order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line with its number ``n`` in its order: one source of the corpus each."""
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+    return table(spark, sf, "lineitem").withColumn("n", number).select(
+        "l_orderkey", F.col("l_suppkey").alias("sk"), F.col("l_partkey").alias("pk"), "n",
+        F.when(F.col("l_discount") > 0.095, F.col("l_quantity")).alias("hq"), F.col("l_shipdate").alias("ship"))
+
+
+def line_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per order line with its order, customer, supplier and part."""
+    lines = order_lines(spark, sf)
     o = table(spark, sf, "orders")
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
@@ -137,14 +140,10 @@ def order_facts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)  # the plan, not the data
 def relationships(spark: SparkSession, sf: str) -> DataFrame:
-    lines = (
-        table(spark, sf, "lineitem").groupBy("l_orderkey")
-        .agg(F.min("l_suppkey").alias("sk"),
-             F.max(F.when(F.col("l_discount") > 0.095, F.col("l_quantity"))).alias("hq"),
-             F.max("l_shipdate").alias("ship"))
-    )
+    """Every pair of a customer and a supplier that some line joins."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.col("l_suppkey").alias("sk"), F.when(F.col("l_discount") > 0.095, F.col("l_quantity")).alias("hq"), F.col("l_shipdate").alias("ship"))
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     g = (
         o.join(lines, o.o_orderkey == lines.l_orderkey)
@@ -176,6 +175,9 @@ def relationships(spark: SparkSession, sf: str) -> DataFrame:
 _KINDS = ["letter", "telegram", "diary", "typescript", "biography", "study", "novel", "web-page", "article", "testimony", "scroll"]
 
 
+SOURCE_ID = (F.col("o_orderkey") * LINES + F.col("n")).cast("bigint")
+
+
 def _source_columns() -> list[Column]:
     st, pr, month = F.col("o_orderstatus"), F.col("o_orderpriority"), F.month("o_orderdate")
     pk, n = F.col("pk").cast("string"), F.col("n")
@@ -186,7 +188,7 @@ def _source_columns() -> list[Column]:
     letter = F.concat(F.lit("lett/"), pk, F.lit("#"), n.cast("string"))
     none = F.lit(None).cast("string")
     return [
-        F.col("o_orderkey").alias("source_id"), F.lit(0).cast("bigint").alias("source_pos"),
+        SOURCE_ID.alias("source_id"), F.lit(0).cast("bigint").alias("source_pos"),
         F.when(F.col("o_totalprice") < 5000, "w-missing").otherwise(F.concat(F.lit("w"), pk)).alias("work"),
         F.concat(F.lit("p. "), n.cast("string")).alias("locator"),
         F.when((st == "P") & (pr == "5-LOW"), "").otherwise(
@@ -217,26 +219,24 @@ def _source_columns() -> list[Column]:
     ]
 
 
-@lru_cache(maxsize=8)  # the plan, not the data
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     """Sources on relationships."""
     c, s = cid(F.col("o_custkey")), sid(F.col("sk"))
-    return order_facts(spark, sf).select(
+    return line_facts(spark, sf).select(
         F.lit("relationship").alias("owner_kind"), F.concat(c, F.lit("--"), s).alias("owner_id"),
         F.array(c, s).alias("people"), F.lit(None).cast("bigint").alias("engagement_pos"),
         F.lit(None).cast("string").alias("subject"), *_source_columns(),
     )
 
 
-@lru_cache(maxsize=8)  # the plan, not the data
 def engagement_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Sources on a person's own engagements; the urgent ones repeat an excerpt of the edge."""
     pr = F.col("o_orderpriority")
     owner = F.when(pr == "2-HIGH", sid(F.col("sk"))).otherwise(cid(F.col("o_custkey")))
-    base = order_facts(spark, sf).where(pr.isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
+    base = line_facts(spark, sf).where(pr.isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
     df = base.select(
         F.lit("person").alias("owner_kind"), owner.alias("owner_id"), F.array(owner).alias("people"),
-        F.col("o_orderkey").cast("bigint").alias("engagement_pos"),
+        SOURCE_ID.alias("engagement_pos"),
         F.when(pr == "1-URGENT", F.col("s_name")).when(pr == "2-HIGH", F.col("c_name"))
         .otherwise(F.concat(F.lit("Nobody "), "o_orderstatus")).alias("subject"),
         *_source_columns(),
@@ -245,7 +245,6 @@ def engagement_sources(spark: SparkSession, sf: str) -> DataFrame:
         "locator", F.when(F.col("supports") == "1-URGENT", F.col("locator")).otherwise(F.concat(F.lit("eng "), "locator")))
 
 
-@lru_cache(maxsize=8)  # the plan, not the data
 def transcriptions(spark: SparkSession, sf: str) -> DataFrame:
     """Two stores of held letters, both drawn from the parts."""
     p = table(spark, sf, "part")
@@ -294,8 +293,8 @@ works AS (
     CASE WHEN p_size > 10 THEN p_brand END AS publisher,
     CASE WHEN p_retailprice > 990 THEN 'ia' || p_partkey END AS ia_id FROM part),
 line_facts AS (
-  SELECT l_orderkey, min(l_suppkey) AS sk, min(l_partkey) AS pk, count(*) AS n,
-    max(CASE WHEN l_discount > 0.095 THEN l_quantity END) AS hq, max(l_shipdate) AS ship FROM lineitem GROUP BY 1),
+  SELECT l_orderkey, l_suppkey AS sk, l_partkey AS pk, row_number() OVER (PARTITION BY l_orderkey ORDER BY @@ORDER) AS n,
+    CASE WHEN l_discount > 0.095 THEN l_quantity END AS hq, l_shipdate AS ship FROM lineitem),
 facts AS (
   SELECT *, 'c' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS cid, 's' || lpad(CAST(sk AS VARCHAR), 9, '0') AS sid,
     o_orderstatus AS st, o_orderpriority AS pr, month(o_orderdate) AS mon
@@ -319,7 +318,7 @@ rels AS (
     CASE WHEN p = 0 THEN 'c. ' || (year(d0) - 100) END AS date_label
   FROM rel0),
 src0 AS (
-  SELECT *, o_orderkey AS source_id,
+  SELECT *, o_orderkey * 1000 + n AS source_id,
     CASE WHEN o_totalprice < 5000 THEN 'w-missing' ELSE 'w' || pk END AS work, 'p. ' || n AS locator,
     CASE WHEN st = 'P' AND pr = '5-LOW' THEN '' ELSE p_name || ', ' || p_type || CASE WHEN st = 'F' THEN '!' ELSE '.' END END AS quote,
     'Order of ' || c_name AS context,
@@ -355,4 +354,4 @@ held AS (
   UNION ALL
   SELECT 'lett/' || p_partkey || '#' || (1 + p_size % 4), 'printed',
     'pri/' || lpad(CAST(p_partkey AS VARCHAR), 9, '0'), p_type || ' ' || p_name FROM part WHERE p_size % 3 = 0)
-"""
+""".replace("@@ORDER", ", ".join(LINE_ORDER))

@@ -41,11 +41,12 @@ def loadable_records(spark, sf):
     return filters.loadable(o).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("keyed_map_rows", "SELECT event_id, k, CAST(v AS BIGINT) AS v FROM (SELECT event_id, 'k' AS k, json_extract_string(props, '$.k') AS v FROM events)")
+@query("keyed_map_rows", "SELECT 'e' || event_id AS event, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def keyed_map_rows(spark, sf):
-    """A JSON object per row turned into (key, value) rows."""
-    m = F.from_json("props", T.MapType(T.StringType(), T.LongType()))
-    return table(spark, sf, "events").select("event_id", F.explode(m).alias("k", "v"))
+    """The properties of all events written as a keyed map in lines, and scanned back as one row per key."""
+    path = shared_path(spark, "keyed-map")
+    table(spark, sf, "events").select(F.concat(F.lit('{"e'), F.col("event_id").cast("string"), F.lit('": '), "props", F.lit("}")).alias("value")).write.text(path)
+    return records.scan_keyed_map(spark, path, T.StructType([T.StructField("k", T.LongType())]), "event", per_file=False).select("event", "k")
 
 
 @query("unknown_keys", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, 'k' AS keys FROM events GROUP BY 1")

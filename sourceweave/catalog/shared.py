@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from sourceweave.catalog import corpus
 from sourceweave.operators import joins
 
 
-@lru_cache(maxsize=8)  # the plan, not the data
 def panel(spark, sf):
     """Unmerged person panel of the derived corpus."""
     rels = corpus.relationships(spark, sf).select(F.col("id").alias("owner_id"), F.col("pos").alias("owner_pos"))

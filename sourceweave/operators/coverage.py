@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sourceweave import vocab
 from sourceweave.functions import text
 from sourceweave.operators.projections import source_letter_ids
+from sourceweave.physical import keyed_join
 
 
 def citing_records(sources: DataFrame, record: Column) -> DataFrame:
@@ -23,7 +24,7 @@ def coverage(matches: DataFrame, citing: DataFrame) -> DataFrame:
         F.lit("pp."), F.element_at(pages, 1).cast("string"), F.lit("-"), F.element_at(pages, -1).cast("string"))).otherwise("")
     state = F.coalesce(F.when(F.col("letter_id") != "", F.col("letter_id")),
                        F.when(F.coalesce(F.col("person"), F.lit("")) != "", "folder, not per letter"), F.lit("no id"))
-    return matches.join(counts, "letter_id", "left").select(
+    return keyed_join(matches, counts, ["letter_id"], "left").select(
         "archive", span.alias("span"), "letter_id", state.alias("state"), F.coalesce("citers", F.lit(0)).alias("citers"),
         F.coalesce(F.when(F.col("what") != "", F.col("what")), F.col("title"), F.lit("")).alias("label"), "person")
 

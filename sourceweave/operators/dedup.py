@@ -101,9 +101,8 @@ def one_reading_each(transcriptions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First transcription per (letter, kind) in path order, and the later ones, which are errors."""
     keys = ["letter_id", "transcribed_from"]
     first = transcriptions.groupBy(*keys).agg(F.min("at").alias("first_at"))
-    both = transcriptions.alias("t").join(
-        first.alias("f"), F.col("t.letter_id").eqNullSafe(F.col("f.letter_id"))
-        & F.col("t.transcribed_from").eqNullSafe(F.col("f.transcribed_from"))).select("t.*", "f.first_at")
+    safe = F.struct(*keys)  # null-safe, and a key of the join's own
+    both = transcriptions.withColumn("__k", F.struct(safe)).join(first.select(F.struct(safe).alias("__k"), "first_at"), "__k").drop("__k")
     return both.where(F.col("at") == F.col("first_at")).drop("first_at"), both.where(F.col("at") != F.col("first_at"))
 
 

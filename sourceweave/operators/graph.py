@@ -2,7 +2,7 @@
 
 Iterative jobs run one Spark job per round and cut lineage with a reliable
 checkpoint. A hub never becomes one row or one group: neighbourhoods are only
-ever aggregated (min, count) or joined, and AQE splits the hub's join partition.
+ever aggregated (min, count) or joined on a key of the join's own, so AQE can split the hub.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sourceweave.physical import keyed_join
 from sourceweave.session import cut_lineage
 
 
@@ -27,7 +28,7 @@ def leaf_edges(edges: DataFrame, degrees: DataFrame) -> DataFrame:
     out = edges
     for i in (0, 1):
         d = degrees.select(F.col("id").alias(f"__e{i}"), F.col("degree").alias(f"__d{i}"))
-        out = out.join(d, F.col("people")[i] == F.col(f"__e{i}"), "left")
+        out = keyed_join(out.withColumn(f"__e{i}", F.col("people")[i]), d, [f"__e{i}"], "left")
     return out.withColumn("leaf", (F.col("__d0") == 1) | (F.col("__d1") == 1)).drop("__e0", "__d0", "__e1", "__d1")
 
 
@@ -47,11 +48,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         # large star: every neighbour above u moves to the least of u and its neighbours
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = keyed_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the neighbours at or below u, and u itself, move to the least of them
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small_least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(small_least, "u")
+        joined = keyed_join(down, small_least, ["u"])
         moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small_least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         pairs = cut_lineage(moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -149,10 +150,11 @@ def leaf_clusters(edges: DataFrame, degrees: DataFrame, least: int = 2, most: in
     """
     adj = adjacency(edges)
     ones = degrees.where("degree = 1").select(F.col("id").alias("dst"))
-    leaves = adj.join(ones, "dst", "left_semi")
+    leaves = keyed_join(adj, ones, ["dst"], "left_semi")
     hubs = leaves.groupBy(F.col("src").alias("hub")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(least, most)).select("hub")
-    around = adj.select(F.col("src").alias("hub"), F.col("dst").alias("member")).distinct().join(hubs, "hub", "left_semi")
-    flagged = around.join(ones.select(F.col("dst").alias("member"), F.lit(True).alias("own")), "member", "left").select(
+    around = adj.select(F.col("src").alias("hub"), F.col("dst").alias("member")).distinct()
+    around = keyed_join(around, hubs, ["hub"], "left_semi")
+    flagged = keyed_join(around, ones.select(F.col("dst").alias("member"), F.lit(True).alias("own")), ["member"], "left").select(
         "hub", "member", F.coalesce("own", F.lit(False)).alias("own"))
     return flagged.unionByName(hubs.select("hub", F.col("hub").alias("member"), F.lit(True).alias("own")))
 

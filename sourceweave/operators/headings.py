@@ -15,7 +15,7 @@ from sourceweave import schemas, vocab
 from sourceweave.functions import dates
 from sourceweave.functions.binding import let
 from sourceweave.operators.joins import longest_prefix
-from sourceweave.physical import spread
+from sourceweave.physical import keyed_join, spread
 
 _I = "(?iu)"
 
@@ -350,7 +350,7 @@ def resolve_addresses(texts: DataFrame, column: str, aliases: DataFrame, out: st
     keys = [F.col("address"), fold_apostrophe(F.col("address")), fold_apostrophe(F.col("address"))]
     for i, (t, k) in enumerate(zip(tries, keys)):
         dim = aliases.groupBy(k.alias(f"__k{i}")).agg(F.min("place_id").alias(f"__v{i}"))
-        df = df.join(dim, t == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        df = keyed_join(df.withColumn(f"__k{i}", t), dim, [f"__k{i}"], "left").drop(f"__k{i}")
     return df.withColumn(out, F.coalesce("__v0", "__v1", "__v2")).drop("__v0", "__v1", "__v2")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sourceweave import schemas, vocab
 from sourceweave.functions import records, text
-from sourceweave.physical import small_side
+from sourceweave.physical import keyed_join, small_side
 
 
 # ------------------------------------------------------------------ flattening
@@ -173,7 +173,7 @@ def resolve_facsimiles(sources: DataFrame, pages: DataFrame, keys: list[str]) ->
         *keys, f["archive"].alias("archive"), f["item"].alias("item"),
         F.when(F.trim(f["caption"]) != "", F.trim(f["caption"])).alias("caption"),
         F.posexplode(f["pages"]).alias("page_pos", "page"))
-    return cited.join(pages.select("archive", "item", "page").distinct(), ["archive", "item", "page"], "left_semi")
+    return keyed_join(cited, pages.select("archive", "item", "page").distinct(), ["archive", "item", "page"], "left_semi")
 
 
 def facsimile_strip(cited_pages: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -195,12 +195,12 @@ def image_address(template: Column, pointer: Column, page: Column, size: str = "
 # ------------------------------------------------------------------ reading flags
 def with_reading_flags(sources: DataFrame, published: DataFrame) -> DataFrame:
     """``full_text``: the single letter id has a published text. ``is_cut``: the quotation is elided."""
-    ids = published.select(F.col("letter_id").alias("__lid")).distinct()
+    ids = published.select("letter_id").distinct().withColumn("__held", F.lit(True))
     return (
-        sources.join(ids, F.col("letter_id") == F.col("__lid"), "left")
-        .withColumn("full_text", F.col("__lid").isNotNull())
+        keyed_join(sources, ids, ["letter_id"], "left")
+        .withColumn("full_text", F.col("__held").isNotNull())
         .withColumn("is_cut", F.contains(F.coalesce(F.col("quote"), F.lit("")), F.lit("…")))
-        .drop("__lid")
+        .drop("__held")
     )
 
 

@@ -67,6 +67,21 @@ def with_group_count(df: DataFrame, keys: Sequence[str], name: str, at_least: in
     return left.join(counts, [f"__k_{k}" for k in keys]).drop(*[f"__k_{k}" for k in keys])
 
 
+def keyed_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join whose both sides are shuffled for it alone, so that AQE can split a hot key.
+
+    A side that comes straight out of an aggregation on the join key would be
+    read as it lies, and AQE leaves such joins whole. The key is therefore a
+    column of its own on both sides. NULL keys match nothing.
+    """
+    whole = F.lit(True)
+    for c in on:
+        whole = whole & F.col(c).isNotNull()
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)])
+    r = right.where(whole).select(key.alias("__key"), *[c for c in right.columns if c not in on])
+    return left.withColumn("__key", F.when(whole, key)).join(r, "__key", how).drop("__key")
+
+
 def null_last(c: Column) -> list[Column]:
     """Two sort keys that put NULL after every value inside a struct comparison."""
     return [c.isNull(), c]

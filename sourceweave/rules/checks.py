@@ -13,6 +13,7 @@ from sourceweave import vocab
 from sourceweave.functions import dates, records, text
 from sourceweave.operators import citations, coverage, dedup, joins
 from sourceweave.operators import aggregates as agg
+from sourceweave.physical import keyed_join
 from sourceweave.rules.registry import FINDING, Rule, as_findings, evaluate, findings, union
 
 
@@ -343,10 +344,9 @@ def facsimiles(df: DataFrame, record: Column, archives: DataFrame, items: DataFr
     f = F.col("facsimile")
     arc = archives.select(F.col("archive").alias("__a"), F.col("iiif_url").alias("__iiif"), *(
         [F.col("load_error").alias("__bad")] if "load_error" in archives.columns else [F.lit(None).cast("string").alias("__bad")]))
-    itm = items.select(F.col("archive").alias("__ia"), F.col("item").alias("__ii")).distinct()
+    itm = items.select(F.col("archive").alias("__ia"), F.col("item").alias("__in")).distinct().withColumn("__ii", F.col("__in"))
     base = df.where(f.isNotNull()).select(record.alias("record"), f.alias("facsimile"))
-    j = base.join(arc, f["archive"] == F.col("__a"), "left").join(
-        itm, (f["archive"] == F.col("__ia")) & (f["item"] == F.col("__ii")), "left")
+    j = keyed_join(base.join(arc, f["archive"] == F.col("__a"), "left").withColumns({"__ia": f["archive"], "__in": f["item"]}), itm, ["__ia", "__in"], "left")
     fatal = (
         F.when(text.blank(f["archive"]) | text.blank(f["item"]), "archive and item are required")
         .when(F.col("__a").isNull(), "unknown archive").when(F.col("__bad").isNotNull(), "unreadable manifest")

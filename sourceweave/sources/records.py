@@ -31,9 +31,14 @@ def scan_entities(spark: SparkSession, path: str, schema: T.StructType, per_file
     return _typed(df.select("value", F.col("_metadata.file_name").alias("file")), schema)
 
 
-def scan_keyed_map(spark: SparkSession, path: str, value: T.StructType, key: str) -> DataFrame:
-    """A JSON object of objects to one row per key, with the raw value text."""
-    text = spark.read.text(path, wholetext=True)
+def scan_keyed_map(spark: SparkSession, path: str, value: T.StructType, key: str, per_file: bool = True) -> DataFrame:
+    """A JSON object of objects to one row per key, with the raw value text.
+
+    A whole file is one object and so one task's work; a map that outgrows a task
+    is written as lines, each an object with some of the keys (``per_file=False``),
+    which Spark splits.
+    """
+    text = spark.read.text(path, wholetext=per_file)
     raw = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     rows = text.select(F.explode(raw).alias(key, "raw"))
     rec = F.from_json("raw", value)
