@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from sourceweave.functions import text
 from sourceweave.operators.projections import source_letter_ids
-from sourceweave.physical import estimated_bytes, spread
+from sourceweave.physical import keyed_join, spread
 
+#: a run is compared by its first words only: enough to tell it from any other
 RUN = 14
 MIN_RUN = 6
 SLACK = 6
@@ -79,35 +80,22 @@ def check_citations(pairs: DataFrame, fuzzy: bool = True) -> DataFrame:
 def _passage_runs(passages: DataFrame) -> DataFrame:
     runs = passages.select("item_id", F.explode(text.unelided_runs(F.col("text"), MIN_RUN)).alias("run")).withColumn(
         "run", F.slice("run", 1, RUN))
-    # the words between a run's first and last are whole words wherever the run occurs
-    inner = F.slice("run", F.lit(2), F.size("run") - 2)
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    return runs.select("item_id", F.array_join("run", " ").alias("run_text"), F.array_join(F.slice("run", 2, 4), " ").alias("gram"),
-                       longest.alias("anchor"))
+    # the words between a run's first and last are whole words wherever the run occurs: four of them, hashed, find it
+    return runs.select("item_id", F.array_join("run", " ").alias("run_text"), F.xxhash64(F.slice("run", 2, 4)).alias("gram"))
 
 
-def contained_passages(passages: DataFrame, documents: DataFrame, small: int = 1 << 20) -> DataFrame:
-    """(item_id, doc_id) where the first 14 words of a passage's run stand in a document, no id linking them.
+def contained_passages(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """(item_id, doc_id) where the first ``RUN`` words of a passage's run stand in a document, no id linking them.
 
-    A passage table within ``small`` bytes (its size estimate is checked) gives
-    one anchor word per run; a document is searched only for the runs whose
-    anchor it holds, in the scan itself, without a shuffle. A larger table meets
-    the documents in an equi-join on four whole words of each run.
+    One plan at every size: documents give (hash of four words, doc_id), which meet
+    the passages' hashes; the optimizer sends the passages to the scan while they
+    are small and shuffles sixteen bytes per word otherwise. Texts are fetched and
+    searched for the pairs found only.
     """
     runs = _passage_runs(passages)
-    # coalesce() around a test keeps "is not null" from being checked, and the text from being folded, twice
-    body = spread(documents.select("doc_id", "text")).select("doc_id", text.words(F.col("text")).alias("w"))
-    if estimated_bytes(passages) <= small:
-        anchors = runs.agg(F.collect_set("anchor")).scalar()
-        held = body.select("doc_id", F.array_join("w", " ").alias("body"), F.array_intersect("w", anchors).alias("held"))
-        hits = held.select("doc_id", "body", F.explode_outer("held").alias("anchor")).join(
-            F.broadcast(runs.select("item_id", "run_text", "anchor")), "anchor").where(
-            F.coalesce(F.contains("body", F.col("run_text")), F.lit(False)))
-        return hits.select("item_id", "doc_id").distinct()
-    # position p is a whole-word anchor; the window starts one word before it
-    grams = F.transform(
-        F.sequence(F.lit(2), F.size("w") - 3),
-        lambda p: F.struct(F.array_join(F.slice(F.col("w"), p, F.lit(4)), " ").alias("gram"),
-                           F.array_join(F.slice(F.col("w"), p - 1, F.lit(RUN)), " ").alias("window")))
-    windows = body.select("doc_id", F.inline(F.when(F.size("w") >= MIN_RUN, grams)))
-    return windows.join(runs, "gram").where(F.contains("window", F.col("run_text"))).select("item_id", "doc_id").distinct()
+    words = spread(documents.select("doc_id", "text")).select("doc_id", text.words(F.col("text")).alias("w"))
+    grams = F.transform(F.sequence(F.lit(2), F.size("w") - 3), lambda p: F.xxhash64(F.slice(F.col("w"), p, F.lit(4))))
+    met = words.select("doc_id", F.explode(F.when(F.size("w") >= MIN_RUN, F.array_distinct(grams))).alias("gram"))
+    pairs = met.join(runs, "gram").select("item_id", "run_text", "doc_id").distinct()
+    found = keyed_join(documents.select("doc_id", "text"), pairs, ["doc_id"])
+    return found.where(F.contains(text.word_text(F.col("text")), F.col("run_text"))).select("item_id", "doc_id").distinct()

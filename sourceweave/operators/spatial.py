@@ -1,16 +1,17 @@
 """Quality of a drawing: crossings, nodes on lines, overlaps, drift.
 
-Theta joins run on a grid whose cell size follows the shapes' own size: a shape
+Edges are cut along a fixed grid into the cells they pass, so two edges meet only
+where they come near each other. Discs meet on a grid whose cell size follows
+their own size: a disc
 lies in the level whose cells are as large as it is (at most four cells), and
 looks for others in its own and all coarser levels. A crowded cell therefore
-holds shapes that really lie on top of each other, not merely in the same area.
-Each pair meets in several cells and is kept only in the one that holds the
-corner of their common box.
+holds discs that really lie on top of each other, not merely in the same area.
+Each pair of discs meets in several cells and is kept only in the one that holds
+the corner of their common box.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,19 +80,59 @@ def segments(edges: DataFrame, positions: DataFrame) -> DataFrame:
     return edges.select("edge_id", "a", "b").join(a, "a").join(b, "b").select("edge_id", "a", "b", "x1", "y1", "x2", "y2")
 
 
-def _boxed_segments(seg: DataFrame) -> DataFrame:
+def _grid_side(seg: DataFrame, least: DataFrame | None = None) -> Column:
+    """Side of a fixed grid in which a cell is passed by about two segments: twice the area by the summed length.
+
+    One row of sums, read as a scalar subquery. ``least`` (one value) bounds the side from below.
+    """
     c = F.col
-    return _boxed(seg.withColumn("key", c("edge_id")), c("x1"), c("y1"), c("x2"), c("y2"))
+    length = F.sum(geometry.distance(c("x1"), c("y1"), c("x2"), c("y2")))
+    wide = F.max(F.greatest("x1", "x2")) - F.min(F.least("x1", "x2"))
+    high = F.max(F.greatest("y1", "y2")) - F.min(F.least("y1", "y2"))
+    extent = F.greatest(wide, high, F.lit(1e-9))
+    side = F.greatest(2 * wide * high / F.when(length > 0, length), extent * 1e-6)
+    out = seg.agg(F.coalesce(side, extent).alias("side")).scalar()
+    return out if least is None else F.greatest(out, F.coalesce(least.scalar(), F.lit(0.0)))
+
+
+def cells_passed(seg: DataFrame, side: Column, name: str) -> DataFrame:
+    """One row per segment and grid cell it passes through: ``name`` (the row), cx, cy.
+
+    A segment is cut along the grid's columns; in each it passes the cells between
+    the heights at which it enters and leaves, so it lies in about its length by
+    the side cells and not in all cells of its box.
+    """
+    c = F.col
+    row = F.struct(*seg.columns)
+    df = seg.withColumn("__h", side).withColumns({"__lo": F.least("x1", "x2"), "__hi": F.greatest("x1", "x2")})
+    at = lambda v: F.floor(v / c("__h")).cast("bigint")
+    slope = (c("y2") - c("y1")) / F.when(c("x1") != c("x2"), c("x2") - c("x1"))
+    slack = c("__h") * 1e-9
+
+    def column(cx: Column) -> Column:
+        left, right = F.greatest(c("__lo"), cx * c("__h")), F.least(c("__hi"), (cx + 1) * c("__h"))
+        enter, leave = c("y1") + slope * (left - c("x1")), c("y1") + slope * (right - c("x1"))
+        enter, leave = F.coalesce(enter, "y1"), F.coalesce(leave, "y2")
+        ys = F.sequence(at(F.least(enter, leave) - slack), at(F.greatest(enter, leave) + slack))
+        return F.transform(ys, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    columns = F.sequence(at(c("__lo") - slack), at(c("__hi") + slack))
+    return df.select(row.alias(name), F.inline(F.flatten(F.transform(columns, column))))
+
+
+def crossing_candidates(seg: DataFrame) -> DataFrame:
+    """Pairs (l, r) of segments that pass one cell, once per such cell."""
+    side = _grid_side(seg)
+    return cells_passed(seg, side, "l").join(cells_passed(seg, side, "r"), ["cx", "cy"]).where(F.col("l")["edge_id"] < F.col("r")["edge_id"])
 
 
 def crossings(seg: DataFrame) -> DataFrame:
     """(e1, e2) for every two segments that cross; sharing an end is not a crossing."""
-    box = _boxed_segments(seg)
     l, r = F.col("l"), F.col("r")
     apart = (l["a"] != r["a"]) & (l["a"] != r["b"]) & (l["b"] != r["a"]) & (l["b"] != r["b"])
     ends = lambda e: ((e["x1"], e["y1"]), (e["x2"], e["y2"]))
     cross = geometry.segments_cross(*ends(l), *ends(r))
-    return box_pairs(box, box, same=True).where(apart & cross).select(l["edge_id"].alias("e1"), r["edge_id"].alias("e2"))
+    return crossing_candidates(seg).where(apart & cross).select(l["edge_id"].alias("e1"), r["edge_id"].alias("e2")).distinct()
 
 
 def crossings_per_edge(pairs: DataFrame) -> DataFrame:
@@ -101,10 +142,15 @@ def crossings_per_edge(pairs: DataFrame) -> DataFrame:
 def nodes_on_lines(seg: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes lying on an edge they do not belong to: the nearest edge, and how deep in percent."""
     c = F.col
-    discs = _boxed(nodes.withColumn("key", c("node_id")), c("x") - c("r"), c("y") - c("r"), c("x") + c("r"), c("y") + c("r"))
+    side = _grid_side(seg, nodes.agg((2 * F.avg("r")).alias("side")))
+    at = lambda v: F.floor(v / c("__h")).cast("bigint")
+    span = lambda v: F.sequence(at(v - c("r")), at(v + c("r")))
+    cells = F.flatten(F.transform(span(c("x")), lambda cx: F.transform(span(c("y")), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    discs = nodes.withColumn("__h", side).select(F.struct(*nodes.columns).alias("l"), F.inline(cells))
     l, r = F.col("l"), F.col("r")
     d = geometry.point_segment_distance(l["x"], l["y"], r["x1"], r["y1"], r["x2"], r["y2"])
-    near = box_pairs(discs, _boxed_segments(seg), same=False).where((l["node_id"] != r["a"]) & (l["node_id"] != r["b"])).select(
+    # the nearest point of an edge that reaches the disc lies in a cell of the disc's box
+    near = discs.join(cells_passed(seg, side, "r"), ["cx", "cy"]).where((l["node_id"] != r["a"]) & (l["node_id"] != r["b"])).select(
         l["node_id"].alias("node_id"), l["r"].alias("radius"), r["edge_id"].alias("edge_id"), d.alias("d")).where(c("d") < c("radius"))
     return near.groupBy("node_id").agg(F.min(F.struct("d", "edge_id", "radius")).alias("m")).select(
         "node_id", c("m.edge_id").alias("edge_id"), F.round((c("m.radius") - c("m.d")) / c("m.radius") * 100).cast("bigint").alias("into"))
@@ -126,12 +172,25 @@ def drift(now: DataFrame, before: DataFrame) -> DataFrame:
         "node_id", F.round(geometry.distance(F.col("x"), F.col("y"), F.col("__x"), F.col("__y"))).cast("bigint").alias("d"))
 
 
-def drift_median(moved: DataFrame) -> DataFrame:
+def drift_median(moved: DataFrame, buckets: int = 256) -> DataFrame:
     """The element in the middle of the distances listed from far to near, upper middle for an even count.
 
-    That is the discrete percentile of one half; Spark keeps a histogram of the rounded distances for it.
+    The range of values that holds the middle is cut into buckets and counted, and
+    the bucket that holds it becomes the range: a few jobs of at most ``buckets``
+    rows each, however many different distances there are.
     """
-    return moved.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").cast("bigint").alias("median"))
+    spark, values = moved.sparkSession, moved.where("d IS NOT NULL").select("d")
+    n, lo, hi = values.agg(F.count("d"), F.min("d"), F.max("d")).first()
+    left = n // 2  # places still to pass from the far end
+    while n and lo < hi:
+        width = -(-(hi - lo + 1) // buckets)
+        counts = values.where(F.col("d").between(lo, hi)).groupBy(F.floor((F.col("d") - lo) / width).alias("b")).count().collect()
+        for b, k in sorted(((r["b"], r["count"]) for r in counts), reverse=True):
+            if left < k:
+                lo, hi = lo + b * width, min(lo + (b + 1) * width - 1, hi)
+                break
+            left -= k
+    return spark.createDataFrame([(lo,)], "median bigint")
 
 
 def quality(seg: DataFrame, nodes: DataFrame) -> DataFrame:
