@@ -175,7 +175,8 @@ def relationships(spark: SparkSession, sf: str) -> DataFrame:
 _KINDS = ["letter", "telegram", "diary", "typescript", "biography", "study", "novel", "web-page", "article", "testimony", "scroll"]
 
 
-SOURCE_ID = (F.col("o_orderkey") * LINES + F.col("n")).cast("bigint")
+def source_id() -> Column:
+    return (F.col("o_orderkey") * LINES + F.col("n")).cast("bigint")
 
 
 def _source_columns() -> list[Column]:
@@ -188,7 +189,7 @@ def _source_columns() -> list[Column]:
     letter = F.concat(F.lit("lett/"), pk, F.lit("#"), n.cast("string"))
     none = F.lit(None).cast("string")
     return [
-        SOURCE_ID.alias("source_id"), F.lit(0).cast("bigint").alias("source_pos"),
+        source_id().alias("source_id"), F.lit(0).cast("bigint").alias("source_pos"),
         F.when(F.col("o_totalprice") < 5000, "w-missing").otherwise(F.concat(F.lit("w"), pk)).alias("work"),
         F.concat(F.lit("p. "), n.cast("string")).alias("locator"),
         F.when((st == "P") & (pr == "5-LOW"), "").otherwise(
@@ -236,7 +237,7 @@ def engagement_sources(spark: SparkSession, sf: str) -> DataFrame:
     base = line_facts(spark, sf).where(pr.isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
     df = base.select(
         F.lit("person").alias("owner_kind"), owner.alias("owner_id"), F.array(owner).alias("people"),
-        SOURCE_ID.alias("engagement_pos"),
+        source_id().alias("engagement_pos"),
         F.when(pr == "1-URGENT", F.col("s_name")).when(pr == "2-HIGH", F.col("c_name"))
         .otherwise(F.concat(F.lit("Nobody "), "o_orderstatus")).alias("subject"),
         *_source_columns(),
