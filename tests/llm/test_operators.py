@@ -346,7 +346,7 @@ def test_wu_manber(spark, docs, rows, empty, odd, window, block):
         for k in range(len(w)):
             for n in {len(x) for x in windows}:
                 g = tuple(w[k : k + n])
-                if g in windows:
+                if len(g) == n and g in windows:
                     hit |= set(range(k, k + n))
                     names |= windows[g]
         r = got[i]
