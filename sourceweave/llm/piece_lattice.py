@@ -182,11 +182,14 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _table(known: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sorted hashes, first id, number of ids, ids) of (unit, ids) rows."""
     rows = known.select("unit", "ids").mapInArrow(_packed, "h binary, n binary, flat binary").toArrow()
-    h, n, flat = (np.frombuffer(b"".join(rows[c].to_pylist()), t) for c, t in (("h", np.uint64), ("n", np.uint16), ("flat", np.uint32)))
+    h, n, flat = ([np.frombuffer(x.as_buffer(), t) for x in rows[c]] for c, t in (("h", np.uint64), ("n", np.uint16), ("flat", np.uint32)))
+    small = np.uint16 if max((int(x.max(initial=0)) for x in flat), default=0) < 2**16 else np.uint32
+    ids = np.concatenate([np.zeros(0, small), *[x.astype(small) for x in flat]])  # each part shrinks before they are joined
+    h, n = np.concatenate([np.zeros(0, np.uint64), *h]), np.concatenate([np.zeros(0, np.uint16), *n])
+    del rows, flat
     first = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[:-1]
     order = np.argsort(h)
-    small = np.uint16 if not len(flat) or flat.max() < 2**16 else np.uint32
-    return h[order], first[order].astype(np.int64), n[order], flat.astype(small)
+    return h[order], first[order].astype(np.int64), n[order], ids
 
 
 def _bytes_table(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
