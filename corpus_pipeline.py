@@ -20,7 +20,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return fertility.quality(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
+    return fertility.quality(docs, carry=COLUMNS, bands=fertility.spread_bands(docs)).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ A public vocabulary encodes every word of a text as if it followed a space.
 Three measures come out: code points per token, the share of byte-fallback
 tokens and the entropy of the text's tokens in bits. A band per language (or,
 for a language without one, per script of most of its letters) says what is
-acceptable; a text outside is rejected. Plain counts of words, symbols and
-repetition stand beside them and reject on their own.
+acceptable; a text outside is rejected. ``spread_bands`` sets the bands from the
+exact quartiles of all documents of a language and length; constants stand in
+for groups too small to measure. Plain counts of words, symbols and repetition
+stand beside them and reject on their own.
 
 Defined results: a null or empty text has no words, fails the base rule and is
 not kept; measures of a text without tokens are null. Rows are judged one by
@@ -15,6 +17,7 @@ the id are carried only when asked for.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +33,15 @@ WINDOW = 5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 #: rejection bands: least and most code points per token, most byte-fallback share, least token entropy in bits.
-#: Wide on purpose: a clean text of ten words lies well inside, repeated or encoded junk does not.
+#: For groups too small for ``spread_bands``: real and invented prose lies inside, base64, random letters and runs of signs do not.
 BANDS = {
-    "en": (1.2, 7.0, 0.20, 2.6), "de": (1.2, 7.0, 0.20, 2.6), "fr": (1.2, 7.0, 0.20, 2.6), "es": (1.2, 7.0, 0.20, 2.6),
+    "en": (1.65, 7.0, 0.20, 2.6), "de": (1.65, 7.0, 0.20, 2.6), "fr": (1.65, 7.0, 0.20, 2.6), "es": (1.65, 7.0, 0.20, 2.6),
     "latin": (1.0, 7.0, 0.30, 2.4), "greek": (0.5, 5.0, 0.50, 2.4), "cyrillic": (0.7, 6.0, 0.50, 2.4),
     "cjk": (0.2, 3.0, 0.95, 2.4), "other": (0.1, 8.0, 1.0, 2.0),
 }
+#: measured bands: least documents of a group, quartile distances below the first quartile, least distance as a share of the median,
+#: steps of the measures to one, and the place of a group's documents of all lengths
+LEAST, REACH, NARROW, STEPS, ALL = 50, 2.0, 0.01, 1000, -1
 #: first code point of each stretch and its script; ASCII that is no letter has none
 _SCRIPTS = [(0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xC0, "latin"), (0x370, "greek"), (0x400, "cyrillic"),
             (0x530, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x2C60, "latin"), (0x2C80, "other"),
@@ -123,33 +129,98 @@ class Meter:
 
 def judge(out: dict[str, np.ndarray], bands: np.ndarray, min_words: int, repeat_percent: int) -> None:
     """Adds base_failed and kept; ``bands`` holds a row of four limits per document."""
-    out["base_failed"] = (out["n_words"] < min_words) | (100 * out["n_repeat_words"] > repeat_percent * out["n_words"])
+    out["base_failed"] = base_failed(out, min_words, repeat_percent)
     low, high, byte, entropy = bands.T
     inside = (out["chars_per_token"] >= low) & (out["chars_per_token"] <= high) & (out["byte_share"] <= byte) & (out["token_entropy"] >= entropy)
     out["kept"] = ~out["base_failed"] & (out["n_tokens"] > 0) & inside
 
 
+def octaves(tokens: np.ndarray) -> np.ndarray:
+    """Length classes: the power of two below the number of tokens; entropy and its spread follow the length."""
+    return np.frexp(np.maximum(tokens, 1).astype(float))[1] - 1
+
+
+def base_failed(out: dict[str, np.ndarray], min_words: int, repeat_percent: int) -> np.ndarray:
+    return (out["n_words"] < min_words) | (100 * out["n_repeat_words"] > repeat_percent * out["n_words"])
+
+
+def spread_bands(docs: DataFrame, text: str = "text", lang: str | None = "lang", vocabulary: str = VOCABULARY,
+                 min_words: int = 10, repeat_percent: int = 20) -> dict:
+    """Bands of ``quality`` from all documents that pass the base rule, by (language or script, length class).
+
+    The quartiles are exact on measures rounded to a thousandth. Least code points per token and least entropy lie
+    ``REACH`` quartile distances below the first quartile, never below the constant band; over all lengths of a group the
+    entropy reaches twice as far. Tasks hand on counts of rounded measures, so what is shuffled and collected follows the
+    number of groups and not the number of documents.
+    """
+    src = docs.select(F.col(text).cast("string").alias("__text"), (F.col(lang).cast("string") if lang else F.lit(None).cast("string")).alias("__lang"))
+
+    def batch_of(counts: Counter) -> pa.RecordBatch:
+        keys = list(counts)
+        cols = [pa.array([k[0] for k in keys], pa.string()), *[pa.array([k[j] for k in keys], pa.int32()) for j in (1, 2, 3)], pa.array(list(counts.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["name", "octave", "measure", "step", "n"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meter, counts = Meter(vocabulary), Counter()
+        for batch in batches:
+            col, langs = batch.column("__text"), batch.column("__lang").to_pylist()
+            for lo, hi, data, offs in chunks(col):
+                out = meter.measure(data, offs)
+                steps = [np.rint(out[k] * STEPS).astype(int).tolist() for k in ("chars_per_token", "token_entropy")]
+                octave = octaves(out["n_tokens"]).tolist()
+                for i in np.flatnonzero(~base_failed(out, min_words, repeat_percent) & (out["n_tokens"] > 0)).tolist():
+                    names = {langs[lo + i]} - {None}
+                    if langs[lo + i] not in BANDS:
+                        names.add(script_of(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")))
+                    counts.update((name, o, m, steps[m][i]) for name in names for o in (octave[i], ALL) for m in (0, 1))
+                if len(counts) > 100_000:
+                    yield batch_of(counts)
+                    counts = Counter()
+        yield batch_of(counts)
+
+    counted = src.mapInArrow(work, "name string, octave int, measure int, step int, n long")
+    spread = counted.groupBy("name", "octave", "measure").agg(F.sum("n").alias("n"), F.expr("percentile(step, array(0.25, 0.5, 0.75), n)").alias("q")).where(F.col("n") >= LEAST)
+    floors = {}
+    for r in spread.collect():
+        first, median, third = r.q
+        reach = REACH * 2 if r.octave == ALL and r.measure == 1 else REACH
+        floors[r["name"], r.octave, r.measure] = (first - reach * max(third - first, NARROW * median)) / STEPS
+    bands = {}
+    for name, octave, _ in floors:
+        low, high, byte, entropy = BANDS.get(name, BANDS["other"])
+        bands[name, octave] = (max(low, floors[name, octave, 0]), high, byte, max(entropy, floors[name, octave, 1]))
+    return bands
+
+
 def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", carry: tuple[str, ...] = ("doc_id",),
             vocabulary: str = VOCABULARY, bands: dict | None = None, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
     """``carry`` columns and the measures and verdicts of every row; no shuffle.
 
     ``vocabulary`` is a SentencePiece model with byte fallback, present on every
-    executor. ``bands`` overrides or extends the default bands by language or script.
+    executor. ``bands`` overrides or extends the default bands by language or script; bands by (language or script, length
+    class), as ``spread_bands`` gives them, go first.
     """
     table = BANDS | (bands or {})
     src = docs.select(*carry, F.col(text).cast("string").alias("__text"), (F.col(lang).cast("string") if lang else F.lit(None).cast("string")).alias("__lang"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) + ", " + RESULT
 
+    def band_of(name: str | None, octave: int) -> tuple | None:
+        return table.get((name, octave)) or table.get((name, ALL)) or table.get(name)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meter = Meter(vocabulary)
         for batch in batches:
             col, langs = batch.column("__text"), batch.column("__lang").to_pylist()
             for lo, hi, data, offs in chunks(col):
                 out = meter.measure(data, offs)
+                octave = octaves(out["n_tokens"]).tolist()
                 rows = []
                 for i in range(lo, hi):
-                    band = table.get(langs[i])
-                    rows.append(band or table[script_of(data[offs[i - lo] : offs[i - lo + 1]].tobytes().decode("utf-8", "replace"))])
+                    band = band_of(langs[i], octave[i - lo])
+                    if not band:
+                        script = script_of(data[offs[i - lo] : offs[i - lo + 1]].tobytes().decode("utf-8", "replace"))
+                        band = band_of(script, octave[i - lo])
+                    rows.append(band)
                 judge(out, np.array(rows, float), min_words, repeat_percent)
                 empty = out["n_tokens"] == 0
                 cols = [batch.column(c).slice(lo, hi - lo) for c in carry]

@@ -33,8 +33,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @query("op3_tokeniser_fertility")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts, fertility measures and verdict of every document."""
-    return fertility.quality(read(spark, sf_dir, "documents"))
+    """Base counts, fertility measures and verdict of every document, by bands measured on all of them."""
+    docs = read(spark, sf_dir, "documents")
+    return fertility.quality(docs, bands=fertility.spread_bands(docs))
 
 
 SQL_CONTAMINATION = rf"""
