@@ -9,7 +9,8 @@ under one key, and ``reveal`` undoes them.
 
 Defined results: null texts stay null and count nothing; a text without personal
 data is returned unchanged, byte for byte. Matches do not overlap; the kind
-listed first wins. A value that fails validation is left alone (a number that is
+listed first wins. A card is looked for on the group boundaries of its run of
+digits, so a count, a CVV or a date beside it hides nothing. A value that fails validation is left alone (a number that is
 no card, the 31st of February). Rows are judged one by one.
 """
 
@@ -96,10 +97,15 @@ def _card(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _number(text: str, key: bytes, back: bool) -> str | None:
-    """A plain long number that is no card: permuted as it stands, never into a valid card."""
+    """A plain long number that is no card: permuted as it stands, never into a valid card; a short one that satisfies Luhn still does."""
     d = "".join(c for c in text if c in DIGITS)
-    if luhn(d[:-1]) == int(d[-1]):
+    if len(d) < 9:  # digits of other scripts
         return None
+    if luhn(d[:-1]) == int(d[-1]):
+        if len(d) > 12:
+            return None
+        head = permute_symbols(d[:-1], key, b"number-luhn", back)
+        return _only_digits(text, head + str(luhn(head)))
     # payload and check offset are permuted apart, so the offset stays away from 0
     head = permute_symbols(d[:-1], key, b"number", back)
     off = (int(d[-1]) - luhn(d[:-1])) % 10
@@ -155,50 +161,126 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _secret(text: str, key: bytes, back: bool) -> str | None:
-    return permute_symbols(text, key, b"secret", back)
+    # blocks of 64: half a block stays under the 256 bits of a round, and time follows the length
+    return "".join(permute_symbols(text[i : i + 64], key, b"secret", back) for i in range(0, len(text), 64))
 
 
 #: kind, pattern, treatment; a group named v is the value, else the whole match
 KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])", _email),
     ("secret", r"(?<![A-Za-z0-9])AKIA(?P<v1>[A-Z0-9]{16})(?![A-Za-z0-9])", _secret),
-    ("secret", r"(?i:\b(?:password|passwd|secret|token|api_?key))[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<v2>[A-Za-z0-9_\-]{8,128})", _secret),
+    ("secret", r"(?i:\b(?:password|passwd|secret|token|api_?key))[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<v2>[A-Za-z0-9_\-]{8,})", _secret),
     ("address", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)", _address),
     ("date", r"(?<![\d./-])(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\d/-]|\.\d)", _date),
     ("phone", r"(?<![\dA-Za-z])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)", _phone),
     ("phone", r"(?<![\dA-Za-z+])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\d)", _phone),
-    ("card", r"(?<![\dA-Za-z.+-])\d(?:[ -]?\d){12,18}(?![\dA-Za-z])", _card),
+    ("card", r"(?<![\dA-Za-z.+-])\d(?:[ -]?\d){12,}(?![\dA-Za-z])", _card),
     ("number", r"(?<![\dA-Za-z.+-])\d{9,19}(?![\dA-Za-z])", _number),
 ]
 NAMES = list(dict.fromkeys(k for k, _, _ in KINDS))
 _PATTERN = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p, _) in enumerate(KINDS)))
+_CARD, _CARD_RUN = next((f"k{i}", re.compile(p)) for i, (k, p, _) in enumerate(KINDS) if k == "card")
+#: what may start at a group of a digit run that is no card
+_REST = re.compile("|".join(f"(?P<k{i}>{p})" for i, (k, p, _) in enumerate(KINDS) if k != "card"))
+#: group lengths in which cards are printed
+LAYOUTS = [(4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5)]
 #: no kind crosses a line feed, and a line without any of these (or AKIA) holds no value
 _ANY = re.compile(r"[0-9@=:]")
 
 
+def cards(run: str) -> list[tuple[int, int]]:
+    """Places of the valid cards in a run of digit groups, on group boundaries.
+
+    Single groups come first, then printed layouts, then the longest other stretch of 13 to 19 digits whose groups have
+    three digits or more, or that is the whole run; so digits beside a card do not change what is found.
+    """
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    sizes = [e - s for s, e in groups]
+    free, found = [True] * len(groups), []
+
+    def take(i: int, n: int) -> bool:
+        if not all(free[i : i + n]) or not 13 <= sum(sizes[i : i + n]) <= 19:
+            return False
+        d = "".join(c for c in run[groups[i][0] : groups[i + n - 1][1]] if c in DIGITS)
+        if len(d) < 13 or luhn(d[:-1]) != int(d[-1]) or len(set(d)) == 1:
+            return False
+        free[i : i + n] = [False] * n
+        found.append((groups[i][0], groups[i + n - 1][1]))
+        return True
+
+    for i in range(len(groups)):
+        take(i, 1)
+    for layout in LAYOUTS:
+        for i in range(len(groups) - len(layout) + 1):
+            if tuple(sizes[i : i + len(layout)]) == layout:
+                take(i, len(layout))
+    if len(groups) <= 19:
+        take(0, len(groups))
+    for i in range(len(groups)):
+        n = 0
+        while i + n < min(len(groups), i + 6) and sizes[i + n] >= 3:
+            n += 1
+        any(take(i, k) for k in range(n, 1, -1))
+    return sorted(found)
+
+
 def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
     """(text with pseudonyms, number of values replaced by kind)."""
     found: dict[str, int] = {}
 
-    def swap(m: re.Match) -> str:
-        i = int(m.lastgroup[1:]) if m.lastgroup.startswith("k") else next(i for i in range(len(KINDS)) if m.group(f"k{i}") is not None)
+    def swap(m: re.Match) -> str | None:
+        i = int(m.lastgroup[1:]) if m.lastgroup.startswith("k") else next(i for i in range(len(KINDS)) if f"k{i}" in m.re.groupindex and m.group(f"k{i}") is not None)
         kind, _, treat = KINDS[i]
         group = next((g for g in ("v1", "v2") if f"(?P<{g}>" in KINDS[i][1]), f"k{i}")
         new = treat(m.group(group), key, back)
         if new is None:  # the number may still be of a later kind
             for j in range(i + 1, len(KINDS)):
-                if KINDS[j][0] != kind and re.fullmatch(KINDS[j][1], m.group(group)):
+                if KINDS[j][0] not in (kind, "card") and re.fullmatch(KINDS[j][1], m.group(group)):
                     kind, new = KINDS[j][0], KINDS[j][2](m.group(group), key, back)
                     if new is not None:
                         break
         if new is None:
-            return m.group()
+            return None
         found[kind] = found.get(kind, 0) + 1
         return m.string[m.start() : m.start(group)] + new + m.string[m.end(group) : m.end()]
 
+    def run(line: str, start: int, end: int) -> tuple[str, int]:
+        """(what replaces a run of digit groups, where the search goes on)."""
+        out, at = [], start
+        places = [(start + a, start + b) for a, b in cards(line[start:end])]
+        for a, b in [*places, (end, end)]:
+            while at < a:
+                m = _REST.match(line, at) if line[at] in DIGITS else None
+                new = swap(m) if m and (m.end() <= a or a == end) else None
+                if new is not None:
+                    out.append(new)
+                    at = m.end()
+                else:  # one group or separator further
+                    n = re.compile(r"\d+|.").match(line, at).end()
+                    out.append(line[at:n])
+                    at = n
+            if b > a:
+                out.append(_card(line[a:b], key, back))
+                found["card"] = found.get("card", 0) + 1
+                at = b
+        return "".join(out), at
+
+    def whole(line: str) -> str:
+        out, at = [], 0
+        while m := _PATTERN.search(line, at):
+            out.append(line[at : m.start()])
+            if m.lastgroup == _CARD:
+                new, at = run(line, m.start(), m.end())
+            else:
+                new, at = swap(m), m.end()
+                if new is None and (inside := _CARD_RUN.match(line, m.start())):
+                    new, at = run(line, m.start(), inside.end())
+            out.append(m.group() if new is None else new)
+        return "".join([*out, line[at:]])
+
     if not _ANY.search(text) and "AKIA" not in text:
         return text, found
-    return "\n".join([_PATTERN.sub(swap, x) if _ANY.search(x) or "AKIA" in x else x for x in text.split("\n")]), found
+    return "\n".join([whole(x) if _ANY.search(x) or "AKIA" in x else x for x in text.split("\n")]), found
 
 
 def reveal(text: str, key: bytes = KEY) -> str:
