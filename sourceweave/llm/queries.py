@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm import feistel, fertility, hash_tree, license_scan, piece_lattice, ppm, reply_trees, suffix_repeats, superminhash, wu_manber
+from sourceweave.llm import (dual_tree, feistel, fertility, hash_tree, license_scan, piece_lattice, ppm, prefix_bpe, prefix_trie, reply_trees, suffix_repeats,
+                             superminhash, wu_manber)
 from sourceweave.llm.common import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +144,67 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without bytes under 200-byte strings that stand elsewhere."""
     return suffix_repeats.digests(suffix_repeats.without_repeats(read(spark, sf_dir, "documents")))
+
+
+SQL_RANKED = rf"""
+WITH t AS (SELECT rowid AS d, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS g FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)),
+tf AS (SELECT d, g, count(*) AS tf FROM t GROUP BY d, g),
+n AS (SELECT d, doc_id, count(*) AS n FROM t GROUP BY d, doc_id),
+s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM n),
+w AS (SELECT g, floor(1000 * ln((2.0::DOUBLE * any_value(nn) + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY g),
+b AS (
+  SELECT i, item_id, g, count(*) AS c FROM (
+    SELECT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS g
+    FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)) GROUP BY ALL),
+p AS (
+  SELECT i, item_id, d, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l))))::BIGINT AS score, any_value(doc_id) AS doc_id
+  FROM b JOIN tf USING (g) JOIN w USING (g) JOIN n USING (d), s GROUP BY i, item_id, d)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0) WHERE rank <= 20
+"""
+
+
+@query("op11_dual_tree_search", SQL_RANKED)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return dual_tree.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op12_prefix_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to."""
+    return prefix_bpe.digests(read(spark, sf_dir, "documents"))
+
+
+# CRC-32 bit by bit over the digits of the id, as SQL has no function for it
+SQL_TRIE = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(length(r) || ':' || r || x)) AS p, dense_rank() OVER (ORDER BY r, x) AS v, length(x) AS chars
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+chars AS (SELECT DISTINCT v, chars FROM t),
+b AS (SELECT c, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda z: ascii(z)::BIGINT)),
+    lambda a, z: list_reduce([xor(a, z), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, k: xor(y >> 1, (y & 1) * 3988292384))) AS crc FROM (SELECT DISTINCT c FROM t)),
+h AS (SELECT c, xor(crc, 4294967295) % 6 AS h, (SELECT count(*) FROM t WHERE t.c = b.c - b.c % 100) AS has FROM b),
+r AS (
+  SELECT h.c, t.p AS q, t.v FROM h JOIN t ON t.c = h.c - h.c % 100 AND t.p <= h.h
+  UNION ALL SELECT h.c, t.p - h.h + least(h.h, h.has), t.v FROM h JOIN t ON t.c = h.c AND t.p > h.h),
+path AS (SELECT h.c, coalesce(a.path, []) AS path FROM h LEFT JOIN (SELECT c, list(v ORDER BY q) AS path FROM r GROUP BY c) a USING (c)),
+step AS (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM path),
+node AS (
+  SELECT path[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(CASE WHEN len(path) = d THEN c::VARCHAR END, ',' ORDER BY c) AS ends
+  FROM step GROUP BY path[1:d], d),
+child AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+own AS (
+  SELECT node.k, d, coalesce(child.n, 0) AS n_children, (n_convs - 1) * coalesce(chars.chars, 0) AS saved
+  FROM node LEFT JOIN child USING (k) LEFT JOIN chars ON chars.v = node.k[d]),
+up AS (SELECT k[1:e] AS k, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM own) GROUP BY 1)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, o.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves,
+  u.saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM node n JOIN own o USING (k) JOIN up u USING (k) LEFT JOIN node p ON n.d > 0 AND p.k = n.k[1:n.d - 1]
+"""
+
+
+@query("op13_conversation_trie", SQL_TRIE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
