@@ -13,7 +13,7 @@ depends on no more than that.
 table itself. ``edit`` changes stored texts and computes only the entries near
 the change. ``decode`` turns ids into bytes. All three are one pass over the
 rows, without a shuffle; matches met before are looked up in a table of bounded
-size, one per task.
+size, one per Python worker.
 
 Defined results: a null or empty text has no ids (an empty array) and decodes
 to no bytes; bytes that are not UTF-8 count as U+FFFD, as they do when such a
@@ -46,15 +46,56 @@ from sourceweave.llm.common import chunks, ragged
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: fixed value: the pattern that cuts texts before the merges of the rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: matches (of up to so many characters) and token pairs that a task keeps
+#: matches (of up to so many characters) and token pairs that a worker keeps; of matches twice as many for a while
 KEPT_MATCHES, KEPT_CHARS, KEPT_PAIRS = 1 << 17, 64, 1 << 19
 #: a match is safe from an edit when this many bytes lie between them: two characters decide where a match ends
 LOOKAHEAD = 8
+#: bytes of texts handled together, and matches whose tables are filled together
+CHUNK_BYTES = 1 << 20
+TOGETHER = 1 << 13
 _NEVER = 1 << 60
+_FREE = np.uint64(2**64 - 1)
+
+
+class Lookup:
+    """Small whole numbers by key, for arrays of keys at once (open addressing); an absent key gives -1."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n = bits, 0
+        self.keys = np.full(1 << bits, _FREE)
+        self.vals = np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        got, out = self.keys[at], self.vals[at]
+        todo = np.flatnonzero((got != keys) & (got != _FREE))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            got, out[todo] = self.keys[at[todo]], self.vals[at[todo]]
+            todo = todo[(got != keys[todo]) & (got != _FREE)]
+        return out
+
+    def put(self, keys: np.ndarray, vals: np.ndarray) -> None:
+        """Add keys that are different and absent."""
+        if 3 * (self.n + len(keys)) > 1 << self.bits:
+            old = self.keys != _FREE
+            keys, vals = np.concatenate([self.keys[old], keys]), np.concatenate([self.vals[old], vals])
+            self.__init__(max(self.bits, int(3 * len(keys)).bit_length()))
+        self.n += len(keys)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == _FREE]
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[won]], self.vals[at[won]] = keys[won], vals[won]
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
 
 
 class Vocabulary:
-    """The ranks, the symbols along both ends of every token while it is merged, and a trie of reversed tokens."""
+    """The ranks, the symbols along both ends of every token while it is merged, and a trie of all tokens."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -66,9 +107,21 @@ class Vocabulary:
         self.steps = 0  # table entries computed so far
         self.head: list[tuple[int, ...]] = [()] * len(self.raw)
         self.tail: list[tuple[int, ...]] = [()] * len(self.raw)
-        self.backwards: dict = {}
+        self.forwards: dict = {}
         for token in sorted(ranks.values()):
             self._admit(token)
+        self.size = np.array([*map(len, self.raw)], np.int64)
+        self.seen = Lookup(16)  # pairs met by ``encode_many``
+        # the same trie by (node, byte), with the token of every node
+        numbered, keys, tokens = [self.forwards], [], [-1]
+        for at, node in enumerate(numbered):
+            for c, child in node.items():
+                if c >= 0:
+                    keys.append(at << 8 | c)
+                    numbered.append(child)
+                    tokens.append(child.get(-1, -1))
+        self.children, self.token_at = Lookup(18), np.array(tokens, np.int64)
+        self.children.put(np.array(keys, np.uint64), np.arange(1, len(tokens), dtype=np.int32))
 
     def _admit(self, token: int) -> None:
         """Note how a token comes about from tokens of lower ranks, then let it take part."""
@@ -83,8 +136,8 @@ class Vocabulary:
             self.head[token] = (*self.head[left], token)
             self.tail[token] = (*self.tail[right], token)
         self.pairs.clear()  # pairs seen so far may now merge
-        node = self.backwards
-        for c in reversed(b):
+        node = self.forwards
+        for c in b:
             node = node.setdefault(c, {})
         node[-1] = token
 
@@ -95,10 +148,12 @@ class Vocabulary:
         of the seam grow in a known order. The pair is lost when the two symbols
         that meet at some moment merge before either of them grows.
         """
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        out = self.pairs[left << 32 | right] = self._valid(left, right)
+        return out
+
+    def _valid(self, left: int, right: int) -> bool:
         a, b, raw, rank = self.tail[left], self.head[right], self.raw, self.ranks.get
         i = j = 0
         while True:
@@ -107,20 +162,13 @@ class Vocabulary:
             seam = rank(raw[a[i]] + raw[b[j]], _NEVER)
             # of equal merges the leftmost comes first: one inside the left token, then the seam, then one inside the right
             if seam < _NEVER and seam < grow_a and seam <= grow_b and self.head[seam]:
-                out = False
-                break
+                return False
             if grow_a == grow_b == _NEVER:
-                out = True
-                break
+                return True
             if grow_a <= grow_b:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) >= KEPT_PAIRS:
-            self.pairs.clear()
-        self.pairs[key] = out
-        return out
-
     def table(self, data: bytes, known: list[int] | None = None, old: list[int] | None = None, old_from: int = 0) -> list[int]:
         """Last token of every prefix of ``data`` (one pattern match), entry 0 for the first byte.
 
@@ -128,30 +176,89 @@ class Vocabulary:
         earlier table's entry for the same bytes at ``len(known) + k`` bytes and
         beyond the changed part; once ``longest`` of them agree the rest is copied.
         """
-        last = list(known or ())
-        backwards, valid, n, agree, first = self.backwards, self.valid, len(data), 0, len(last)
-        for end in range(first, n):
-            node, at, ends = backwards, end, []
-            while at >= 0:
-                node = node.get(data[at])
+        n, first = len(data), len(known or ())
+        last = [*(known or ()), *[None] * (n - first)]
+        trie, known_pair, valid, longest, agree, done = self.forwards, self.pairs.get, self.valid, self.longest, 0, first
+        # tokens are laid from every start on, so the longest token that may end at a place is tried first
+        for start in range(max(first - longest, 0), n):
+            if start > first:
+                done = start
+                if old is not None:
+                    k = old_from + start - 1 - first
+                    agree = agree + 1 if 0 <= k < len(old) and old[k] == last[start - 1] else 0
+                    if agree > longest and k + n - start + 1 <= len(old):
+                        last[start:] = old[k + 1 : k + n - start + 1]
+                        break
+            before, node = (last[start - 1] if start else None), trie
+            for end in range(start, n):
+                node = node.get(data[end])
                 if node is None:
                     break
-                if -1 in node:
-                    ends.append((at, node[-1]))
-                at -= 1
-            for at, token in reversed(ends):
-                if at == 0 or valid(last[at - 1], token):
-                    last.append(token)
-                    break
-            if old is not None:
-                k = old_from + end - first
-                agree = agree + 1 if 0 <= k < len(old) and old[k] == last[-1] else 0
-                if agree > self.longest and k + n - end <= len(old):
-                    last += old[k + 1 : k + n - end]
-                    break
-        self.steps += end - first + 1 if n > first else 0
+                token = node.get(-1)
+                if token is not None and last[end] is None:
+                    if before is None:
+                        last[end] = token
+                    else:
+                        fits = known_pair(before << 32 | token)
+                        if valid(before, token) if fits is None else fits:
+                            last[end] = token
+        else:
+            done = n
+        self.steps += done - first
         return last
 
+    def encode_many(self, units: list[bytes]) -> list[bytes]:
+        """Packed ids (int32) of many matches: their tables filled together, place by place."""
+        size = np.array([*map(len, units)], np.int64)
+        data = np.frombuffer(b"".join(units), np.uint8)
+        ends = np.cumsum(size)
+        starts = ends - size
+        stop, offset = np.repeat(ends, size), np.arange(len(data)) - np.repeat(starts, size)
+        # every token that stands anywhere: (start, last byte, token)
+        found, at, node, depth = [], np.arange(len(data)), np.zeros(len(data), np.uint64), 0
+        while len(at):
+            node = self.children.get(node << np.uint64(8) | data[at + depth])
+            at, node = at[node >= 0], node[node >= 0]
+            token = self.token_at[node]
+            found.append((at[token >= 0], at[token >= 0] + depth, token[token >= 0]))
+            depth += 1
+            more = at + depth < stop[at]
+            at, node = at[more], node[more].astype(np.uint64)
+        begin, end, token = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(offset[begin], kind="stable")
+        begin, end, token = begin[order], end[order], token[order]
+        cuts = np.searchsorted(offset[begin], np.arange(int(size.max(initial=0)) + 1))
+        last = np.full(len(data), -1, np.int64)
+        for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+            b, e, t = begin[lo:hi], end[lo:hi], token[lo:hi]
+            if k:
+                open_ = last[e] < 0
+                b, e, t = b[open_], e[open_], t[open_]
+                fits = self._fit(last[b - 1], t)
+                e, t = e[fits], t[fits]
+            last[e] = t
+        chosen, at, floor = np.zeros(len(data), bool), ends[size > 0] - 1, starts[size > 0]
+        while len(at):
+            chosen[at] = True
+            at = at - self.size[last[at]]
+            at, floor = at[at >= floor], floor[at >= floor]
+        packed = last[chosen].astype(np.int32).tobytes()
+        cut = (4 * np.concatenate([[0], np.cumsum(chosen)])[np.concatenate([starts, ends[-1:]])]).tolist() if units else []
+        return [packed[a:b] for a, b in zip(cut, cut[1:])]
+
+    def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``valid`` for arrays of tokens."""
+        keys = (left << 32 | right).astype(np.uint64)
+        got = self.seen.get(keys)
+        if (got < 0).any():
+            new = np.unique(keys[got < 0])
+            if self.seen.n + len(new) > KEPT_PAIRS:
+                self.seen = Lookup(16)
+                new = np.unique(keys)
+            self.seen.put(new, np.array([self._valid(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], np.int32))
+            got = self.seen.get(keys)
+        return got == 1
+
     def spell(self, last: list[int]) -> list[int]:
         """Ids of the whole match, walked back over its table."""
         out, at, raw = [], len(last), self.raw
@@ -169,19 +276,41 @@ def vocabulary(path: str = RANKS) -> Vocabulary:
 
 
 class Matches(dict):
-    """Packed ids (int32) of pattern matches; a match is encoded when it is first asked for."""
+    """Packed ids of pattern matches met before.
+
+    When full, the table starts anew and takes over what is asked for again, so frequent matches stay.
+    """
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
-        self.vocab = vocab
+        self.vocab, self.older = vocab, {}
+
+    def learn(self, units: set[str]) -> None:
+        """Encode the units that are not known, short ones together."""
+        new = [u for u in units if u not in self]
+        if len(self) + len(new) > KEPT_MATCHES:
+            self.older = dict(self)
+            self.clear()
+            new = list(units)
+        fresh = []
+        for u in new:
+            if u in self.older:
+                self[u] = self.older[u]
+            elif len(u) <= KEPT_CHARS:
+                fresh.append(u)
+        for lo in range(0, len(fresh), TOGETHER):
+            part = fresh[lo : lo + TOGETHER]
+            self.update(zip(part, self.vocab.encode_many([u.encode() for u in part])))
 
     def __missing__(self, match: str) -> bytes:
-        out = np.array(self.vocab.spell(self.vocab.table(match.encode())), np.int32).tobytes()
-        if len(match) <= KEPT_CHARS:
-            if len(self) >= KEPT_MATCHES:
-                self.clear()
-            self[match] = out
-        return out
+        """A long match: encoded each time it stands somewhere."""
+        return np.array(self.vocab.spell(self.vocab.table(match.encode())), np.int32).tobytes()
+
+
+@lru_cache(maxsize=2)
+def matches(path: str) -> Matches:
+    """The matches that this Python worker has met, in whatever task."""
+    return Matches(vocabulary(path))
 
 
 def encode_table(text: bytes, vocab: Vocabulary, cut: regex.Pattern) -> list[int]:
@@ -275,9 +404,9 @@ def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, cut = vocabulary(path), regex.compile(pattern)
-        known = Matches(vocab)
+        known = matches(path)
         for batch in batches:
-            for lo, hi, data, offs in chunks(batch.column("__text")):
+            for lo, hi, data, offs in chunks(batch.column("__text"), CHUNK_BYTES):
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
                 cols = [batch.column(c).slice(lo, hi - lo) for c in names]
@@ -285,7 +414,9 @@ def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
                     tables = [encode_table(_clean(t), vocab, cut) for t in texts]
                     cols += [_ints([table_ids(t, vocab) for t in tables]), _ints(tables)]
                 else:
-                    cols.append(_ints([b"".join(map(known.__getitem__, cut.findall(t.decode("utf-8", "replace")))) for t in texts]))
+                    parts = [cut.findall(t.decode("utf-8", "replace")) for t in texts]
+                    known.learn(set().union(*parts))
+                    cols.append(_ints([b"".join(map(known.__getitem__, p)) for p in parts]))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return src.mapInArrow(work, schema)
