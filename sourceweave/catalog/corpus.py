@@ -125,15 +125,20 @@ def order_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_discount") > 0.095, F.col("l_quantity")).alias("hq"), F.col("l_shipdate").alias("ship"))
 
 
-def line_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per order line with its order, customer, supplier and part."""
+def ordered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order line with its order."""
     lines = order_lines(spark, sf)
     o = table(spark, sf, "orders")
+    return o.join(lines, o.o_orderkey == lines.l_orderkey)
+
+
+def line_facts(spark: SparkSession, sf: str, lines: DataFrame | None = None) -> DataFrame:
+    """One row per order line with its order, customer, supplier and part; ``lines`` are ``ordered_lines`` when already at hand."""
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
     return (
-        o.join(lines, o.o_orderkey == lines.l_orderkey)
+        (ordered_lines(spark, sf) if lines is None else lines)
         .join(c, F.col("o_custkey") == F.col("c_custkey"))
         .join(s, F.col("sk") == F.col("s_suppkey"))
         .join(p, F.col("pk") == F.col("p_partkey"))
@@ -176,7 +181,15 @@ _KINDS = ["letter", "telegram", "diary", "typescript", "biography", "study", "no
 
 
 def source_id() -> Column:
-    return (F.col("o_orderkey") * LINES + F.col("n")).cast("bigint")
+    """Order key and line number in one number; an order with too many lines for that is an error, never a clash of ids."""
+    whole = (F.col("o_orderkey") * LINES + F.col("n")).cast("bigint")
+    return F.when(F.col("n") < LINES, whole).otherwise(F.raise_error(F.lit(f"an order has {LINES} lines or more")).cast("bigint"))
+
+
+def edge_positions(lines: DataFrame) -> DataFrame:
+    """(owner_id, owner_pos) of every relationship that ``ordered_lines`` make."""
+    g = lines.groupBy("o_custkey", "sk").agg(F.min("o_orderkey").alias("owner_pos"))
+    return g.select(F.concat(cid(F.col("o_custkey")), F.lit("--"), sid(F.col("sk"))).alias("owner_id"), "owner_pos")
 
 
 def _source_columns() -> list[Column]:
@@ -220,21 +233,21 @@ def _source_columns() -> list[Column]:
     ]
 
 
-def sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources on relationships."""
+def sources(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
+    """Sources on relationships; ``facts`` are ``line_facts`` when already at hand."""
     c, s = cid(F.col("o_custkey")), sid(F.col("sk"))
-    return line_facts(spark, sf).select(
+    return (line_facts(spark, sf) if facts is None else facts).select(
         F.lit("relationship").alias("owner_kind"), F.concat(c, F.lit("--"), s).alias("owner_id"),
         F.array(c, s).alias("people"), F.lit(None).cast("bigint").alias("engagement_pos"),
         F.lit(None).cast("string").alias("subject"), *_source_columns(),
     )
 
 
-def engagement_sources(spark: SparkSession, sf: str) -> DataFrame:
+def engagement_sources(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
     """Sources on a person's own engagements; the urgent ones repeat an excerpt of the edge."""
     pr = F.col("o_orderpriority")
     owner = F.when(pr == "2-HIGH", sid(F.col("sk"))).otherwise(cid(F.col("o_custkey")))
-    base = line_facts(spark, sf).where(pr.isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
+    base = (line_facts(spark, sf) if facts is None else facts).where(pr.isin("1-URGENT", "2-HIGH", "3-MEDIUM"))
     df = base.select(
         F.lit("person").alias("owner_kind"), owner.alias("owner_id"), F.array(owner).alias("people"),
         source_id().alias("engagement_pos"),

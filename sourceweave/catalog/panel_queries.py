@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sourceweave.catalog import corpus
 from sourceweave.catalog.corpus import PRELUDE
 from sourceweave.catalog.registry import query
-from sourceweave.catalog.shared import PANEL, panel
+from sourceweave.catalog.shared import PANEL, once, panel, panel_store
 from sourceweave.functions import dates, text
 from sourceweave.operators import aggregates, dedup, filters, joins, ordering, sets
 from sourceweave.operators import projections as prj
@@ -59,6 +59,17 @@ def person_panel_cards(spark, sf):
     ).orderBy("person", *ordering.SOURCE_ORDER, "source_id")
 
 
+@query("busiest_person_panel", PANEL + """,
+busiest AS (SELECT person FROM panel GROUP BY person ORDER BY count(*) DESC, person LIMIT 1)
+SELECT person, route, source_id, label, work, locator FROM panel JOIN busiest USING (person)""")
+def busiest_person_panel(spark, sf):
+    """The whole panel of the person with most sources: one bucket of the store."""
+    store = panel_store(spark, sf)
+    who = store.panel().groupBy("person").count().orderBy(F.desc("count"), "person").select("person").first()
+    rows = store.person(who[0]) if who else store.panel()
+    return rows.select("person", "route", "source_id", "label", "work", "locator")
+
+
 @query("panel_duplicates", PANEL + """
 SELECT person, work, locator, excerpt, CAST(count(*) AS BIGINT) AS copies, CAST(count(*) FILTER (route = 0) AS BIGINT) AS by_edge,
   CAST(count(*) FILTER (route = 1) AS BIGINT) AS by_own, CAST(count(*) FILTER (route = 2) AS BIGINT) AS by_named
@@ -91,11 +102,8 @@ SELECT pair, route, source_id, CAST(CASE WHEN excerpt = '' THEN 0 ELSE also END
 FROM pr2 LEFT JOIN rels r ON r.id = pair WHERE rn = 1 OR excerpt = ''""".replace("\\\\p", "\\p"))
 def pair_panel(spark, sf):
     """Every pair's shared sources, merged, with the class of their edge when there is one."""
-    people = corpus.people(spark, sf)
     rels = corpus.relationships(spark, sf)
-    edge = corpus.sources(spark, sf).join(rels.select(F.col("id").alias("owner_id"), F.col("pos").alias("owner_pos")), "owner_id")
-    own = corpus.engagement_sources(spark, sf).join(people.select(F.col("id").alias("owner_id"), F.col("pos").alias("owner_pos")), "owner_id")
-    cards = dedup.merge_cards(joins.all_pair_panels(edge, own, people), ["route", "source_id"])
+    cards = dedup.merge_cards(joins.pair_panels_of(panel(spark, sf)), ["route", "source_id"])
     return cards.join(rels.select(F.col("id").alias("person"), "certainty"), "person", "left").select(
         F.col("person").alias("pair"), "route", "source_id", "also",
         F.coalesce("certainty", F.lit("no connection recorded")).alias("connection"))
@@ -211,7 +219,8 @@ def _with_repository(spark, sf):
 
 
 def _rows(spark, sf):
-    return panels.source_rows(_with_repository(spark, sf), corpus.works(spark, sf), corpus.places(spark, sf))
+    """What the filters look at, stored once: a facet or a term then reads its own columns only."""
+    return once(spark, sf, "source-rows", lambda: panels.source_rows(_with_repository(spark, sf), corpus.works(spark, sf), corpus.places(spark, sf)))
 
 
 @query("facet_counts", _ROWS + "SELECT facet, member, CAST(count(*) AS BIGINT) AS n FROM (" + " UNION ALL ".join(

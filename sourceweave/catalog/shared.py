@@ -2,19 +2,60 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave.catalog import corpus
-from sourceweave.operators import joins
+from sourceweave.operators import dedup, joins
+from sourceweave.plans.panel_store import PanelStore
+from sourceweave.session import shared_path, stored
+
+
+_STORES: dict[tuple, PanelStore] = {}
+_TABLES: dict[tuple, DataFrame] = {}
+TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region")
+
+
+def _state(spark, sf) -> tuple:
+    """Names, lengths and times of the files a panel is made of."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for t in TABLES:
+        at = path(f"{sf.rstrip('/')}/{t}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in (fs.listStatus(at) if fs.exists(at) else [])]
+    return tuple(sorted(out))
+
+
+def panel_store(spark, sf) -> PanelStore:
+    """The stored panel of the derived corpus, built when its tables are first asked for or have changed.
+
+    The lines are scanned once: numbered, joined with their orders and stored;
+    both kinds of sources and the positions of the edges come from that table.
+    """
+    key = (spark.sparkContext.applicationId, _state(spark, sf))
+    if key not in _STORES:
+        lines = stored(corpus.ordered_lines(spark, sf), "lines")
+        facts = stored(corpus.line_facts(spark, sf, lines), "facts")
+        edge = corpus.sources(spark, sf, facts).join(corpus.edge_positions(lines), "owner_id")
+        people = corpus.people(spark, sf)
+        own = corpus.engagement_sources(spark, sf, facts).join(people.select(F.col("id").alias("owner_id"), F.col("pos").alias("owner_pos")), "owner_id")
+        rows = dedup.with_excerpt(joins.person_panel(edge, own, people))
+        _STORES[key] = PanelStore(spark, shared_path(spark, "panel")).build(rows)
+    return _STORES[key]
+
+
+def once(spark, sf, name, make):
+    """The table that ``make`` gives, stored when first asked for or when the tables behind it have changed."""
+    key = (name, spark.sparkContext.applicationId, _state(spark, sf))
+    if key not in _TABLES:
+        _TABLES[key] = stored(make(), name)
+    return _TABLES[key]
 
 
 def panel(spark, sf):
-    """Unmerged person panel of the derived corpus."""
-    rels = corpus.relationships(spark, sf).select(F.col("id").alias("owner_id"), F.col("pos").alias("owner_pos"))
-    edge = corpus.sources(spark, sf).join(rels, "owner_id")
-    own = corpus.engagement_sources(spark, sf).join(
-        corpus.people(spark, sf).select(F.col("id").alias("owner_id"), F.col("pos").alias("owner_pos")), "owner_id")
-    return joins.person_panel(edge, own, corpus.people(spark, sf))
+    """Unmerged person panel of the derived corpus, read from its store."""
+    return panel_store(spark, sf).panel()
 
 
 # the same panel as SQL, on top of corpus.PRELUDE

@@ -10,7 +10,8 @@ from sourceweave.physical import first_row, with_group_count
 
 
 def with_excerpt(sources: DataFrame) -> DataFrame:
-    return sources.withColumn("excerpt", text.excerpt_key(F.col("quote")))
+    """Adds the words of the quote as ``excerpt``, unless a stored table has them already."""
+    return sources if "excerpt" in sources.columns else sources.withColumn("excerpt", text.excerpt_key(F.col("quote")))
 
 
 def repeated_excerpts(sources: DataFrame, holder: list[str]) -> DataFrame:

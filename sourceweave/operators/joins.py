@@ -166,6 +166,20 @@ def pair_panel(edge_sources: DataFrame, own_sources: DataFrame, people: DataFram
     return flat.withColumn("person", F.lit(f"{x}|{y}")).withColumn("card_order", order)
 
 
+def pair_panels_of(panel: DataFrame) -> DataFrame:
+    """``all_pair_panels`` out of a person panel: one pass, no join.
+
+    An edge's source stands on both persons' panels and is taken from the first;
+    an engagement that names somebody is taken from its owner's.
+    """
+    first = F.array_min("people")
+    kept = panel.where(((F.col("route") == ROUTE_EDGE) & (F.col("person") == first)) | ((F.col("route") == ROUTE_OWN) & F.col("label_id").isNotNull()))
+    pair = F.when(F.col("route") == ROUTE_EDGE, F.col("people")).otherwise(F.array("owner_id", "label_id"))
+    route = F.when(F.col("route") == ROUTE_EDGE, 0).when(F.col("owner_id") < F.col("label_id"), 1).otherwise(2)
+    order = F.struct("route", "owner_pos", F.coalesce("engagement_pos", F.lit(0)).alias("engagement_pos"), "source_pos", "source_id")
+    return kept.withColumns({"person": F.array_join(F.array_sort(pair), "--"), "route": route}).withColumn("card_order", order)
+
+
 def all_pair_panels(edge_sources: DataFrame, own_sources: DataFrame, people: DataFrame) -> DataFrame:
     """The pair view for every pair at once, keyed by the sorted pair."""
     named = resolve_names(own_sources, "subject", unique_name_index(people), "__subject_id").where(

@@ -64,3 +64,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative jobs keep short plans and survive lost executors."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: computed once, however many plans read it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
