@@ -245,6 +245,50 @@ def heading_extraction(spark, sf):
                       w["t"].alias("t"), w["inferred"].alias("inferred"), F.col("postmarked")["date"]["d"].alias("post_d"), F.col("written_place").alias("place"))
 
 
+def more_headings(orders):
+    """Ten further printed forms, by order key: French and roman days, seasons, parts, ranges, acts in brackets, many paragraphs, readings that differ."""
+    k = F.col("o_orderkey") % 10
+    d = F.col("o_orderdate") - F.expr("INTERVAL 100 YEARS")
+    dm, my, y, wd = F.date_format(d, "d MMMM"), F.date_format(d, "MMMM yyyy"), F.date_format(d, "yyyy"), F.date_format(d, "EEEE")
+    next_day = F.date_format(d + F.expr("INTERVAL 1 DAY"), "d MMMM yyyy")
+    place, text, c = F.lit("12 Market Street"), F.lit, F.concat
+    roman = F.when(F.day(d) % 2 == 0, "IV").otherwise("XIX")
+    head = F.element_at(F.array(
+        c(text("le "), F.day(d).cast("string"), text(" mai "), y, text(" "), place),
+        c(roman, text(" "), my, text("\n\n"), place),
+        c(text("Spring "), y, text("\n\n"), place),
+        c(text("early "), my, text(" "), place),
+        c(y, text("-"), (F.year(d) + 2).cast("string"), text(" "), place),
+        c(dm, text(" "), y, text(" [Received "), next_day, text("]\n\n"), place),
+        c(dm, text(" [Postmark "), next_day, text("] [Received "), next_day, text("]\n\n"), place),
+        c(text("Private\n\nLetter - No. IV\n\n"), wd, text("\n\n[on verso]\n\n["), dm, text(" "), y, text("]\n\n"), place),
+        c(text("May-June "), y, text(" "), place),
+        c(dm, text(" "), y, text(" ["), next_day, text("]\n\n"), place)), (k + 1).cast("int"))
+    return orders.select(F.col("o_orderkey").alias("file"), F.lit("Somebody").alias("addressee"),
+                         F.concat(head, F.lit("\n\nMy dear Friend, order "), F.col("o_orderkey").cast("string"), F.lit(" came.\n\nYours ever")).alias("quote"))
+
+
+@query("heading_forms", """
+WITH h AS (SELECT o_orderkey AS file, o_orderkey % 10 AS k, CAST(o_orderdate - INTERVAL 100 YEAR AS DATE) AS d, CAST(o_orderdate - INTERVAL 100 YEAR AS DATE) + 1 AS e FROM orders)
+SELECT file, CASE WHEN k >= 8 THEN 'flagged' ELSE 'parsed' END AS status,
+  CASE k WHEN 8 THEN 'ambiguous range or alternative' WHEN 9 THEN 'a date and a bracket that differ' END AS reason,
+  CASE WHEN k < 8 THEN CAST(year(CASE WHEN k = 6 THEN e ELSE d END) AS BIGINT) END AS y,
+  CASE WHEN k IN (1, 3, 5, 6, 7) THEN CAST(month(d) AS BIGINT) WHEN k = 0 THEN 5 END AS m,
+  CASE WHEN k IN (0, 5, 6, 7) THEN CAST(day(d) AS BIGINT) WHEN k = 1 THEN CASE WHEN day(d) % 2 = 0 THEN 4 ELSE 19 END END AS d,
+  CASE WHEN k = 7 THEN lower(dayname(d)) END AS weekday, CASE WHEN k = 2 THEN 'spring' END AS season, CASE WHEN k = 3 THEN 'early' END AS part,
+  CASE WHEN k = 4 THEN CAST(year(d) + 2 AS BIGINT) END AS to_y,
+  CASE WHEN k = 6 THEN CAST(day(e) AS BIGINT) END AS post_d, CASE WHEN k IN (5, 6) THEN CAST(month(e) AS BIGINT) END AS received_m,
+  CASE WHEN k IN (5, 6) THEN CAST(day(e) AS BIGINT) END AS received_d, CASE WHEN k < 8 THEN 'market-2' END AS place,
+  'My dear Friend, order ' || file || ' came.' || chr(10) || chr(10) || 'Yours ever' AS body FROM h""")
+def heading_forms(spark, sf):
+    """Headings of many paragraphs, acts and kinds of dates, with the body that is left."""
+    res, _ = headings.extract(more_headings(table(spark, sf, "orders")), order_aliases(spark, sf))
+    w = F.when(F.col("reason").isNull(), F.col("written"))["date"]
+    post, got = (F.when(F.col("reason").isNull(), F.col(x))["date"] for x in ("postmarked", "received"))
+    return res.select("file", "status", "reason", *[w[x].alias(x) for x in ("y", "m", "d", "weekday", "season", "part")], w["to"]["y"].alias("to_y"),
+                      post["d"].alias("post_d"), got["m"].alias("received_m"), got["d"].alias("received_d"), F.col("written_place").alias("place"), "body")
+
+
 @query("heading_summary", _HEAD + "SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (status = 'parsed') AS BIGINT) AS parsed, CAST(count(*) FILTER (status = 'flagged') AS BIGINT) AS flagged, CAST(count(*) FILTER (status = 'skipped') AS BIGINT) AS skipped FROM r")
 def heading_summary(spark, sf):
     return aggregates.extraction_summary(headings.extract(order_headings(spark, sf), order_aliases(spark, sf))[0])

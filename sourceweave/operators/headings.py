@@ -16,6 +16,7 @@ from sourceweave.functions import dates
 from sourceweave.functions.binding import let
 from sourceweave.operators.joins import longest_prefix
 from sourceweave.physical import keyed_join, spread
+from sourceweave.session import stored
 
 _I = "(?iu)"
 
@@ -50,7 +51,7 @@ PREFIX = rf"{_I}^\s*(?:{_TOKEN}[\s,;.:–—-]*)*"
 MARKER = rf"{_I}\b(Postmark of receipt|Postmark|Date of receipt|Received|Rec'd)\b"
 AMBIGUOUS = (
     rf"{_I}\bbetween\s+\d|\b\d{{1,2}}{ORD}\s+or\s+\d{{1,2}}{ORD}\s+{MONTH}\b|\b{MONTH}\s+or\s+{MONTH}\b|"
-    rf"\b\d{{1,2}}{ORD}\s*[-–]\s*\d{{1,2}}{ORD}\s+{MONTH}\b|\b{YEAR}\s+(?:or|to)\b|\b{MONTH}\s+to\s+{MONTH}\b"
+    rf"\b\d{{1,2}}{ORD}\s*[-–]\s*\d{{1,2}}{ORD}\s+{MONTH}\b|\b{YEAR}\s+(?:or|to)\b|\b{MONTH}\s*(?:to\b|[-–—/])\s*{MONTH}\b"
 )
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}])", r"(?:[\s,.!:-]|$)"
 _NAME = r"\p{L}[\p{L}\p{N}_'’.-]*"
@@ -60,6 +61,9 @@ SALUTATION = (
     rf"{_spaced(vocab.SALUTATION_TITLES)}){_AFTER}"
 )
 NUMBERING = rf"{_I}^\(?\s*(?:letter|postcard)\s*[-–—]?\s*no\.?\s*[ivxlc\d]+\.?\s*\)?$"
+#: what an edition prints before the heading of the first paragraph
+OPENING = rf"^\s*(?:LETTER\s+NO\.?\s*\d+\s*)?(?i:(?:STRICTLY\s+)?PRIVATE\b\s*)?"
+SENDER_LINE = rf"^de la part de M(?:onsieur)?\.?\s+\p{{L}}+$"
 SIGLUM = rf"^[MT]S\s+{_NAME}(?:\s+\([^)]*\))?$"
 #: remarks inside a heading that say nothing of date or place
 ASIDE = rf"{_I}\(\s*(?:postcard\s+no\.?\s*\d+|[\p{{L}} ]+\s+time)\s*\)"
@@ -78,7 +82,7 @@ def is_junk(paragraph: Column) -> Column:
     low = F.lower(t)
     note = F.trim(F.regexp_replace(low, r"^\[|\]$", ""))
     bracket = t.rlike(r"^\[[^\]]*\]$") & F.greatest(*[F.startswith(note, F.lit(n)) for n in vocab.EDITOR_NOTES])
-    return F.regexp_replace(low, r"\.$", "").isin(vocab.PRIVACY_LINES) | t.rlike(SIGLUM) | t.rlike(NUMBERING) | bracket
+    return F.regexp_replace(low, r"\.$", "").isin(vocab.PRIVACY_LINES) | t.rlike(SIGLUM) | t.rlike(NUMBERING) | t.rlike(SENDER_LINE) | bracket
 
 
 def looks_like_address(c: Column, most_chars: int = 130, most_words: int = 13) -> Column:
@@ -194,7 +198,7 @@ def split_heading(headings: DataFrame) -> DataFrame:
     idle = lambda p: (F.trim(p) == "") | is_junk(p)
     lead = F.aggregate("paras", F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda acc, p: let(
         acc["go"] & idle(p), lambda g: F.struct((acc["n"] + g.cast("int")).alias("n"), g.alias("go"))), lambda acc: acc["n"])
-    df = headings.withColumn("paras", paras).withColumn("__lead", lead).withColumn("p0", F.coalesce(F.try_element_at("paras", F.col("__lead") + 1), F.lit("")))
+    df = headings.withColumn("paras", paras).withColumn("__lead", lead).withColumn("p0", F.regexp_replace(F.coalesce(F.try_element_at("paras", F.col("__lead") + 1), F.lit("")), OPENING, ""))
     df = df.withColumn("__sal", F.coalesce(salutation_at(F.col("p0")), F.lit(0))).withColumn("__plain", F.regexp_replace("p0", ASIDE, " "))
     bare = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, PREFIX, ""), r"\[[^\]]*\]", ""), PREFIX, ""))
     df = df.withColumn("__rest", bare(F.col("__plain")))
@@ -219,10 +223,10 @@ def split_heading(headings: DataFrame) -> DataFrame:
     tail0 = F.substring(F.col("p0"), F.col("__cut") + 1, F.length("p0"))
     told = F.filter(F.slice("__more", F.lit(1), F.col("__n")), lambda p: ~idle(p))
     left = F.slice("__more", F.col("__n") + 1, F.greatest(F.size("__more") - F.col("__n"), F.lit(0)))
-    return df.select(
-        *headings.columns,
+    # a generator, so that whatever reads head and body reads values and not the expressions behind them
+    return df.select(*headings.columns, F.inline(F.array(F.struct(
         F.array_join(F.concat(F.array(F.trim(head0)), F.transform(told, lambda p: F.regexp_replace(p, ASIDE, " "))), "\n").alias("head"),
-        F.array_join(F.concat(F.when(F.trim(tail0) != "", F.array(F.ltrim(tail0))).otherwise(F.array().cast("array<string>")), left), "\n\n").alias("body"))
+        F.array_join(F.concat(F.when(F.trim(tail0) != "", F.array(F.ltrim(tail0))).otherwise(F.array().cast("array<string>")), left), "\n\n").alias("body")))))
 
 
 # ------------------------------------------------------------------ acts of a heading
@@ -244,11 +248,15 @@ def heading_acts(split: DataFrame, aliases: DataFrame) -> DataFrame:
     inner = lambda b: F.regexp_replace(F.regexp_replace(b, r"^\[\s*", ""), r"\s*\]$", "")
     df = df.withColumn("__prefix", prefix).withColumn("__after", after).withColumn("__brackets", brackets)
 
-    marked = F.filter("__brackets", lambda b: b.rlike(MARKER) & ~is_postmark_place(b))
-    stamped = F.filter("__brackets", is_postmark_place)
-    # a bare day is a date only when the month follows its bracket
-    bare_day = F.filter("__brackets", lambda b: inner(b).rlike(rf"^\??\s*\d{{1,2}}{ORD}$"))
-    plain = F.filter("__brackets", lambda b: ~b.rlike(MARKER) & is_date_text(inner(b)) & ~inner(b).rlike(rf"^\??\s*\d{{1,2}}{ORD}$"))
+    # each bracket is classed once: 'a' names an act, 's' is a postmark's place, 'n' a bare day (a date only when the month
+    # follows its bracket), 'd' a date, 'p' a place; transform() binds the classes for all their uses
+    classed = F.transform("__brackets", lambda b: F.struct(b.alias("text"), inner(b).alias("inner"), F.when(
+        is_postmark_place(b), "s").when(b.rlike(MARKER), "a").when(inner(b).rlike(rf"^\??\s*\d{{1,2}}{ORD}$"), "n").when(is_date_text(inner(b)), "d").otherwise("p").alias("kind")))
+    of = lambda k: F.filter("__classed", lambda x: x["kind"] == k)
+    df = df.withColumn("__classed", classed)
+    sets = F.struct(*[F.transform(of(k), lambda x: x["text"]).alias(k) for k in "asndp"])
+    df = df.withColumn("__b", F.transform(F.array(sets), lambda x: x))
+    marked, stamped, bare_day, plain, named = (F.col("__b")[0][k] for k in "asndp")
     day_then_month = F.col("__text").rlike(rf"{_I}\[\s*\??\s*\d{{1,2}}{ORD}\s*\]\s*{MONTH}\b")
     lone_day = F.when(day_then_month, F.try_element_at(bare_day, F.lit(1)))
     follow = F.when(day_then_month, F.regexp_extract("__text", rf"{_I}\]\s*({MONTH}\b[\s,]*(?:{YEAR})?)", 1))
@@ -272,7 +280,8 @@ def heading_acts(split: DataFrame, aliases: DataFrame) -> DataFrame:
     df = df.withColumn("__p", pieces)
     p = {k: F.col("__p")[i] for i, k in enumerate(("outer", "plain", "day", "follow", "year_after", "before", "after", "marker", "after2", "marker2"))}
     expressions = F.array(p["outer"], p["plain"], F.concat_ws(" ", p["day"], p["follow"]), p["before"], p["after"], p["after2"])
-    df = df.withColumn("__dates", F.transform(expressions, _date_struct))
+    # an empty expression has no parts; most headings have one expression or two
+    df = df.withColumn("__dates", F.transform(expressions, lambda x: F.when(F.trim(x) != "", _date_struct(x))))
     o, b, d1, w, a, a2 = (F.col("__dates")[i] for i in range(6))
     has_bracket = (p["plain"] != "") | (p["day"] != "")
     second = lambda k: F.coalesce(b[k], d1[k], w[k])
@@ -313,7 +322,7 @@ def heading_acts(split: DataFrame, aliases: DataFrame) -> DataFrame:
         F.array(F.col("__lead")),
         F.transform(F.split(F.regexp_replace(F.regexp_replace("__after", r"\[[^\]]*\]", "\n"), rf"{MARKER}.*$", ""), "\n"),
                     lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), PREFIX, ""), r"^[\s,;.:–—-]+|[\s,;:–—-]+$", "")),
-        F.filter("__brackets", lambda x: ~x.rlike(MARKER) & ~is_date_text(inner(x)))))
+        named))
     places = F.filter(places, lambda x: x != "")
     bad_bracket = F.contains(F.regexp_replace("__text", r"\[[^\]]*\]", ""), F.lit("["))
     act = lambda date, cond, time: F.when(cond, F.struct(date.alias("date"), null.cast("string").alias("place"), time.alias("time")))
@@ -323,6 +332,8 @@ def heading_acts(split: DataFrame, aliases: DataFrame) -> DataFrame:
     def marked_act(which: str) -> Column:
         return F.coalesce(act(act_date(a), post_said & (kind == which), no_time), act(act_date(a2), post2_said & (kind2 == which), no_time))
 
+    # both readings given and not the same: which one holds is not for us to say
+    apart = F.greatest(*[F.coalesce(o[k] != second(k), F.lit(False)) for k in ("y", "m", "d", "weekday")])
     flag = (
         F.when(F.col("head") == "", "no heading")
         .when(F.split_part("__text", F.lit("\n"), F.lit(1)).rlike(AMBIGUOUS), "ambiguous range or alternative")
@@ -330,17 +341,18 @@ def heading_acts(split: DataFrame, aliases: DataFrame) -> DataFrame:
         .when(mark_text.rlike(rf"{MARKER}.*{MARKER}") | mark2_text.rlike(rf"{MARKER}.*{MARKER}"), "several act markers in one bracket")
         .when((F.size(marked) > 2) | (kind == kind2) | (F.size(stamped) > 1), "several brackets of one act")
         .when((F.size(plain) + F.size(bare_day) > 1), "several date brackets")
+        .when(F.coalesce(apart, F.lit(False)), "a date and a bracket that differ")
         .when(((p["marker"] != "") & (F.size(stamped) == 0) & ~post_said) | ((p["marker2"] != "") & ~post2_said), "empty or unreadable postmark")
         .when(~said & ~post_said, "heading date unreadable")
     )
-    return df.select(
-        *split.columns,
+    # a generator, so that whatever reads these columns reads values and not the expressions behind them
+    return df.select(*split.columns, F.inline(F.array(F.struct(
         act(written_date, said, F.when(clock_text != "", clock_text)).alias("written"),
         marked_act("postmarked").alias("postmarked"),
         marked_act("received").alias("received"),
         places.alias("place_texts"),
         F.regexp_extract(F.coalesce(F.try_element_at(stamped, F.lit(1)), F.lit("")), r"(?i)Postmark\s+([^\]]*?)\s*\]", 1).alias("postmark_place_text"),
-        flag.alias("flag"))
+        flag.alias("flag")))))
 
 
 def resolve_addresses(texts: DataFrame, column: str, aliases: DataFrame, out: str) -> DataFrame:
@@ -350,7 +362,8 @@ def resolve_addresses(texts: DataFrame, column: str, aliases: DataFrame, out: st
     keys = [F.col("address"), fold_apostrophe(F.col("address")), fold_apostrophe(F.col("address"))]
     for i, (t, k) in enumerate(zip(tries, keys)):
         dim = aliases.groupBy(k.alias(f"__k{i}")).agg(F.min("place_id").alias(f"__v{i}"))
-        df = keyed_join(df.withColumn(f"__k{i}", t), dim, [f"__k{i}"], "left").drop(f"__k{i}")
+        open_ = F.coalesce(*[F.col(f"__v{j}") for j in range(i)]).isNull() if i else F.lit(True)  # a form is made only where those before it failed
+        df = keyed_join(df.withColumn(f"__k{i}", F.when(open_, t)), dim, [f"__k{i}"], "left").drop(f"__k{i}")
     return df.withColumn(out, F.coalesce("__v0", "__v1", "__v2")).drop("__v0", "__v1", "__v2")
 
 
@@ -363,7 +376,8 @@ def extract(headings: DataFrame, aliases: DataFrame, overrides: DataFrame | None
     todo = spread(headings.where(~dated))
     if overrides is not None:
         todo = apply_overrides(todo, overrides)
-    acts = heading_acts(split_heading(todo), aliases)
+    # headings are split once: the search for a known address reads them beside the acts
+    acts = heading_acts(stored(split_heading(todo), "headings"), aliases)
     # the place texts of a heading ride along with its acts: one pass, one grouping by file;
     # a heading already flagged is left alone
     tagged = F.concat(
