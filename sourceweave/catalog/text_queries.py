@@ -57,6 +57,24 @@ def marked_spans(spark, sf):
     return d.select("doc_id", F.try_element_at(spans, F.lit(1)).alias("s")).select("doc_id", "s.start", "s.end")
 
 
+@query("quoted_spans", r"""
+WITH l AS (SELECT doc_id, lower(text) AS low, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS flat, regexp_split_to_array(lower(text), '[a-z0-9]+') AS seps,
+  trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS p1, trim(regexp_replace(lower(string_split(text, chr(10))[-1]), '[^a-z0-9]+', ' ', 'g')) AS p2 FROM documents),
+f AS (SELECT *, CASE WHEN length(p1) >= 12 AND strpos(flat, p1) > 0 THEN strpos(flat, p1) END AS a1 FROM l),
+g AS (SELECT *, coalesce(a1 + length(p1), 1) AS after1, strpos(substr(flat, coalesce(a1 + length(p1), 1)), p2) AS r2 FROM f),
+s AS (
+  SELECT doc_id, flat, seps, 0 AS run, a1 AS lo, a1 + length(p1) - 1 AS hi FROM g WHERE a1 IS NOT NULL
+  UNION ALL SELECT doc_id, flat, seps, 1, after1 + r2 - 1, after1 + r2 + length(p2) - 2 FROM g WHERE length(p2) >= 12 AND r2 > 0),
+n AS (SELECT *, length(substr(flat, 1, lo - 1)) - length(replace(substr(flat, 1, lo - 1), ' ', '')) AS s1, length(substr(flat, 1, hi - 1)) - length(replace(substr(flat, 1, hi - 1), ' ', '')) AS s2 FROM s)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INT) AS pos,
+  CAST(length(array_to_string(seps[1:s1 + 1], '')) + lo - 1 - s1 AS INT) AS "start", CAST(length(array_to_string(seps[1:s2 + 1], '')) + hi - 1 - s2 + 1 AS INT) AS "end" FROM n""")
+def quoted_spans(spark, sf):
+    """Where the runs of a quotation stand in its document: the first line, an elision, the last line; every span."""
+    d = spread(table(spark, sf, "documents"))
+    quote = F.concat(F.substring_index("text", "\n", 1), F.lit(" … "), F.substring_index("text", "\n", -1))
+    return d.select("doc_id", F.posexplode(text.marked_spans(F.col("text"), quote)).alias("pos", "s")).select("doc_id", "pos", "s.start", "s.end")
+
+
 @query("term_occurrences", "SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 AS BIGINT) AS n, CASE WHEN contains(lower(text), 'the') THEN CAST(strpos(lower(text), 'the') - 1 AS INT) END AS first_offset FROM documents")
 def term_occurrences(spark, sf):
     return table(spark, sf, "documents").select(
@@ -112,11 +130,15 @@ def transcript_reproduced(spark, sf):
 
 
 @query("transcript_turns", r"""
-SELECT conv_id, turn, i AS pos, CASE i WHEN 0 THEN upper(role[1]) || lower(role[2:]) ELSE 'Second voice' END AS who, CASE i WHEN 0 THEN ltrim(text, chr(10) || ' ') || ' then' ELSE trim(text, chr(10) || ' ') END AS said FROM conversations, (VALUES (0), (1)) v(i) WHERE NOT regexp_matches(text, '[A-Z]:')""")
+WITH q AS (SELECT conv_id, turn, trim(upper(role) || ': ' || text || ' then SECOND VOICE: ' || text) AS raw FROM conversations),
+p AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(raw, '\s*\b([A-Z][A-Z .''\-]*[A-Z]):\s*', chr(1) || '\1' || chr(2), 'g'), chr(1)), lambda x: x <> '') AS parts FROM q),
+t AS (SELECT conv_id, turn, unnest(parts) AS x, unnest(range(len(parts))) AS pos FROM p WHERE len(parts) > 1)
+SELECT conv_id, turn, CAST(pos AS INT) AS pos, CASE WHEN contains(x, chr(2)) THEN x[1] || lower(string_split(x, chr(2))[1][2:]) ELSE '' END AS who,
+  trim(string_split(x, chr(2))[-1], chr(10) || ' ') AS said FROM t""")
 def transcript_turns(spark, sf):
-    """Two labelled voices split back into turns."""
+    """Labelled voices split back into turns, those that a text itself labels among them."""
     quote = F.concat(F.upper("role"), F.lit(": "), "text", F.lit(" then SECOND VOICE: "), "text")
-    df = table(spark, sf, "conversations").where(~F.col("text").rlike("[A-Z]:"))
+    df = table(spark, sf, "conversations")
     turns = text.split_transcript(quote, F.lit(""), F.lit(""))
     return df.select("conv_id", "turn", F.posexplode(turns).alias("pos", "t")).select(
         "conv_id", "turn", "pos", "t.who", F.trim("t.text", F.lit(" \n")).alias("said"))

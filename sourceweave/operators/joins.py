@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourceweave import vocab
 from sourceweave.functions import text
 from sourceweave.operators import projections as prj
-from sourceweave.physical import first_row, small_side
+from sourceweave.physical import first_row, keyed_join, small_side
 
 
 # ------------------------------------------------------------------ reference checks
@@ -213,19 +213,16 @@ def page_citation(pages: DataFrame, cited_pages: DataFrame, source_key: str) ->
 
 
 # ------------------------------------------------------------------ addresses
-def longest_prefix(df: DataFrame, column: str, addresses: DataFrame, head: int = 8) -> DataFrame:
+def longest_prefix(df: DataFrame, column: str, addresses: DataFrame) -> DataFrame:
     """The longest known address a text starts with, as ``address``; NULL when none does.
 
-    Texts and addresses meet in an equi-join on their first ``head`` characters
-    (fewer for shorter addresses); the rest of the prefix is compared only there.
+    Each different text is cut at the lengths that addresses have (a short list)
+    and the cuts meet whole addresses in an equi-join, so a key holds one
+    address and a text that a third of the rows share is looked up once.
     """
-    known = addresses.select(F.col("address").alias("__a")).distinct().withColumn(
-        "__n", F.least(F.length("__a"), F.lit(head))).withColumn("__k", F.substring(F.col("__a"), F.lit(1), F.col("__n")))
-    probes = df.select(column).distinct().select(column, F.explode(F.sequence(F.lit(1), F.lit(head))).alias("__n")).where(
-        F.length(column) >= F.col("__n")).withColumn("__k", F.substring(F.col(column), F.lit(1), F.col("__n")))
-    hits = probes.join(small_side(known), ["__n", "__k"]).where(F.startswith(F.col(column), F.col("__a")))
-    best = hits.groupBy(column).agg(F.max(F.struct(F.length("__a").alias("n"), F.col("__a").alias("a"))).alias("__b"))
-    return df.join(best.select(column, F.col("__b.a").alias("address")), column, "left")
-
-
-ALL_ACTS = [*vocab.ACTS, "occurred"]
+    known = addresses.select(F.col("address").alias("__k")).where("__k <> ''").distinct()
+    lengths = [r[0] for r in known.select(F.length("__k")).distinct().collect()]  # no more than the longest address has characters
+    at = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>"), lambda n: n <= F.length(column))
+    probes = df.select(column).distinct().select(column, F.explode(at).alias("__n")).withColumn("__k", F.substring(F.col(column), F.lit(1), F.col("__n")))
+    best = probes.join(small_side(known), "__k").groupBy(column).agg(F.max("__n").alias("__n"))
+    return keyed_join(df, best, [column], "left").withColumn("address", F.substring(F.col(column), F.lit(1), F.col("__n"))).drop("__n")
