@@ -13,7 +13,7 @@ depends on no more than that.
 table itself. ``edit`` changes stored texts and computes only the entries near
 the change. ``decode`` turns ids into bytes. All three are one pass over the
 rows, without a shuffle; matches met before are looked up in a table of bounded
-size, one per Python worker.
+size, one per task.
 
 Defined results: a null or empty text has no ids (an empty array) and decodes
 to no bytes; bytes that are not UTF-8 count as U+FFFD, as they do when such a
@@ -46,7 +46,7 @@ from sourceweave.llm.common import chunks, ragged
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: fixed value: the pattern that cuts texts before the merges of the rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: matches (of up to so many characters) and token pairs that a worker keeps; of matches twice as many for a while
+#: matches (of up to so many characters) and token pairs that a task keeps; of matches twice as many for a while
 KEPT_MATCHES, KEPT_CHARS, KEPT_PAIRS = 1 << 17, 64, 1 << 19
 #: a match is safe from an edit when this many bytes lie between them: two characters decide where a match ends
 LOOKAHEAD = 8
@@ -268,11 +268,24 @@ class Vocabulary:
         return out[::-1]
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    """A rank file: a base64 token and its rank per line."""
+    lines = (line.split() for line in Path(path).read_bytes().splitlines())
+    return {base64.b64decode(x[0]): int(x[1]) for x in lines if len(x) == 2}
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str = RANKS) -> Vocabulary:
-    """The vocabulary of a rank file: a base64 token and its rank per line."""
-    lines = (line.split() for line in Path(path).read_bytes().splitlines())
-    return Vocabulary({base64.b64decode(x[0]): int(x[1]) for x in lines if len(x) == 2})
+    return Vocabulary(_ranks(path))
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str = RANKS) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all tokens by id, their lengths): all that decoding needs; a last length of 0 stands for ids that are none."""
+    ranks = _ranks(path)
+    by_id = {i: b for b, i in ranks.items()}
+    raw = [by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)]
+    return np.frombuffer(b"".join(raw), np.uint8), np.array([*map(len, raw), 0], np.int64)
 
 
 class Matches(dict):
@@ -307,12 +320,6 @@ class Matches(dict):
         return np.array(self.vocab.spell(self.vocab.table(match.encode())), np.int32).tobytes()
 
 
-@lru_cache(maxsize=2)
-def matches(path: str) -> Matches:
-    """The matches that this Python worker has met, in whatever task."""
-    return Matches(vocabulary(path))
-
-
 def encode_table(text: bytes, vocab: Vocabulary, cut: regex.Pattern) -> list[int]:
     """The table of a whole text: ids, stored as -1 - id at the first byte of every match."""
     out: list[int] = []
@@ -404,7 +411,7 @@ def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, cut = vocabulary(path), regex.compile(pattern)
-        known = matches(path)
+        known = Matches(vocab)
         for batch in batches:
             for lo, hi, data, offs in chunks(batch.column("__text"), CHUNK_BYTES):
                 raw = data.tobytes()
@@ -462,9 +469,8 @@ def decode(coded: DataFrame, ids: str = "ids", into: str = "bytes", carry: tuple
     schema = _with(coded, names, f"`{into}` binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = vocabulary(path).raw
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        size = np.array([*map(len, raw), 0], np.int64)  # the last entry stands for ids that are none
+        data, size = token_bytes(path)
+        none = len(size) - 1
         first = np.cumsum(size) - size
         for batch in batches:
             column = batch.column("__ids")
@@ -474,7 +480,7 @@ def decode(coded: DataFrame, ids: str = "ids", into: str = "bytes", carry: tuple
             while lo < len(column):  # about a million ids at a time
                 hi = min(max(lo + 1, int(np.searchsorted(counts, counts[lo] + (1 << 20), "right")) - 1), len(column))
                 mine = flat[counts[lo] : counts[hi]]
-                mine = np.where((mine >= 0) & (mine < len(raw)), mine, len(raw))
+                mine = np.where((mine >= 0) & (mine < none), mine, none)
                 ends = np.concatenate([[0], np.cumsum(size[mine])])
                 offsets = pa.array(ends[counts[lo : hi + 1] - counts[lo]].astype(np.int32)).buffers()[1]
                 out = data[ragged(first[mine], size[mine])].tobytes()
