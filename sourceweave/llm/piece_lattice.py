@@ -5,8 +5,9 @@ letters, one digit, or a run of other characters (a run is cut every
 ``LONGEST`` code points). Only the different units of the corpus are encoded:
 all their substrings up to the longest piece are exploded and equi-joined to the
 piece table, the edges are grouped by unit, and a Spark ``aggregate`` folds them
-into the best path (greatest sum of scores; ties: the longer last piece).
-Characters without a piece become byte tokens.
+into the best path (greatest sum of scores; ties: the longer last piece). The
+fold keeps a score, a way back and one id per node; a second one walks back from
+the end and spells the ids. Characters without a piece become byte tokens.
 
 Units then meet the texts again. The table of units is sent to the scan as
 hashes and packed ids while it has at most ``table_units`` rows, the most spread
@@ -19,7 +20,10 @@ Decoding joins the bytes of the pieces and drops the leading space; it restores
 every text exactly, including runs of spaces, line feeds and a literal U+2581.
 
 Defined results: a null text has null ids and decodes to null; an empty text has
-no ids. Rows are encoded one by one, so copies and ties need no rule.
+no ids; an empty table gives no rows. Rows are encoded one by one, so copies and
+ties need no rule; a long text is cut into units like any other. Only ``carry``
+columns are kept, whatever their names but ids, round_trip and those that begin
+with two underscores.
 """
 
 from __future__ import annotations
@@ -135,23 +139,43 @@ def lattice(words: DataFrame, pieces: list[tuple[str, int, float]], byte: list[i
              .select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), length - F.col("s")))).alias("l"))
              .select("unit", "s", "l", F.substring("unit", F.col("s") + 1, F.col("l")).alias("piece"))
              .join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR l = 1"))  # the piece table is as large as its file
-    code = F.hex(F.encode("piece", "utf-8"))
-    number = F.array(*[F.lit(i) for i in byte])
-    each = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: number[F.conv(F.substring(code, i * 2 - 1, F.lit(2)), 16, 10).cast("int")])
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(each)
     score = F.coalesce("score", F.lit(byte_score) * F.octet_length("piece"))
-    edge = F.struct((F.col("s") + F.col("l")).alias("e"), "s", score.alias("score"), ids.alias("ids"))
+    edge = F.struct((F.col("s") + F.col("l")).alias("e"), "s", score.alias("score"), "id")
     grouped = edges.select("unit", edge.alias("edge")).groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
 
-    def step(best: Column, x: Column) -> Column:
-        before = best[x["s"]]
-        total = before["score"] + x["score"]
-        path = F.struct(total.alias("score"), F.concat(before["ids"], x["ids"]).alias("ids"))
-        return (F.when(F.size(best) == x["e"], F.concat(best, F.array(path)))  # edges come by end: the first one to reach it
-                .when(total > best[x["e"]]["score"], F.concat(F.slice(best, F.lit(1), x["e"]), F.array(path))).otherwise(best))
+    # edges come by end, then by start: closed nodes lie in an array, the node being reached is kept beside it
+    def node(total: Column, x: Column) -> Column:
+        return F.struct(total.alias("score"), x["s"].alias("back"), x["id"].alias("id"))
+
+    def step(state: Column, x: Column) -> Column:
+        here = x["e"] == state["e"]
+        total = F.when(x["s"] == state["e"], state["top"]["score"]).otherwise(state["nodes"][x["s"]]["score"]) + x["score"]
+        return (F.when(~here, F.struct(x["e"].alias("e"), F.concat(state["nodes"], F.array(state["top"])).alias("nodes"), node(total, x).alias("top")))
+                .when(total > state["top"]["score"], F.struct(x["e"].alias("e"), state["nodes"].alias("nodes"), node(total, x).alias("top")))
+                .otherwise(state))
+
+    kind = "struct<score:double,back:int,id:int>"
+    begin = F.struct(F.lit(0).alias("e"), F.array().cast(f"array<{kind}>").alias("nodes"), F.struct(
+        F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(None).cast("int").alias("id")).cast(kind).alias("top"))
+    last = grouped.select("unit", F.aggregate("edges", begin, step).alias("last"))
+
+    number = F.array(*[F.lit(i) for i in byte])
+
+    def spelled(i: Column, n: Column) -> Column:
+        """Ids of the edge into node i: its piece, or the bytes of its one character."""
+        char = F.hex(F.encode(F.substring(F.col("unit"), i, F.lit(1)), "utf-8"))
+        each = F.transform(F.sequence(F.lit(1), F.length(char), F.lit(2)), lambda j: number[F.conv(F.substring(char, j, F.lit(2)), 16, 10).cast("int")])
+        return F.when(n["id"].isNotNull(), F.array(n["id"])).otherwise(each)
+
+    # back from the end: ids are put together once, for the nodes of the best path only
+    nodes, end = F.col("last.nodes"), F.col("last.e")
+
+    def walk(state: Column, i: Column) -> Column:
+        n = F.when(i == end, F.col("last.top")).otherwise(nodes[i])
+        return F.when(i == state["at"], F.struct(n["back"].alias("at"), F.concat(spelled(i, n), state["ids"]).alias("ids"))).otherwise(state)
 
-    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
-    return grouped.select("unit", F.aggregate("edges", begin, step, lambda best: F.element_at(best, -1)["ids"]).alias("ids"))
+    start = F.struct(end.alias("at"), F.array().cast("array<int>").alias("ids"))
+    return last.select("unit", F.aggregate(F.sequence(end, F.lit(1), F.lit(-1)), start, walk, lambda state: state["ids"]).alias("ids"))
 
 
 def unit_table(docs: DataFrame, text: str = "text", model: str = MODEL) -> tuple[DataFrame, DataFrame]:
