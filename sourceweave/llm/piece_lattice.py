@@ -19,7 +19,9 @@ Decoding joins the bytes of the pieces and drops the leading space; it restores
 every text exactly, including runs of spaces, line feeds and a literal U+2581.
 
 Defined results: a null text has null ids and decodes to null; an empty text has
-no ids. Rows are encoded one by one, so copies and ties need no rule.
+no ids; an empty table gives no rows. Rows are encoded one by one, so copies need
+no rule; a long text is cut into units like any other. Only ``carry`` columns are
+kept; they may not be called ids or round_trip, nor begin with two underscores.
 """
 
 from __future__ import annotations
