@@ -132,18 +132,18 @@ def lattice(words: DataFrame, pieces: list[tuple[str, int, float]], byte: list[i
     spark = words.sparkSession
     table = spark.createDataFrame(pa.table({"piece": [p for p, _, _ in pieces], "id": pa.array([i for _, i, _ in pieces], pa.int32()), "score": [s for _, _, s in pieces]}))
     longest = max(len(p) for p, _, _ in pieces)
-    length = F.char_length("unit")
-    edges = (words.select("unit", F.explode(F.sequence(F.lit(0), length - 1)).alias("s"))
-             .select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), length - F.col("s")))).alias("l"))
-             .select("unit", "s", "l", F.substring("unit", F.col("s") + 1, F.col("l")).alias("piece"))
-             .join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR l = 1"))  # the piece table is as large as its file
+    edges = (words.select("unit", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("e"))  # by end, so that the sort below meets sorted rows
+             .select("unit", "e", F.explode(F.sequence(F.greatest(F.lit(0), F.col("e") - longest), F.col("e") - 1)).alias("s"))
+             .select("unit", "e", "s", F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
+             .join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR e - s = 1"))  # the piece table is as large as its file
     code = F.hex(F.encode("piece", "utf-8"))
     number = F.array(*[F.lit(i) for i in byte])
     each = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: number[F.conv(F.substring(code, i * 2 - 1, F.lit(2)), 16, 10).cast("int")])
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(each)
+    # ids are written out, with a space after each: joining strings costs the fold less than joining arrays
+    ids = F.concat(F.when(F.col("id").isNotNull(), F.col("id").cast("string")).otherwise(F.array_join(each.cast("array<string>"), " ")), F.lit(" "))
     score = F.coalesce("score", F.lit(byte_score) * F.octet_length("piece"))
-    edge = F.struct((F.col("s") + F.col("l")).alias("e"), "s", score.alias("score"), ids.alias("ids"))
-    grouped = edges.select("unit", edge.alias("edge")).groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    edge = F.struct("e", "s", score.alias("score"), ids.alias("ids"))
+    grouped = edges.select("unit", edge.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
     def step(best: Column, x: Column) -> Column:
         before = best[x["s"]]
@@ -152,8 +152,9 @@ def lattice(words: DataFrame, pieces: list[tuple[str, int, float]], byte: list[i
         return (F.when(F.size(best) == x["e"], F.concat(best, F.array(path)))  # edges come by end: the first one to reach it
                 .when(total > best[x["e"]]["score"], F.concat(F.slice(best, F.lit(1), x["e"]), F.array(path))).otherwise(best))
 
-    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
-    return grouped.select("unit", F.aggregate("edges", begin, step, lambda best: F.element_at(best, -1)["ids"]).alias("ids"))
+    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit("").alias("ids")))
+    best = F.aggregate("edges", begin, step, lambda best: F.element_at(best, -1)["ids"])
+    return grouped.select("unit", F.split(F.rtrim(best), " ").cast("array<int>").alias("ids"))
 
 
 def unit_table(docs: DataFrame, text: str = "text", model: str = MODEL) -> tuple[DataFrame, DataFrame]:
