@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sourceweave.catalog import corpus
 from sourceweave.catalog.corpus import PRELUDE
 from sourceweave.catalog.registry import query
-from sourceweave.catalog.shared import PANEL, once, panel, panel_store
+from sourceweave.catalog.shared import PANEL, once, panel, panel_store, search_index
 from sourceweave.functions import dates, text
 from sourceweave.operators import aggregates, dedup, filters, joins, ordering, sets
 from sourceweave.operators import projections as prj
@@ -369,6 +369,32 @@ def search_single_pick(spark, sf):
     return aggregates.single_match(_hits(spark, sf, "Customer#000000007", "names"))
 
 
+#: a whole name, a word, a note, a term without a trigram, one that nothing holds
+_TERMS = ["Customer#000000007", "red", "nation_1", "ed", "zqzqzq"]
+_BY_TERM = " UNION ALL ".join(
+    f"SELECT '{t}' AS term, id, CASE WHEN bool_or(n) THEN 'name' WHEN bool_or(q) THEN 'quote' WHEN bool_or(o) THEN 'note' END AS kind FROM h{i} GROUP BY id HAVING bool_or(n OR q OR o)"
+    for i, t in enumerate(_TERMS))
+_TEXTS = """,
+txt AS (
+  SELECT id, 'n' AS k, lower(name || ' ' || aka || ' ' || sort_name) AS hay FROM people UNION ALL SELECT id, 'q', lower(bio) FROM people
+  UNION ALL SELECT id, 'o', lower(coalesce(bio_note, '')) FROM people
+  UNION ALL SELECT unnest([cid, sid]), 'q', lower(concat_ws('  ', nullif(quote, ''), context, supports)) FROM src
+  UNION ALL SELECT unnest([cid, sid]), 'o', lower(concat_ws('  ', citation_provenance, locator, CASE WHEN hint_y IS NOT NULL THEN 'by hand' END)) FROM src
+  UNION ALL SELECT unnest([a, b]), 'o', lower(coalesce(date_label, '')) FROM rels UNION ALL SELECT owner_id, 'o', lower(subject) FROM eng)"""
+
+
+@query("search_indexed", PRELUDE + _TEXTS + "".join(
+    f", h{i} AS (SELECT id, k = 'n' AND c AS n, k = 'q' AND c AS q, k = 'o' AND c AS o FROM (SELECT id, k, contains(hay, '{t.lower()}') AS c FROM txt))"
+    for i, t in enumerate(_TERMS)) + " " + _BY_TERM)
+def search_indexed(spark, sf):
+    """Several terms answered from the stored trigram index."""
+    index, people, out = search_index(spark, sf), corpus.people(spark, sf), None
+    for t in _TERMS:
+        found = index.hits(people, t).where("kind IS NOT NULL").select(F.lit(t).alias("term"), "id", "kind")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # ------------------------------------------------------------------ unions
 @query("holder_union", PRELUDE + "SELECT owner_kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(source_id) AS BIGINT) AS ids FROM (SELECT owner_kind, source_id FROM src UNION ALL SELECT owner_kind, source_id FROM eng) GROUP BY 1")
 def holder_union(spark, sf):

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from sourceweave.catalog import corpus
 from sourceweave.operators import dedup, joins
 from sourceweave.plans.panel_store import PanelStore
+from sourceweave.plans.search_index import SearchIndex, record_texts
 from sourceweave.session import shared_path, stored
 
 
 _STORES: dict[tuple, PanelStore] = {}
 _TABLES: dict[tuple, DataFrame] = {}
+_INDEXES: dict[tuple, SearchIndex] = {}
 TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region")
 
 
@@ -45,6 +47,16 @@ def panel_store(spark, sf) -> PanelStore:
     return _STORES[key]
 
 
+def search_index(spark, sf) -> SearchIndex:
+    """The search index of the derived corpus, built when first asked for or when its tables have changed."""
+    key = (spark.sparkContext.applicationId, _state(spark, sf))
+    if key not in _INDEXES:
+        eng = corpus.engagement_sources(spark, sf).select("owner_id", "subject")
+        rows = record_texts(corpus.people(spark, sf), corpus.relationships(spark, sf), corpus.sources(spark, sf), eng)
+        _INDEXES[key] = SearchIndex(spark, shared_path(spark, "search")).build(rows)
+    return _INDEXES[key]
+
+
 def once(spark, sf, name, make):
     """The table that ``make`` gives, stored when first asked for or when the tables behind it have changed."""
     key = (name, spark.sparkContext.applicationId, _state(spark, sf))
