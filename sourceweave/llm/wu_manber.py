@@ -13,8 +13,9 @@ one more pass of the same rows per block, so the size sent is bounded and no
 pattern is left out.
 
 Defined results: null or empty texts have no words and are clean; items without
-words have no windows; repeated items or ids count once per id; an item with a
-null id is left out of the lists. Rows are judged one by one.
+words have no windows; repeated items or ids count once per id. Items with a
+null id count like any other for hits and verdict and as one item together; only
+the list of names leaves them out. Rows are judged one by one.
 """
 
 from __future__ import annotations
@@ -90,15 +91,15 @@ class Table:
             at += 1
 
 
-def build_tables(items: list[tuple[int, bytes]], window: int) -> tuple[list[Table], list[str]]:
+def build_tables(items: list[tuple[str | None, bytes]], window: int) -> tuple[list[Table], list[str | None]]:
     """Tables by pattern length and the item names; ``items`` are (id, text)."""
     roll = Roller(_SEED)
-    names = sorted({str(i) for i, _ in items})
+    names = sorted({i for i, _ in items if i is not None}) + [None]
     number = {n: k for k, n in enumerate(names)}
     by: dict[int, dict] = defaultdict(lambda: defaultdict(set))
     for i, text in items:
         for w in windows_of(text, window):
-            by[len(w)][w].add(number[str(i)])
+            by[len(w)][w].add(number[i])
     return [Table(n, p, roll) for n, p in sorted(by.items())], names
 
 
@@ -129,15 +130,15 @@ def scan(column: pa.Array, tables: list[Table], names: list[str], roll: Roller)
 
 def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                 window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with n_words, spans (array of first word, end word) and items (array of strings) of all occurrences."""
+    """``docs`` with n_words, spans (array of first word, end word) and items (array of strings; null: items without an id) of all occurrences."""
     spark = docs.sparkSession
-    work = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).where("i IS NOT NULL")
-    # items are dealt to passes by hash: an item is never split, a pass holds about block_words words of six characters
+    work = items.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
+    # rows of items are dealt to passes by hash: a row is never split, a pass holds about block_words words of six characters
     total = work.agg(F.sum(F.length("t"))).first()[0] or 0
     passes = max(1, -(-int(total) // (block_words * 6)))
     out = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<a:int,b:int>>"), "items": F.array().cast("array<string>")})
     for k in range(passes):
-        part = work.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k) if passes > 1 else work
+        part = work.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else work
         rows = part.select("i", "t").toArrow()
         pairs = list(zip(rows["i"].to_pylist(), [t.encode() for t in rows["t"].to_pylist()]))
         sent = spark.sparkContext.broadcast(pairs)
