@@ -11,8 +11,10 @@ from sourceweave.catalog.reference_queries import _CITED, _citing, _doc_citation
 from sourceweave.catalog.registry import ORACLE, query
 from sourceweave.catalog.shared import PANEL, panel
 from sourceweave.operators import joins
+from sourceweave.plans import publish
 from sourceweave.rules import checks
 from sourceweave.rules.registry import evaluate, findings
+from sourceweave.session import shared_path
 
 
 def _counts(df):
@@ -72,6 +74,27 @@ def rules_relationships(spark, sf):
     return _counts(checks.relationships(corpus.relationships(spark, sf), roster))
 
 
+def _rows(name: str) -> str:
+    """The findings that the SQL of a rule query counts."""
+    sql = ORACLE[name]
+    return sql[sql.rindex(" FROM (SELECT '") + 7 : sql.rindex(") GROUP BY ALL")]
+
+
+@query("gate_report", PRELUDE + f""", found AS ({_rows("rules_people")} UNION ALL {_rows("rules_works")} UNION ALL {_rows("rules_relationships")})
+SELECT severity, rule, CAST(count(*) AS BIGINT) AS n, min(record) AS first_record, CAST(sum(count(*)) OVER (PARTITION BY severity) AS BIGINT) AS of_severity,
+  bool_or(severity = 'error') AS closes_gate FROM found GROUP BY severity, rule""")
+def gate_report(spark, sf):
+    """The gate's report: findings are written once and counted by severity while they are written."""
+    people = corpus.people(spark, sf)
+    found = checks.people(people).unionByName(checks.works(corpus.works(spark, sf))).unionByName(
+        checks.relationships(corpus.relationships(spark, sf), people.where("coalesce(gender, '') <> 'x'")))
+    path = shared_path(spark, "findings")
+    counts = publish.write_findings(found, path)
+    error = F.col("severity") == "error"
+    return publish.report(spark.read.schema(found.schema).parquet(path)).select(
+        "severity", "rule", "n", "first_record", F.when(error, counts["errors"]).otherwise(counts["warnings"]).cast("long").alias("of_severity"), error.alias("closes_gate"))
+
+
 _KIN = "('biography', 'study', 'novel', 'web-page', 'article', 'testimony')"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sourceweave.operators import filters
@@ -17,6 +17,24 @@ def report(violations: DataFrame) -> DataFrame:
     return violations.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"), F.min("record").alias("first_record"))
 
 
+def write_findings(violations: DataFrame, path: str) -> dict[str, int]:
+    """Store the findings and return their number by severity, counted while they are written.
+
+    The gate's verdict costs no scan of its own. The counts are taken in the
+    stage that writes, where a task that is run again counts once.
+    """
+    seen = Observation("findings")
+    severity = F.col("severity")
+    violations.observe(seen, F.count_if(severity == "error").alias("errors"), F.count_if(severity == "warning").alias("warnings")).write.parquet(path)
+    return {k: int(v) for k, v in seen.get.items()}
+
+
+def gate_counts(counts: dict[str, int]) -> None:
+    """``gate`` on the counts of ``write_findings``."""
+    if counts["errors"]:
+        raise GateClosed(f"the corpus has {counts['errors']} errors; see the findings table")
+
+
 def gate(violations: DataFrame) -> None:
     """Raise when any error is left. One action, stopping at the first error found."""
     if not violations.where(F.col("severity") == "error").isEmpty():

@@ -220,3 +220,14 @@ def test_raw_place_references(spark):
     from sourceweave.operators import joins
     raw = spark.createDataFrame([('{"born":{"place":"rome"},"places":["paris", "nice"],"x":{"place": "bonn"}}',)], "raw string")
     assert {r["place"] for r in joins.raw_place_references(raw).collect()} == {"rome", "paris", "nice", "bonn"}
+
+
+def test_findings_are_counted_while_written(spark, tmp_path):
+    rows = [("A1", "error", f"r{i % 7}") for i in range(90)] + [("B1", "warning", None)] * 3
+    v = spark.createDataFrame(rows, "rule string, severity string, record string").repartition(5)
+    counts = publish.write_findings(v, str(tmp_path / "found"))
+    assert counts == {"errors": 90, "warnings": 3} and spark.read.parquet(str(tmp_path / "found")).count() == 93
+    with pytest.raises(publish.GateClosed, match="90 errors"):
+        publish.gate_counts(counts)
+    publish.gate_counts(publish.write_findings(v.where("rule = 'B1'"), str(tmp_path / "warned")))
+    assert publish.write_findings(v.limit(0), str(tmp_path / "none")) == {"errors": 0, "warnings": 0}
