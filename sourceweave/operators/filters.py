@@ -90,8 +90,9 @@ def filter_sources(
     row is hidden, and counted as such, only when a year is asked for and it
     passes everything else. ``names`` (person, card_order, name) holds all names of
     a card, one per row; a search among names also finds a card by any of them.
+    Rows that carry ``found`` have had the term looked for already.
     """
-    ok = F.contains(F.col(f"hay_{scope}"), F.lit(term.strip().lower())) if term.strip() else F.lit(True)
+    ok = F.col("found") if "found" in rows.columns else F.contains(F.col(f"hay_{scope}"), F.lit(term.strip().lower())) if term.strip() else F.lit(True)
     named = names is not None and scope == "names" and bool(term.strip())
     if named:
         found = names.where(F.contains(F.lower("name"), F.lit(term.strip().lower()))).select(F.struct("person", "card_order").alias("__card")).distinct().withColumn("__named", F.lit(True))

@@ -24,7 +24,7 @@ CARD_COLUMNS = [
 def person_cards(panel: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One card per excerpt on a person's panel, in reading order columns."""
     df = ordering.with_source_order(panel)
-    return dedup.merge_cards(df, [*(columns or CARD_COLUMNS), *ordering.SOURCE_ORDER])
+    return dedup.merge_cards(df, [*(columns or ["work", "locator", *CARD_COLUMNS]), *ordering.SOURCE_ORDER])
 
 
 def person_timeline(people: DataFrame, relationships: DataFrame, engagements: DataFrame) -> DataFrame:
@@ -85,11 +85,22 @@ def source_rows(cards: DataFrame, works: DataFrame, places: DataFrame) -> DataFr
         col("supports"), col("locator"), col("citation_provenance"), col("verified_with"), col("w_title"), col("w_author"),
         col("w_editors"), col("w_year"), F.when(col("route") == 0, col("label")), col("order_hint")["why"], *said)
     return df.select(
-        "person", "source_id", "route", *[c for c in ("card_order",) if c in df.columns], names.alias("hay_names"), quotes.alias("hay_quotes"), everything.alias("hay_all"),
+        "person", "source_id", "route", "label", *[c for c in ("card_order", "card") if c in df.columns], names.alias("hay_names"), quotes.alias("hay_quotes"), everything.alias("hay_all"),
         prj.source_year().alias("year"), col("document"), col("location")["short"].alias("location"),
         *[col("place")[p].alias(p) for p in ("country", "region", "city", "street", "venue")])
 
 
+def found_cards(rows: DataFrame, term: str, scope: str = "all", columns: list[str] | None = None) -> DataFrame:
+    """Cards of ``source_rows`` with ``found``, whether the card's first row holds the term, and ``columns`` of that row.
+
+    A search among names finds a card by the name on any row folded into it.
+    """
+    t = F.lit(term.strip().lower())
+    held = {"named": F.contains(F.lower("label"), t)} if scope == "names" else {}
+    cards = dedup.merge_cards(rows.withColumn("found", F.contains(F.col(f"hay_{scope}"), t)), [*(columns or []), "found"], held=held)
+    return cards.withColumn("found", F.col("found") | F.coalesce("named", F.lit(False))).drop("named") if held else cards
+
+
 def folded_names(panel: DataFrame) -> DataFrame:
     """(person, card_order, name): every name a card's header can show, those of the rows folded into it included."""
     return dedup.card_names(dedup.merge_duplicates(panel)).select("person", F.col("primary").alias("card_order"), F.col("label").alias("name"))
