@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from sourceweave.catalog import shared
 from sourceweave.operators import dedup, filters, joins
 from sourceweave.plans import panels
@@ -61,3 +62,8 @@ def test_names_on_cards(near):
     want = dedup.card_names(dedup.merge_duplicates(df)).groupBy("person").agg(F.count(F.lit(1)).alias("names"), F.countDistinct("identity").alias("identities"))
     got = dedup.names_on_cards(df)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_excerpt_rules_read_the_stored_lines(spark):
+    plan = entry.queries()["rules_excerpts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" in plan and "l_discount" not in plan
