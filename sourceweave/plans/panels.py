@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave.functions import dates, text
@@ -21,10 +21,10 @@ CARD_COLUMNS = [
 ]
 
 
-def person_cards(panel: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def person_cards(panel: DataFrame, columns: list[str] | None = None, told: dict[str, Column] | None = None) -> DataFrame:
     """One card per excerpt on a person's panel, in reading order columns."""
     df = ordering.with_source_order(panel)
-    return dedup.merge_cards(df, [*(columns or ["work", "locator", *CARD_COLUMNS]), *ordering.SOURCE_ORDER])
+    return dedup.merge_cards(df, [*(columns or ["work", "locator", *CARD_COLUMNS]), *ordering.SOURCE_ORDER], told=told)
 
 
 def person_timeline(people: DataFrame, relationships: DataFrame, engagements: DataFrame) -> DataFrame:
@@ -87,17 +87,17 @@ def source_rows(cards: DataFrame, works: DataFrame, places: DataFrame) -> DataFr
     return df.select(
         "person", "source_id", "route", "label", *[c for c in ("card_order", "card") if c in df.columns], names.alias("hay_names"), quotes.alias("hay_quotes"), everything.alias("hay_all"),
         prj.source_year().alias("year"), col("document"), col("location")["short"].alias("location"),
-        *[col("place")[p].alias(p) for p in ("country", "region", "city", "street", "venue")])
+        col("place")["place_id"].alias("place_id"), *[col("place")[p].alias(p) for p in ("country", "region", "city", "street", "venue")])
 
 
-def found_cards(rows: DataFrame, term: str, scope: str = "all", columns: list[str] | None = None) -> DataFrame:
+def found_cards(rows: DataFrame, term: str, scope: str = "all", columns: list[str] | None = None, told: dict[str, Column] | None = None) -> DataFrame:
     """Cards of ``source_rows`` with ``found``, whether the card's first row holds the term, and ``columns`` of that row.
 
     A search among names finds a card by the name on any row folded into it.
     """
     t = F.lit(term.strip().lower())
     held = {"named": F.contains(F.lower("label"), t)} if scope == "names" else {}
-    cards = dedup.merge_cards(rows.withColumn("found", F.contains(F.col(f"hay_{scope}"), t)), [*(columns or []), "found"], held=held)
+    cards = dedup.merge_cards(rows.withColumn("found", F.contains(F.col(f"hay_{scope}"), t)), [*(columns or []), "found"], held=held, told=told)
     return cards.withColumn("found", F.col("found") | F.coalesce("named", F.lit(False))).drop("named") if held else cards
 
 
