@@ -44,11 +44,15 @@ def degrees(edges: DataFrame, people: DataFrame, name: str = "degree") -> DataFr
     return people.select("id").join(per, "id", "left").select("id", F.coalesce(name, F.lit(0)).alias(name))
 
 
-def edge_verification(relationships: DataFrame, sources: DataFrame) -> DataFrame:
+def with_edge_verification(relationships: DataFrame, sources: DataFrame) -> DataFrame:
+    """The relationships with ``ok`` and ``pending``, their verified sources and the others."""
     ok = F.coalesce(F.col("verified"), F.lit(False))
     per = sources.groupBy(F.col("owner_id").alias("id")).agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("pending"))
-    return relationships.select("id").join(per, "id", "left").select(
-        "id", F.coalesce("ok", F.lit(0)).alias("ok"), F.coalesce("pending", F.lit(0)).alias("pending"))
+    return relationships.join(per, "id", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("ok", "pending")})
+
+
+def edge_verification(relationships: DataFrame, sources: DataFrame) -> DataFrame:
+    return with_edge_verification(relationships.select("id"), sources)
 
 
 def facet_counts(rows: DataFrame, facets: Sequence[str]) -> DataFrame:

@@ -52,19 +52,20 @@ def person_timeline(people: DataFrame, relationships: DataFrame, engagements: Da
 
 def relationship_list(relationships: DataFrame, sources: DataFrame, people: DataFrame) -> DataFrame:
     """All relationships with names, label and verification counts; sort by ``timeline_key`` nulls last, ``pos``."""
-    named = joins.endpoint_attributes(relationships, people, ["name"])
-    counts = aggregates.edge_verification(relationships, sources)
-    return named.join(counts, "id").select(
-        "id", "pos", "a_name", "b_name", "certainty", "ok", "pending",
-        dates.timeline_key(F.col("start")["date"]).alias("timeline_key"),
+    # dates become a key and a label first: their structs would travel through every join
+    told = relationships.select(
+        "id", "pos", "people", "certainty", dates.timeline_key(F.col("start")["date"]).alias("timeline_key"),
         dates.relationship_label(F.col("date_label"), F.col("start")["date"], F.col("end")["date"]).alias("when"))
+    counted = aggregates.with_edge_verification(told, sources)
+    return joins.endpoint_attributes(counted, people, ["name"]).select(
+        "id", "pos", "a_name", "b_name", "certainty", "ok", "pending", "timeline_key", "when")
 
 
 def relationship_detail(relationships: DataFrame, sources: DataFrame, people: DataFrame) -> DataFrame:
     """Relationship head joined to its sources, with the source order as columns."""
-    head = joins.endpoint_attributes(relationships, people, ["name"]).select(
-        F.col("id").alias("owner_id"), "a_name", "b_name", "certainty",
-        dates.relationship_label(F.col("date_label"), F.col("start")["date"], F.col("end")["date"]).alias("when"))
+    told = relationships.select(
+        "id", "people", "certainty", dates.relationship_label(F.col("date_label"), F.col("start")["date"], F.col("end")["date"]).alias("when"))
+    head = joins.endpoint_attributes(told, people, ["name"]).select(F.col("id").alias("owner_id"), "a_name", "b_name", "certainty", "when")
     src = ordering.with_source_order(sources)
     return head.join(src, "owner_id", "left")
 
