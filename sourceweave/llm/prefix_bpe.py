@@ -11,8 +11,8 @@ depends on no more than that.
 
 ``encode`` returns the ids of every whole text and, with ``keep_table``, the
 table itself. ``edit`` changes stored texts and computes only the entries near
-the change. ``decode`` turns ids into bytes. All three are one pass over the
-rows, without a shuffle; matches met before are looked up in a table of bounded
+the change. ``decode`` turns ids into bytes, ``round_trip`` encodes and decodes
+in one worker. All are one pass over the rows, without a shuffle; matches met before are looked up in a table of bounded
 size, one per task.
 
 Defined results: a null or empty text has no ids (an empty array) and decodes
@@ -30,7 +30,7 @@ column whose name an output takes is replaced by the output.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -54,6 +54,7 @@ LOOKAHEAD = 8
 CHUNK_BYTES = 1 << 20
 TOGETHER = 1 << 13
 _NEVER = 1 << 60
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _FREE = np.uint64(2**64 - 1)
 
 
@@ -405,9 +406,16 @@ def _ints(rows: list[list[int]] | list[bytes]) -> pa.Array:
 
 def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), keep_table: bool = False, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """``carry`` columns and ids (array<int>) of every text; with ``keep_table`` also last (array<int>), for ``edit``."""
+    src, names, schema, work = _encoding(docs, text, carry, keep_table, path, pattern)
+    return src.mapInArrow(work, schema)
+
+
+def _encoding(docs: DataFrame, text: str, carry: tuple[str, ...], keep_table: bool, path: str, pattern: str) -> tuple[DataFrame, list[str], StructType, Work]:
+    """Input, carried columns, schema and work of ``encode``."""
     names = _carried(docs, carry, ("ids", "last") if keep_table else ("ids",))
     src = docs.select(*names, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("__text"))
     schema = _with(docs, names, "ids array<int>" + (", last array<int>" if keep_table else ""))
+    out = schema.names
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, cut = vocabulary(path), regex.compile(pattern)
@@ -424,9 +432,9 @@ def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
                     parts = [cut.findall(t.decode("utf-8", "replace")) for t in texts]
                     known.learn(set().union(*parts))
                     cols.append(_ints([b"".join(map(known.__getitem__, p)) for p in parts]))
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                yield pa.RecordBatch.from_arrays(cols, names=out)
 
-    return src.mapInArrow(work, schema)
+    return src, names, schema, work
 
 
 def edit(coded: DataFrame, at: str = "at", cut: str = "cut", insert: str = "insert", text: str = "text", carry: tuple[str, ...] = ("doc_id",),
@@ -468,12 +476,17 @@ def decode(coded: DataFrame, ids: str = "ids", into: str = "bytes", carry: tuple
     src = coded.select(*names, F.coalesce(F.col(ids).cast("array<int>"), F.array().cast("array<int>")).alias("__ids"))
     schema = _with(coded, names, f"`{into}` binary")
 
+    return src.mapInArrow(_decoding(names, "__ids", schema.names, path), schema)
+
+
+def _decoding(names: list[str], ids: str, out: list[str], path: str) -> Work:
+    """Work of ``decode``: ``names`` and the bytes of the column ``ids``, named ``out``."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, size = token_bytes(path)
         none = len(size) - 1
         first = np.cumsum(size) - size
         for batch in batches:
-            column = batch.column("__ids")
+            column = batch.column(ids)
             counts = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             lo = 0
@@ -483,19 +496,26 @@ def decode(coded: DataFrame, ids: str = "ids", into: str = "bytes", carry: tuple
                 mine = np.where((mine >= 0) & (mine < none), mine, none)
                 ends = np.concatenate([[0], np.cumsum(size[mine])])
                 offsets = pa.array(ends[counts[lo : hi + 1] - counts[lo]].astype(np.int32)).buffers()[1]
-                out = data[ragged(first[mine], size[mine])].tobytes()
+                bytes_ = data[ragged(first[mine], size[mine])].tobytes()
                 cols = [batch.column(c).slice(lo, hi - lo) for c in names]
-                cols.append(pa.Array.from_buffers(pa.binary(), hi - lo, [None, offsets, pa.py_buffer(out)]))
-                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                cols.append(pa.Array.from_buffers(pa.binary(), hi - lo, [None, offsets, pa.py_buffer(bytes_)]))
+                yield pa.RecordBatch.from_arrays(cols, names=out)
                 lo = hi
 
-    return src.mapInArrow(work, schema)
+    return work
+
+
+def round_trip(docs: DataFrame, text: str = "text", into: str = "bytes", carry: tuple[str, ...] = ("doc_id",), path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one worker per task: ``carry`` columns, ids and the bytes they stand for."""
+    src, names, coded, there = _encoding(docs, text, tuple(c for c in carry if c != into), False, path, pattern)
+    schema = StructType([*coded.fields, *StructType.fromDDL(f"`{into}` binary").fields])
+    back = _decoding(coded.names, "ids", schema.names, path)
+    return src.mapInArrow(lambda batches: back(there(batches)), schema)
 
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str = RANKS) -> DataFrame:
     """``key``, n_tokens, and hex digests of the ids and of the bytes that they decode to."""
-    coded = encode(docs, text=text, carry=(key,), path=path)
-    back = decode(coded, carry=(key, "ids"), into="__bytes", path=path)
+    back = round_trip(docs, text=text, into="__bytes", carry=(key,), path=path)
     return back.select(key, F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2("__bytes", 256).alias("decoded_sha256"))

@@ -119,6 +119,15 @@ def test_bpe_equals_the_library(spark, tokens):
     assert prefix_bpe.digests(df.limit(0)).count() == 0
 
 
+def test_bpe_round_trip_needs_one_worker(spark, tokens):
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    both = {r.doc_id: r for r in prefix_bpe.round_trip(df, into="back").collect()}
+    for k, t in enumerate(texts()):
+        assert list(both[k].ids) == tokens.encode_ordinary(t or "") and bytes(both[k].back) == (t or "").encode()
+    plan = prefix_bpe.digests(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_bpe_edits_compute_what_is_near(spark, tokens):
     rng = random.Random(3)
     chars = "ab aA1 'srete\n\t 中日é😀ö.,-—"
