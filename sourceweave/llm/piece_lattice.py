@@ -1,12 +1,12 @@
-"""SentencePiece encoding and decoding by a relational lattice.
+"""SentencePiece encoding and decoding by a lattice over the corpus's different units.
 
 A text gets a leading space; every unit is an optional space and a run of
 letters, one digit, or a run of other characters (a run is cut every
-``LONGEST`` code points). Only the different units of the corpus are encoded:
-all their substrings up to the longest piece are exploded and equi-joined to the
-piece table, the edges are grouped by unit, and a Spark ``aggregate`` folds them
-into the best path (greatest sum of scores; ties: the longer last piece).
-Characters without a piece become byte tokens.
+``LONGEST`` code points). Only the different units of the corpus are encoded,
+dealt to tasks by themselves. The edges of a block of units are laid by a trie
+of all pieces and swept by the place where they end: every place keeps its best
+score (greatest sum; ties: the longer last piece) and the edge that gave it, and
+ids are spelled once, on the way back. Characters without a piece become byte tokens.
 
 Units then meet the texts again. The table of units is sent to the scan as
 hashes and packed ids while it has at most ``table_units`` rows, the most spread
@@ -28,21 +28,24 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import Roller, binary_parts, chunks, ragged, settings, stored
+from sourceweave.llm.common import Roller, binary_parts, chunks, ragged, stored
+from sourceweave.llm.prefix_bpe import Lookup
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST = 32
 #: units whose ids are sent to the scan: about 20 bytes each
 TABLE_UNITS = 1 << 22
-#: units whose edges one task holds: about 2 KB each
+#: units of one task
 PART_UNITS = 1 << 14
+#: bytes of units whose edges are laid together: about 200 bytes each
+BLOCK_BYTES = 1 << 17
 _SEED = 9
 _HOLD = 1 << 21
 #: 0 space, 1 letter (and all of non-ASCII), 2 digit, 3 other
@@ -127,34 +130,104 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[at].tolist(), e[at].tolist())], pa.string())], names=["unit"])
 
 
+class _Trie:
+    """All pieces by their bytes: ``children`` by node and byte, id and score of the piece that ends in a node (id -1: none)."""
+
+    def __init__(self, pieces: list[tuple[str, int, float]]):
+        nodes, self.longest = {}, 4
+        ends = []
+        for piece, i, score in pieces:
+            node, raw = 0, piece.encode()
+            for c in raw:
+                node = nodes.setdefault(node << 8 | c, len(nodes) + 1)
+            ends.append((node, i, score))
+            self.longest = max(self.longest, len(raw))
+        self.children = Lookup(18)
+        self.children.put(np.fromiter(nodes, np.uint64, len(nodes)), np.fromiter(nodes.values(), np.int32, len(nodes)))
+        self.id, self.score = np.full(len(nodes) + 1, -1, np.int64), np.zeros(len(nodes) + 1)
+        for node, i, score in ends:
+            if node:  # a piece without bytes stands nowhere
+                self.id[node], self.score[node] = i, score
+
+    def edges(self, data: np.ndarray, stop: np.ndarray, byte_score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, bytes, id, score) of every edge of units that lie one behind the other; ``stop`` is the end of each byte's unit.
+
+        A character that is no piece has an edge with the id -1.
+        """
+        head = np.flatnonzero((data & 0xC0) != 0x80)
+        width = np.diff(np.append(head, len(data)))
+        single = np.zeros(len(head), bool)
+        out, at, node, depth = [], np.arange(len(head)), np.zeros(len(head), np.uint64), 0
+        while len(at):
+            node = self.children.get(node << np.uint64(8) | data[head[at] + depth])
+            at, node = at[node >= 0], node[node >= 0]
+            depth += 1
+            i = self.id[node]
+            piece = i >= 0
+            out.append((head[at[piece]], np.full(int(piece.sum()), depth), i[piece], self.score[node[piece]]))
+            single[at[piece & (width[at] == depth)]] = True
+            more = head[at] + depth < stop[head[at]]
+            at, node = at[more], node[more].astype(np.uint64)
+        bare = ~single
+        out.append((head[bare], width[bare], np.full(int(bare.sum()), -1), byte_score * width[bare]))
+        return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
+
+
+@lru_cache(maxsize=1)
+def _trie(pieces: tuple[tuple[str, int, float], ...]) -> _Trie:
+    return _Trie(list(pieces))
+
+
+def _best(trie: _Trie, byte: np.ndarray, byte_score: float, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the best paths of all units, offsets): edges are met by the place they end at, so what they start from is settled."""
+    size, n = np.diff(offs), len(offs) - 1
+    of = np.repeat(np.arange(n), size)
+    begin, width, i, score = trie.edges(data, offs[1:][of], byte_score)
+    unit = of[begin]
+    start = begin + unit  # a unit has one place more than bytes
+    end, place = start + width, begin - offs[unit] + width
+    order = np.argsort((place * (len(data) + n + 1) + end) * (trie.longest + 1) + trie.longest - width)
+    start, end, place, score = start[order], end[order], place[order], score[order]
+    total, edge = np.zeros(len(data) + n + 1), np.zeros(len(data) + n + 1, np.int64)
+    cuts = np.searchsorted(place, np.arange(1, int(size.max(initial=0)) + 2))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if lo == hi:
+            continue
+        to = end[lo:hi]
+        groups = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        sums = total[start[lo:hi]] + score[lo:hi]
+        top = np.maximum.reduceat(sums, groups)
+        total[to[groups]] = top
+        # the first of equal sums is the longest piece
+        best = np.flatnonzero(sums == np.repeat(top, np.diff(np.append(groups, hi - lo))))
+        edge[to[groups]] = lo + best[np.searchsorted(best, groups)]
+    on, first = np.zeros(len(total), bool), offs[:-1] + np.arange(n)
+    at, floor = (first + size)[size > 0], first[size > 0]
+    while len(at):
+        on[at] = True
+        at = start[edge[at]]
+        at, floor = at[at > floor], floor[at > floor]
+    path = order[edge[on]]
+    many = np.where(i[path] < 0, width[path], 1)
+    ids = np.repeat(i[path], many)
+    bare = path[i[path] < 0]
+    ids[ids < 0] = byte[data[ragged(begin[bare], width[bare])]]
+    counts = np.bincount(unit[path], weights=many, minlength=n).astype(np.int64)
+    return ids.astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
+
+
 def lattice(words: DataFrame, pieces: list[tuple[str, int, float]], byte: list[int], byte_score: float) -> DataFrame:
-    """(unit, ids): the best path of every row's unit; ``words`` keeps its partitioning, so no further shuffle."""
-    spark = words.sparkSession
-    table = spark.createDataFrame(pa.table({"piece": [p for p, _, _ in pieces], "id": pa.array([i for _, i, _ in pieces], pa.int32()), "score": [s for _, _, s in pieces]}))
-    longest = max(len(p) for p, _, _ in pieces)
-    edges = (words.select("unit", F.explode(F.sequence(F.lit(1), F.char_length("unit"))).alias("e"))  # by end, so that the sort below meets sorted rows
-             .select("unit", "e", F.explode(F.sequence(F.greatest(F.lit(0), F.col("e") - longest), F.col("e") - 1)).alias("s"))
-             .select("unit", "e", "s", F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
-             .join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR e - s = 1"))  # the piece table is as large as its file
-    code = F.hex(F.encode("piece", "utf-8"))
-    number = F.array(*[F.lit(i) for i in byte])
-    each = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda i: number[F.conv(F.substring(code, i * 2 - 1, F.lit(2)), 16, 10).cast("int")])
-    # ids are written out, with a space after each: joining strings costs the fold less than joining arrays
-    ids = F.concat(F.when(F.col("id").isNotNull(), F.col("id").cast("string")).otherwise(F.array_join(each.cast("array<string>"), " ")), F.lit(" "))
-    score = F.coalesce("score", F.lit(byte_score) * F.octet_length("piece"))
-    edge = F.struct("e", "s", score.alias("score"), ids.alias("ids"))
-    grouped = edges.select("unit", edge.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-
-    def step(best: Column, x: Column) -> Column:
-        before = best[x["s"]]
-        total = before["score"] + x["score"]
-        path = F.struct(total.alias("score"), F.concat(before["ids"], x["ids"]).alias("ids"))
-        return (F.when(F.size(best) == x["e"], F.concat(best, F.array(path)))  # edges come by end: the first one to reach it
-                .when(total > best[x["e"]]["score"], F.concat(F.slice(best, F.lit(1), x["e"]), F.array(path))).otherwise(best))
-
-    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit("").alias("ids")))
-    best = F.aggregate("edges", begin, step, lambda best: F.element_at(best, -1)["ids"])
-    return grouped.select("unit", F.split(F.rtrim(best), " ").cast("array<int>").alias("ids"))
+    """(unit, ids): the best path of every row's unit; ``words`` keeps its partitioning, nothing is shuffled."""
+    table, number = tuple(pieces), np.array(byte, np.int64)  # as large as the model's file
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = _trie(table)
+        for batch in batches:
+            for lo, hi, data, offs in chunks(batch.column("unit"), BLOCK_BYTES):
+                ids, ends = _best(trie, number, byte_score, data, offs)
+                yield pa.RecordBatch.from_arrays([batch.column("unit").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["unit", "ids"])
+
+    return words.select("unit").mapInArrow(work, "unit string, ids array<int>")
 
 
 def unit_table(docs: DataFrame, text: str = "text", model: str = MODEL) -> tuple[DataFrame, DataFrame]:
@@ -162,10 +235,8 @@ def unit_table(docs: DataFrame, text: str = "text", model: str = MODEL) -> tuple
     pieces, _, byte, low = vocabulary(model)
     found = docs.select(F.col(text).cast("string").alias("__text")).mapInArrow(_distinct, "unit string").groupBy("unit").agg(F.count(F.lit(1)).alias("spread"))
     found = stored(found, "units")
-    # a partition's units are grouped in memory: no sort, no spill
     parts = max(1, -(-found.count() // PART_UNITS))
-    with settings(docs.sparkSession, spark__sql__objectHashAggregate__sortBased__fallbackThreshold=str(16 * PART_UNITS)):
-        return found, stored(lattice(found.select("unit").repartition(parts, "unit"), pieces, byte, low), "unit-ids")
+    return found, stored(lattice(found.select("unit").repartition(parts, "unit"), pieces, byte, low), "unit-ids")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

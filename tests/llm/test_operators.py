@@ -327,6 +327,20 @@ def test_piece_lattice(docs, rows, empty, odd):
     assert [r.round_trip for r in piece_lattice.measured(odd, table_units=10).collect()] == [True] * odd.count()
 
 
+def test_piece_lattice_keeps_one_way_back_per_place(spark):
+    """Equal sums go to the longer last piece, characters without a piece become bytes, and no edge is a row."""
+    pieces = [("a", 0, -1.0), ("b", 1, -1.0), ("ab", 2, -2.0), ("ba", 3, -1.5), ("éa", 4, -1.0), ("aab", 5, -3.0)]
+    byte = [*range(100, 356)]
+    units = ["ab", "aba", "aab", "bé", "éab", "xa", "日", "b" * 70]
+    want = [[2], [0, 3], [5], [1, 100 + 0xC3, 100 + 0xA9], [4, 1], [100 + 120, 0], [100 + x for x in "日".encode()], [1] * 70]
+    words = spark.createDataFrame([(u,) for u in units], "unit string").repartition(2)
+    made = piece_lattice.lattice(words, pieces, byte, -20.0)
+    got = {r.unit: r.ids for r in made.collect()}
+    assert [got[u] for u in units] == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 @pytest.mark.parametrize("window,block", [(13, 10**6), (4, 20)])
 def test_wu_manber(spark, docs, rows, empty, odd, window, block):
     rng = random.Random(8)
