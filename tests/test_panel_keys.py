@@ -27,3 +27,17 @@ def test_a_merge_moves_no_text_of_a_person(spark):
     cards = entry.queries()["person_panel_cards"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     merge = next(line for line in cards.splitlines() if "partial_min" in line)
     assert "person#" not in merge and "md5" not in cards
+
+
+def test_stored_lines_tell_positions_and_names_by_their_keys(spark):
+    facts = shared.panel_facts(spark, SF)
+    people = corpus.people(spark, SF).select("id", "pos", "name")
+    for p, key in (("c", corpus.cid(F.col("o_custkey"))), ("s", corpus.sid(F.col("sk")))):
+        met = facts.select(key.alias("id"), f"{p}_pos", f"{p}_name", f"{p}_named").distinct().join(people, "id")
+        assert met.count() > 0 and met.where((F.col("pos") != F.col(f"{p}_pos")) | (F.col("name") != F.col(f"{p}_name"))).count() == 0
+        assert met.where(F.col(f"{p}_named") == F.col("id")).count() > 0
+    first = corpus.relationships(spark, SF).select("people", F.col("pos").alias("first"))
+    edges = facts.select(F.array(corpus.cid(F.col("o_custkey")), corpus.sid(F.col("sk"))).alias("people"), "edge_pos")
+    assert edges.join(first, "people").where(F.col("first") != F.col("edge_pos")).count() == 0
+    kept = shared.once(spark, SF, "facts", None).columns
+    assert not {"c_pos", "s_pos", "edge_pos", "c_named", "s_named"} & set(kept)
