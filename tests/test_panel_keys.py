@@ -41,3 +41,9 @@ def test_stored_lines_tell_positions_and_names_by_their_keys(spark):
     assert edges.join(first, "people").where(F.col("first") != F.col("edge_pos")).count() == 0
     kept = shared.once(spark, SF, "facts", None).columns
     assert not {"c_pos", "s_pos", "edge_pos", "c_named", "s_named"} & set(kept)
+
+
+def test_a_merge_moves_one_text_for_three_facets(spark):
+    plan = entry.queries()["facet_totals"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    merge = next(line for line in plan.splitlines() if "partial_min" in line)
+    assert "parts" in merge and "document" not in merge and "keys=[card#" not in merge
