@@ -2,14 +2,17 @@
 
 Layout under the index's path: ``texts/bucket=<b>`` holds every different search
 text once, ``holders/bucket=<b>`` who is found by it and how (name, quote or
-note), ``grams/bucket=<b>`` one posting (gram, text) for every different trigram
-of a text, ``counts`` the number of postings of every trigram. Buckets are hashes
+note), ``grams/bucket=<b>`` one posting (gram, block) for every different trigram
+of a block of texts, ``counts`` the number of postings of every trigram and ``layout`` the
+number of blocks in a bucket. A block is a range of keys inside a bucket, ``SearchIndex.BLOCK`` texts on
+average: texts share most trigrams with others, so postings of blocks are far fewer than
+postings of texts, which would need many times the texts' own size. Buckets are hashes
 of the text's key or of the gram, rows of a file are sorted, so a look-up reads a few row groups.
 Rows are dealt by a rebalance that Spark splits where a bucket is large: a gram
 or a holder that a third of all texts share fills several files and no single task.
 
-A text's trigrams are a superset test, the term itself is then looked for in the
-text, so the rows are those of ``panels.search_hits``. A term of fewer than three characters has no
+A block's trigrams are a superset test, the term itself is then looked for in the
+block's texts, so the rows are those of ``panels.search_hits``. A term of fewer than three characters has no
 trigram: all texts are read, each once. A text is known by its 128-bit digest.
 """
 
@@ -56,6 +59,12 @@ def _bucket(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
+def _block(per: int) -> Column:
+    """The block of a row with ``bucket`` and ``text``: buckets are cut into ``per`` ranges of the digest's first four bytes."""
+    first = F.conv(F.hex(F.substring("text", 1, 4)), 16, 10).cast("long")
+    return F.col("bucket").cast("long") * per + F.shiftright(first * per, 32)
+
+
 def grams(hay: Column) -> Column:
     """The different trigrams of a text, by code points; linear in its length."""
     one = F.split(hay, "")
@@ -67,6 +76,9 @@ def grams(hay: Column) -> Column:
 class SearchIndex:
     """An index on disk; written once, read by any number of searches."""
 
+    #: texts that share one list of trigrams, on average
+    BLOCK = 2048
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -76,7 +88,10 @@ class SearchIndex:
         # copies of a text leave as one row; min combines before the shuffle
         self._write(keyed.groupBy("text").agg(F.min("hay").alias("hay")), "texts", "text")
         self._write(keyed.select("text", "kind", "id").distinct(), "holders", "text")
-        self._write(self.texts().select(F.explode(grams(F.col("hay"))).alias("gram"), "text"), "grams", "gram")
+        per = max(1, -(-self.texts().count() // (BUCKETS * self.BLOCK)))
+        self.spark.range(1).select(F.lit(per).cast("long").alias("per")).coalesce(1).write.parquet(f"{self.path}/layout")
+        told = self.texts().select(_block(per).alias("block"), F.explode(grams(F.col("hay"))).alias("gram"))
+        self._write(told.distinct(), "grams", "gram")
         self._read("grams").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/counts")
         return self
 
@@ -85,14 +100,18 @@ class SearchIndex:
         dealt.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def _read(self, name: str) -> DataFrame:
-        columns = {"texts": "text binary, hay string", "holders": "text binary, kind string, id string", "grams": "gram string, text binary"}[name]
+        columns = {"texts": "text binary, hay string", "holders": "text binary, kind string, id string", "grams": "gram string, block long"}[name]
         return self.spark.read.schema(f"{columns}, bucket int").parquet(f"{self.path}/{name}")
 
     def texts(self) -> DataFrame:
         return self._read("texts")
 
+    def per(self) -> int:
+        """Blocks in a bucket."""
+        return self.spark.read.schema("per long").parquet(f"{self.path}/layout").first()["per"]
+
     def postings(self, term: str) -> DataFrame | None:
-        """(text): texts that hold the term's rarest trigrams; None when the term is too short to have one."""
+        """(block): blocks that hold the term's rarest trigrams; None when the term is too short to have one."""
         t = term.strip().lower()
         wanted = sorted({t[i : i + 3] for i in range(len(t) - 2)})
         if not wanted:
@@ -102,14 +121,16 @@ class SearchIndex:
         at = [r[0] for r in self.spark.createDataFrame([(g,) for g in rare], "g string").select(_bucket(F.col("g"))).distinct().collect()]
         found = self._read("grams").where(F.col("bucket").isin(at) & F.col("gram").isin(rare))
         if len(counts) < len(wanted):  # a trigram that no text holds
-            return found.where(F.lit(False)).select("text")
-        return found.groupBy("text").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rare)).select("text")
+            return found.where(F.lit(False)).select("block")
+        return found.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(rare)).select("block")
 
     def matching(self, term: str) -> DataFrame:
         """(text): every text that holds the term."""
         named, texts = self.postings(term), self.texts()
         if named is not None:
-            texts = texts.join(named.select("text", _bucket(F.col("text")).alias("bucket")), ["bucket", "text"], "left_semi")
+            per = self.per()
+            held = named.select(F.floor(F.col("block") / per).cast("int").alias("bucket"), "block")
+            texts = texts.withColumn("block", _block(per)).join(held, ["bucket", "block"], "left_semi")
         return texts.where(F.contains("hay", F.lit(term.strip().lower()))).select("bucket", "text")
 
     def hits(self, people: DataFrame, term: str, scope: str = "all") -> DataFrame:

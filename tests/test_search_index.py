@@ -54,3 +54,20 @@ def test_grams(spark):
 def test_empty(spark, tables, tmp_path):
     index = SearchIndex(spark, str(tmp_path / "index")).build(record_texts(*[t.limit(0) for t in tables]))
     assert {r.kind for r in index.hits(tables[0], "red house").collect()} == {None}
+
+
+def test_postings_are_told_per_block(spark, tmp_path):
+    """Postings of single texts would be many times the texts themselves."""
+    rows = spark.range(6000).select(F.concat(F.lit("p"), F.col("id") % 50).alias("id"), F.lit("q").alias("kind"), F.format_string("order of customer no %05d", "id").alias("hay"))
+    few = SearchIndex(spark, str(tmp_path / "few")).build(rows)
+    assert few._read("grams").count() < 5 * 6000 and few.texts().count() == 6000
+    people = spark.range(50).select(F.concat(F.lit("p"), F.col("id")).alias("id"))
+    for per in (1, 7):  # a bucket of one block, and of several
+        index = few
+        if per > 1:
+            index = SearchIndex(spark, str(tmp_path / "many"))
+            index.BLOCK = 14
+            index.build(rows)
+            assert index.per() == per and index.postings("no 01234").count() < 7 * 64
+        assert {r.id for r in index.hits(people, "no 01234").where("kind IS NOT NULL").collect()} == {"p34"}
+        assert index.hits(people, "customer no").where("kind = 'quote'").count() == 50
