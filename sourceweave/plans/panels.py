@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sourceweave.functions import dates, text
 from sourceweave.operators import aggregates, dedup, filters, joins, ordering
 from sourceweave.operators import projections as prj
-from sourceweave.physical import small_side
+from sourceweave.physical import lookup_side
 
 _DATE = "struct<y:bigint,m:bigint,d:bigint>"
 
@@ -70,13 +70,17 @@ def relationship_detail(relationships: DataFrame, sources: DataFrame, people: Da
     return head.join(src, "owner_id", "left")
 
 
-def source_rows(cards: DataFrame, works: DataFrame, places: DataFrame) -> DataFrame:
-    """What a panel filter looks at: three haystacks, a year and the seven facets."""
-    dim = small_side(works.select(F.col("work").alias("__w"), F.col("author").alias("w_author"),
-                                  F.col("editors").alias("w_editors"), F.col("title").alias("w_title"),
-                                  F.col("year").cast("string").alias("w_year")))
-    located = prj.with_location(cards, works)
-    df = prj.with_effective_place(located, places).join(dim, F.col("work") == F.col("__w"), "left")
+def source_rows(cards: DataFrame, works: DataFrame | None, places: DataFrame) -> DataFrame:
+    """What a panel filter looks at: three haystacks, a year and the seven facets.
+
+    Without ``works`` the cards carry what is asked of their work already: ``w_author, w_editors, w_title, w_year, w_available``.
+    """
+    df = prj.with_effective_place(prj.with_location(cards, works), places)
+    if works is not None:
+        dim = lookup_side(works.select(F.col("work").alias("__w"), F.col("author").alias("w_author"),
+                                      F.col("editors").alias("w_editors"), F.col("title").alias("w_title"),
+                                      F.col("year").cast("string").alias("w_year")))
+        df = df.join(dim, F.col("work") == F.col("__w"), "left")
     col = F.col
     said = [F.array_join(F.transform("turns", lambda t, k=k: t[k]), "  ") for k in ("who", "text")] if "turns" in df.columns else [F.lit(None).cast("string")] * 2
     names = text.haystack(col("speaker"), col("addressee"), col("w_author"), col("w_editors"), col("label"), said[0])
