@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: by size in files; keys and names pack so well there that a table takes up to 30 times that in memory, in the driver and in every executor
-BROADCAST_LIMIT = 8 * 1024 * 1024
+BROADCAST_LIMIT = 64 * 1024 * 1024
+#: for tables that grow with the input: keys and names pack so well in files that a table takes up to 30 times that in memory
+LOOKUP_LIMIT = 8 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -21,14 +22,14 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    """Whether a table may be sent whole."""
-    return estimated_bytes(df) <= (BROADCAST_LIMIT if limit is None else limit)
+def small_side(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Hint a broadcast only when the estimate fits; else leave the shuffle join to AQE."""
+    return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
-def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Hint a broadcast only when the estimate fits; else leave the shuffle join to AQE."""
-    return F.broadcast(df) if is_small(df, limit) else df
+def is_small(df: DataFrame) -> bool:
+    """Whether a table that grows with the input may be sent whole."""
+    return estimated_bytes(df) <= LOOKUP_LIMIT
 
 
 def lookup_side(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture()
 def nothing_small(monkeypatch):
-    monkeypatch.setattr(physical, "BROADCAST_LIMIT", 0)
+    monkeypatch.setattr(physical, "LOOKUP_LIMIT", 0)
     shared._TABLES.clear()
     yield
     shared._TABLES.clear()
@@ -26,7 +26,7 @@ def rows(df):
 def test_same_rows_when_nothing_is_sent(spark, name, monkeypatch):
     shared._TABLES.clear()
     want = rows(entry.queries()[name](spark, SF))
-    monkeypatch.setattr(physical, "BROADCAST_LIMIT", 0)
+    monkeypatch.setattr(physical, "LOOKUP_LIMIT", 0)
     shared._TABLES.clear()
     assert want and rows(entry.queries()[name](spark, SF)) == want
     shared._TABLES.clear()
@@ -40,12 +40,19 @@ def test_a_growing_table_is_not_sent_for_its_few_columns(spark, nothing_small):
     assert plan.count("SortMergeJoin") >= 3
 
 
-def test_limit_follows_what_rows_take_in_memory(spark, tmp_path):
+def test_limit_follows_what_rows_take_in_memory(spark):
     """A table of running numbers packs into a few bytes a row; it is not sent beyond 8 MB in files."""
-    assert physical.BROADCAST_LIMIT <= 8 << 20
+    assert physical.LOOKUP_LIMIT <= 8 << 20
     ids = spark.range(1000).withColumn("name", F.concat(F.lit("Customer#"), F.col("id")))
-    assert physical.is_small(ids) and not physical.is_small(ids, 10)
-    assert "hint" not in physical.lookup_side(ids)._jdf.queryExecution().optimizedPlan().toString()
+    assert physical.is_small(ids) and not physical.is_small(spark.range(physical.LOOKUP_LIMIT))
+
+
+def test_places_are_sent_at_any_size(spark, nothing_small):
+    """A place is one of a few nations, whatever the lines: panel rows are never shuffled to meet it."""
+    from sourceweave.catalog import panel_queries
+
+    plan = panel_queries._source_rows(spark, SF).select("city")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan
 
 
 def test_filter_rows_look_up_no_work(spark):
