@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from sourceweave.functions import text
 from sourceweave.operators import filters
-from sourceweave.physical import keyed_join
+from sourceweave.physical import keyed_join, lookup_side
+from sourceweave.session import stored
 
 BUCKETS = 64
 #: postings of so many of a term's trigrams are intersected, the rarest ones
@@ -31,28 +32,34 @@ RAREST = 4
 
 
 def record_texts(people: DataFrame, relationships: DataFrame, sources: DataFrame, engagements: DataFrame) -> DataFrame:
-    """(id, kind, hay): what each person is found by; one row per record and kind, blank texts left out."""
-    def rows(df: DataFrame, owner: str, **parts: list[Column]) -> DataFrame:
+    """(ids, kind, hay): what persons are found by; one row per record and kind, blank texts left out.
+
+    Sources that carry their edge's ``people`` are held by these, others are joined to their edge.
+    """
+    def rows(df: DataFrame, owners: Column, **parts: list[Column]) -> DataFrame:
         each = [F.struct(F.lit(kind[0]).alias("kind"), h.alias("hay")) for kind, hays in parts.items() for h in hays]
-        return df.select(F.col(owner).alias("id"), F.explode(F.array(*each)).alias("t")).select("id", "t.kind", "t.hay").where("hay <> ''")
+        return df.select(owners.alias("ids"), F.explode(F.array(*each)).alias("t")).select("ids", "t.kind", "t.hay").where("hay <> ''")
 
     def hay(df: DataFrame, *names: str) -> Column:
         return text.haystack(*[F.col(n) if n in df.columns else F.lit(None).cast("string") for n in names])
 
     name = F.lower(F.concat_ws(" ", "name", F.array_join(F.coalesce("aka", F.array().cast("array<string>")), " "), F.coalesce("sort_name", F.lit(""))))
-    own = rows(people, "id", name=[name], quote=[hay(people, "bio")], other=[hay(people, "bio_note"), hay(people, "roster_note")])
+    own = rows(people, F.array("id"), name=[name], quote=[hay(people, "bio")], other=[hay(people, "bio_note"), hay(people, "roster_note")])
     notes = [hay(relationships, "certainty_reasoning", "date_label", "sources_order_note", "prior_class")]
     if "disputed" in relationships.columns:
         notes.append(text.haystack(*[F.col("disputed")[k] for k in ("claim", "asserted_by", "disputed_by", "grounds")]))
     if "null_findings" in relationships.columns:
         notes.append(text.haystack(F.to_json("null_findings")))
-    of_edge = rows(relationships, "id", quote=[hay(relationships, "summary")], other=notes).unionByName(
-        rows(sources, "owner_id", quote=[hay(sources, "quote", "translation", "context", "supports")],
-             other=[text.haystack(F.col("citation_provenance"), F.col("translation_note"), F.col("locator"), F.col("order_hint")["why"])]))
-    ends = relationships.select("id", F.col("people").alias("__ends"))
-    edge = keyed_join(of_edge.distinct(), ends, ["id"]).select(F.explode("__ends").alias("id"), "kind", "hay")
-    told = rows(engagements, "owner_id", other=[hay(engagements, "subject", "note", "date_label", "period")])
-    return own.unionByName(edge).unionByName(told)
+    edge = rows(relationships, F.col("people"), quote=[hay(relationships, "summary")], other=notes)
+    said = dict(quote=[hay(sources, "quote", "translation", "context", "supports")],
+                other=[text.haystack(F.col("citation_provenance"), F.col("translation_note"), F.col("locator"), F.col("order_hint")["why"])])
+    if "people" in sources.columns:
+        cited = rows(sources, F.col("people"), **said)
+    else:
+        each = rows(sources, F.array("owner_id"), **said).distinct().withColumn("id", F.col("ids")[0])
+        cited = keyed_join(each.drop("ids"), relationships.select("id", F.col("people").alias("ids")), ["id"]).drop("id")
+    told = rows(engagements, F.array("owner_id"), other=[hay(engagements, "subject", "note", "date_label", "period")])
+    return own.unionByName(edge).unionByName(cited).unionByName(told)
 
 
 def _bucket(c: Column) -> Column:
@@ -83,11 +90,13 @@ class SearchIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     def build(self, found_by: DataFrame) -> SearchIndex:
-        """Store ``found_by`` (id, kind of n, q or o, hay)."""
-        keyed = found_by.where("hay <> ''").withColumn("text", F.unhex(F.md5("hay")))
-        # copies of a text leave as one row; min combines before the shuffle
-        self._write(keyed.groupBy("text").agg(F.min("hay").alias("hay")), "texts", "text")
-        self._write(keyed.select("text", "kind", "id").distinct(), "holders", "text")
+        """Store ``found_by`` (id or ids, kind of n, q or o, hay); its plan is run twice."""
+        ids = F.col("ids") if "ids" in found_by.columns else F.array("id")
+        keyed = found_by.where("hay <> ''").select(F.unhex(F.md5("hay")).alias("text"), "kind", ids.alias("ids"), "hay")
+        # copies of a text leave as one row; min combines before the shuffle. No text is large after that, so it is not dealt again
+        self._write(keyed.groupBy("text").agg(F.min("hay").alias("hay")), "texts", "text", deal=False)
+        # the persons of a record stay in one row, its text is named once; a record told twice does no harm here
+        self._write(keyed.select("text", "kind", "ids"), "holders", "text")
         per = max(1, -(-self.texts().count() // (BUCKETS * self.BLOCK)))
         self.spark.range(1).select(F.lit(per).cast("long").alias("per")).coalesce(1).write.parquet(f"{self.path}/layout")
         told = self.texts().select(_block(per).alias("block"), F.explode(grams(F.col("hay"))).alias("gram"))
@@ -95,12 +104,14 @@ class SearchIndex:
         self._read("grams").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/counts")
         return self
 
-    def _write(self, rows: DataFrame, name: str, key: str) -> None:
-        dealt = rows.withColumn("bucket", _bucket(F.col(key))).hint("rebalance", F.col("bucket"))
+    def _write(self, rows: DataFrame, name: str, key: str, deal: bool = True) -> None:
+        dealt = rows.withColumn("bucket", _bucket(F.col(key)))
+        if deal:
+            dealt = dealt.hint("rebalance", F.col("bucket"))
         dealt.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def _read(self, name: str) -> DataFrame:
-        columns = {"texts": "text binary, hay string", "holders": "text binary, kind string, id string", "grams": "gram string, block long"}[name]
+        columns = {"texts": "text binary, hay string", "holders": "text binary, kind string, ids array<string>", "grams": "gram string, block long"}[name]
         return self.spark.read.schema(f"{columns}, bucket int").parquet(f"{self.path}/{name}")
 
     def texts(self) -> DataFrame:
@@ -138,6 +149,8 @@ class SearchIndex:
         if not term.strip():  # the empty term stands in everything, blank texts included
             known = F.col("id").isNotNull()
             return people.select("id", filters.hit_kind(scope, known, known, known).alias("kind"))
-        found = self._read("holders").join(self.matching(term), ["bucket", "text"], "left_semi")
+        # stored, so that its size is known: holders, by far the larger side, are shuffled only for a term that very many texts hold
+        matching = lookup_side(stored(self.matching(term), "matching"))
+        found = self._read("holders").join(matching, ["bucket", "text"], "left_semi").select("kind", F.explode("ids").alias("id"))
         kinds = found.groupBy("id").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in ("n", "q", "o")])
         return people.select("id").join(kinds, "id", "left").select("id", filters.hit_kind(scope, F.col("n"), F.col("q"), F.col("o")).alias("kind"))

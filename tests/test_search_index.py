@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sourceweave.catalog import corpus
 from sourceweave.plans import panels
 from sourceweave.plans.search_index import SearchIndex, grams, record_texts
 
@@ -71,3 +72,24 @@ def test_postings_are_told_per_block(spark, tmp_path):
             assert index.per() == per and index.postings("no 01234").count() < 7 * 64
         assert {r.id for r in index.hits(people, "no 01234").where("kind IS NOT NULL").collect()} == {"p34"}
         assert index.hits(people, "customer no").where("kind = 'quote'").count() == 50
+
+
+def test_sources_with_people_are_not_shuffled_to_their_edge(spark, tables):
+    people, rels, sources, eng = tables
+    held = sources.join(rels.select(F.col("id").alias("owner_id"), "people"), "owner_id").localCheckpoint()
+    with_people = record_texts(people, rels, held, eng)
+    assert "Exchange" not in with_people._jdf.queryExecution().sparkPlan().toString()
+    flat = lambda df: sorted(map(str, df.select(F.explode("ids").alias("id"), "kind", "hay").distinct().collect()))
+    assert flat(with_people) == flat(record_texts(*tables))
+
+
+def test_holders_stay_where_they_are_for_a_rare_term(spark, tables, tmp_path):
+    index = SearchIndex(spark, str(tmp_path / "index")).build(record_texts(*tables))
+    plan = index.hits(tables[0], "red house")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [bucket" in plan and "LeftSemi" in plan and "SortMergeJoin [bucket" not in plan
+
+
+def test_edges_of_stored_lines_are_the_edges(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(corpus.relationships(spark, sf, corpus.line_facts(spark, sf))) == rows(corpus.relationships(spark, sf))
